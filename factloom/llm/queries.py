@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import leakage
+from factloom.llm import leakage, pii
 from factloom.sources.tables import table
 
 
@@ -12,5 +12,14 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p8_found,)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.spans_of(table(spark, d, "documents")).select("doc_id", "pii_kind", "start_char")
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The whole texts with typed placeholders."""
+    return pii.redacted(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p8_found, p9_found, p9_redacted)}
 ORACLE: dict[str, str] = {}
