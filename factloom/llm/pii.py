@@ -219,7 +219,7 @@ NAME_CUES = (
     "contacto: ", "contacto ", "contato: ", "contato ", "hablar con ", "preguntar a ", "falar com ", "voir avec ", "contacter ", "joindre ", "demander à ", "cliente ", "client ", "responsable: ", "responsável: ",
     "dr. ", "dr ", "prof. ", "mr. ", "mrs. ", "ms. ", "mr ", "mrs ", "ms ", "sr. ", "sra. ", "sr ", "sra ", "don ", "doña ", "dona ", "mme ", "mlle ", "m. ", "señor ", "señora ", "senhor ", "senhora ",
 )
-_TITLE = regex.compile(r"(?:(?:Dr|Prof|Mr|Mrs|Ms|Sr|Sra|Dipl|Ing|Mme|Mlle|Frau|Herrn?|M(?=\.\s+\p{Lu}\p{Ll}+\s+\p{Lu}))\.?\s+)*", regex.I)
+_TITLE = regex.compile(r"(?:(?:Dr|Prof|Mr|Mrs|Ms|Sr|Sra|Dipl|Ing|Mme|Mlle|Frau|Herrn?|M(?=\.\s+(?-i:\p{Lu}\p{Ll}+\s+\p{Lu})))\.?\s+)*", regex.I)
 #: Words that make a capitalized phrase a product, a team, a place or a heading.
 NOT_NAMES = frozenset(
     "team gateway keeper service services operation copper lane ridge street road the a an this that if when after only suppose order ticket host port build trace change field move "
