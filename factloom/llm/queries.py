@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import leakage, pii
+from factloom.llm import credentials, leakage, pii
 from factloom.sources.tables import table
 
 
+def _credential_texts(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.texts_of(table(spark, d, "entities"), table(spark, d, "connection_clients"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.credentials(_credential_texts(spark, d)).drop("end_char")
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The same texts with only the credentials masked."""
+    return credentials.redacted(_credential_texts(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -21,5 +34,5 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p9_found, p9_redacted)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p8_found, p9_found, p9_redacted)}
 ORACLE: dict[str, str] = {}
