@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import credentials, leakage, packing, pii, survivors
+from factloom.llm import credentials, leakage, matching, packing, pii, survivors
 from factloom.sources.tables import table
 
 
@@ -22,6 +22,15 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return credentials.redacted(_credential_texts(spark, d))
 
 
+def p2_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The matching client-item pairs with their posterior as confidence."""
+    return matching.match(table(spark, d, "connection_clients"), table(spark, d, "infra_inventory"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_matches(spark, d).select("client_id", "item_id")
+
+
 def p4_fields(spark: SparkSession, d: str) -> DataFrame:
     """The survivor of every group, field by field, with the record each value comes from."""
     return survivors.project_survivors(*(table(spark, d, t) for t in ("entities", "connections", "source_ranks")))
@@ -60,7 +69,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p4_found, p4_fields, p4_survivors, p7_packed, p7_report, p8_found, p9_found, p9_redacted)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_matches, p3_found, p3_redacted, p4_found, p4_fields, p4_survivors, p7_packed, p7_report, p8_found, p9_found, p9_redacted)}
 _NORM = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '[\s_\-]', '', 'g'), '^service\.', ''),
  '/(\{{[^/}}]*\}}|<[^/>]*>|:[^/]+|\[[^/\]]*\])', '/{{}}', 'g'), '/+$', '')"""
 _P4 = rf"""
