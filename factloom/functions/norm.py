@@ -73,7 +73,7 @@ def service_name(c: Column | str) -> Column:
     """Without `service.` or `external.`, underscores as hyphens, scheme and path of URLs and cluster suffixes removed."""
     s = F.regexp_replace(text(c), r"^service\.", "")
     s = F.translate(F.regexp_replace(s, r"^external\.", ""), "_", "-")
-    s = F.when(s.rlike(r"^https?://"), F.regexp_replace(F.regexp_replace(s, r"^https?://", ""), r"(?<=.)/.*$", "")).otherwise(s)
+    s = F.regexp_replace(s, r"^https?://([^/]+).*$", "$1")
     return F.regexp_replace(F.regexp_replace(s, r"/+$", ""), CLUSTER_SUFFIXES, "")
 
 
@@ -100,29 +100,28 @@ def _unquoted(c: Column | str) -> Column:
 
 
 def _queue_tail(s: Column) -> Column:
-    s = F.trim(F.regexp_replace(s, "^queue:", ""))
-    s = F.when(s.rlike(r"^arn:.*:[^:]+$"), F.regexp_extract(s, r":([^:]+)$", 1)).otherwise(s)
-    path = F.btrim(F.regexp_extract(s, r"^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit("/"))
-    return F.when(F.contains(s, F.lit("://")) & (path != ""), F.regexp_extract(path, r"([^/]+)$", 1)).otherwise(s)
+    s = F.regexp_replace(F.trim(F.regexp_replace(s, "^queue:", "")), r"^arn:.*:([^:]+)$", "$1")
+    return F.regexp_replace(s, r"^[a-z][a-z0-9+.-]*://[^/?#]*/(?:[^?#]*/)?([^/?#]+)/*(?:[?#].*)?$", "$1")
+
+
+def _separated(c: Column | str, drop: str, fifo: str) -> Column:
+    s = F.regexp_replace(_queue_tail(_unquoted(c)), r"\.fifo$", "\u0001")
+    return F.replace(F.regexp_replace(s, drop, ""), F.lit("\u0001"), F.lit(fifo))
 
 
 def queue_key(c: Column | str) -> Column:
     """Graph form: letters and digits only, `_fifo` for FIFO queues."""
-    s = _queue_tail(_unquoted(c))
-    key = F.regexp_replace(F.regexp_replace(s, r"\.fifo$", ""), r"[^a-z0-9]", "")
-    return F.when(F.endswith(s, F.lit(".fifo")), F.concat(key, F.lit("_fifo"))).otherwise(key)
+    return _separated(c, r"[^a-z0-9\u0001]", "_fifo")
 
 
 def queue_topic(c: Column | str) -> Column:
     """Resolver form: separators removed, the FIFO suffix dropped."""
-    return F.regexp_replace(F.regexp_replace(_queue_tail(_unquoted(c)), r"\.fifo$", ""), r"[-_.]+", "")
+    return _separated(c, r"[-_.]+", "")
 
 
 def queue_route(c: Column | str) -> Column:
     """Flow form: separators removed, `.fifo` kept."""
-    s = _queue_tail(_unquoted(c))
-    bare = F.regexp_replace(F.regexp_replace(s, r"\.fifo$", ""), r"[-_.]+", "")
-    return F.when(F.endswith(s, F.lit(".fifo")), F.concat(bare, F.lit(".fifo"))).otherwise(bare)
+    return _separated(c, r"[-_.]+", ".fifo")
 
 
 def scoped_queue(key: Column, service: Column, source: Column) -> Column:
@@ -144,27 +143,22 @@ def placeholder_default(c: Column | str) -> Column:
 def route_path(c: Column | str) -> Column:
     """Path of a route or URL template: defaults expanded, host and query dropped; '' unless it starts with a slash."""
     s = placeholder_default(F.trim(F.btrim(F.coalesce(col(c), F.lit("")), F.lit("\"'"))))
-    url = F.regexp_extract(F.regexp_replace(s, r"\$\{[^}]+\}", "placeholder"), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    s = F.when(F.contains(s, F.lit("://")) & (url != ""), url).when(s.rlike(r"^\$\{[^}]*\}/"), F.regexp_replace(s, r"^\$\{[^}]*\}", "")).otherwise(s)
-    s = F.regexp_replace(s, r"\?.*$", "")
-    return F.when(F.startswith(s, F.lit("/")), s).otherwise(F.lit(""))
+    s = F.when(F.contains(s, F.lit("://")), F.regexp_replace(s, r"\$\{[^}]+\}", "placeholder")).otherwise(s)
+    s = F.regexp_replace(F.regexp_replace(s, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(?=/)", ""), r"^\$\{[^}]*\}(?=/)", "")
+    return F.regexp_extract(F.regexp_replace(s, r"\?.*$", ""), r"(?s)^(/.*)$", 1)
 
 
 def route_normal(c: Column | str) -> Column:
     """Route identity of the graph: lower case, parameters as {}, single slashes, no closing slash."""
-    p = F.lower(F.trim(route_path(c)))
-    s = F.regexp_replace(F.regexp_replace(p, r"\$\{[^}]+\}", "{}"), r"\{[^}/]+\}", "{}")
-    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r":[a-z_][a-z0-9_]*", "{}"), r"/+", "/"), r"/+$", "")
-    return F.when(p == "", F.lit("")).when(s == "", F.lit("/")).otherwise(s)
+    s = F.regexp_replace(F.lower(F.trim(route_path(c))), r"\$\{[^}]+\}|\{[^}/]+\}|:[a-z_][a-z0-9_]*", "{}")
+    return F.regexp_replace(F.regexp_replace(s, r"/+", "/"), r"(?<=.)/$", "")
 
 
 def route_canonical(c: Column | str) -> Column:
     """Route identity of facts: whole segments that are parameters in any framework's notation become {}."""
-    p = lower(c)
-    s = F.regexp_replace(F.when(F.startswith(p, F.lit("/")), p).otherwise(F.concat(F.lit("/"), p)), r"/+", "/")
-    is_param = lambda x: x.isin("*", "**") | x.rlike(r"^:|^\{.*\}$|^<.*>$")
-    s = F.array_join(F.transform(F.split(s, "/"), lambda x: F.when(is_param(x), F.lit("{}")).otherwise(x)), "/")
-    return F.when(p == "", F.lit("")).when(F.length(s) > 1, F.regexp_replace(s, r"/+$", "")).otherwise(s)
+    s = F.regexp_replace(F.regexp_replace(lower(c), r"^(?=[^/])", "/"), r"/+", "/")
+    s = F.regexp_replace(s, r"(?<=/)(\*\*?|:[^/]*|\{[^/]*\}|<[^/]*>)(?=/|$)", "{}")
+    return F.regexp_replace(s, r"(?<=.)/$", "")
 
 
 def route_stripped(c: Column) -> Column:
