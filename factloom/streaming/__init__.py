@@ -1 +1 @@
-"""Structured Streaming operators."""
+"""Structured Streaming operators: idempotent enqueue, per-project job lanes, event log, windows over events."""
