@@ -76,9 +76,6 @@ def _email(text: str, low: str, at: int, word: str):
         return None
     if spaced:
         written = regex.search(r"dot|punkt|punto|point|ponto", domain[0][: end - hi], regex.I)
-        mailbox = regex.search(r"[._+\-\d]", who) or regex.search(r"[<(\[,;:\"']\s*$", before)
-        if not written and not mailbox:
-            return None
         if not regex.search(r"[<(\[,;:\"'\n]\s*$|\b(?:from|de|von|to|to:|an|a|em|cc|at|mail|email|e-mail|correo|contact|contato|contacto|joindre|write|reach)\s+$|^$", before, regex.I) and not written:
             return None
     return lo, end, "email"
