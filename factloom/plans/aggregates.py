@@ -107,7 +107,7 @@ def a9_shared_resources(spark, d):
 @query(with_(CALLS, EDGES, SERVICES) + "SELECT service_id AS node, 'service' AS node_kind FROM services UNION SELECT n, 'identity_only' FROM (SELECT src AS n FROM edges UNION SELECT dst FROM edges) WHERE n NOT IN (SELECT service_id FROM services)")
 def a10_graph_nodes(spark, d):
     """Nodes of the graph: services, and ends of edges that no service stands for."""
-    s = B.services(spark, d).where("team <> ''").select(F.col("service_id").alias("node"))
+    s = B.services(spark, d).select(F.col("service_id").alias("node"))
     e = edges(spark, d)
     ends = e.select("src").union(e.select("dst")).distinct().toDF("node")
     return s.withColumn("node_kind", F.lit("service")).union(ends.join(s, "node", "left_anti").withColumn("node_kind", F.lit("identity_only")))

@@ -189,9 +189,11 @@ def pr25_compact_services(spark, d):
     return B.facts(spark, d).groupBy("service").agg(F.count_if(F.col("kind") == "exposure").alias("exposures"), F.count_if(F.col("kind") == "dependency").alias("dependencies"), F.min("entity_id").alias("first_trace"))
 
 
-@query("SELECT run_id, project_id FROM graph_runs WHERE project_id IN ('proj-hazel-000000', 'proj-ember-000002')")
+@query("SELECT run_id, project_id FROM graph_runs WHERE project_id IN (SELECT project_id FROM refresh_jobs WHERE trigger_name = 'manual' AND deleted_at IS NULL)")
 def pr26_visible_projects(spark, d):
-    return table(spark, d, "graph_runs").where(F.col("project_id").isin("proj-hazel-000000", "proj-ember-000002")).select("run_id", "project_id")
+    """Runs of the projects a caller may see: here those somebody has started a job of."""
+    access = table(spark, d, "refresh_jobs").where("trigger_name = 'manual' and deleted_at is null").select("project_id").distinct()
+    return table(spark, d, "graph_runs").join(access, "project_id", "left_semi").select("run_id", "project_id")
 
 
 @query(with_(FACTS, "latest AS (SELECT project_id, max(finished_at) AS finished_at, arg_max(status, finished_at) AS status FROM graph_runs GROUP BY project_id)") + """

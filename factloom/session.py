@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,8 +42,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows read back from a table written to the shared folder: survives the loss of executors, lineage ends here."""
+    """The same rows read back from a table written to the shared folder: survives the loss of executors, lineage ends here.
+
+    The table is removed when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/factloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once an application, so that they need no copy on their path."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    here = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="factloom-"), "factloom.zip")  # read by the driver's own file server
+    with zipfile.ZipFile(out, "w") as z:
+        for folder, dirs, files in os.walk(here):
+            dirs[:] = [x for x in dirs if x != "__pycache__"]
+            for f in files:
+                if f.endswith(".py"):
+                    p = os.path.join(folder, f)
+                    z.write(p, os.path.join("factloom", os.path.relpath(p, here)))
+    spark.sparkContext.addPyFile(out)
