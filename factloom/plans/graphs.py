@@ -128,7 +128,13 @@ def g10_blast_radius(spark, d, target="service:0", depth=2):
     return T.blast_radius(impact(spark, d), target, depth, nodes=100_000).select("node", "depth", "crosses_service")
 
 
-@query()
+_TOPICS = r"""qt AS (SELECT *, regexp_replace(lower(trim(regexp_extract(name, '^\S+\s+(.*)$', 1))), '[-_.]+', '', 'g') AS topic FROM facts WHERE type IN ('queue_publish', 'queue_consumer', 'stream_consume')),
+qm AS (SELECT entity_id, split_part(m, '|', 2) AS to_entity FROM (SELECT a.entity_id, min(b.service || '|' || b.entity_id) AS m FROM qt a JOIN qt b ON a.topic = b.topic AND a.topic <> '' AND a.type = 'queue_publish' AND b.type <> 'queue_publish' AND a.service <> b.service GROUP BY ALL)),
+tr AS (SELECT src AS a, dst AS b FROM links WHERE src <> '' AND dst <> '' AND src <> dst UNION SELECT entity_id, to_entity FROM exact UNION SELECT entity_id, to_entity FROM stripped UNION SELECT entity_id, to_entity FROM qm)"""
+
+
+@query(with_(FACTS, LINKS, _RT, _TOPICS) + """, w AS (SELECT entity_id AS root, entity_id AS node, 0 AS depth FROM facts WHERE kind = 'exposure' UNION SELECT w.root, tr.b, w.depth + 1 FROM w JOIN tr ON tr.a = w.node WHERE w.depth < 5),
+m AS (SELECT root, node, min(depth) AS depth FROM w GROUP BY ALL) SELECT root, node, CAST(depth AS INT) AS depth, (SELECT max(depth) FROM m) > 4 AS limited FROM m WHERE depth BETWEEN 1 AND 4""")
 def g11_flow_walk(spark, d, depth=4):
     """What each entry point sets off: its own connections, then the matched routes and queues of other services, up to a depth.
 
@@ -136,13 +142,14 @@ def g11_flow_walk(spark, d, depth=4):
     topic to another service's entry point. Cycles end where a state was seen.
     """
     from factloom.operators.resolve import queue_matches, route_matches
+    from factloom.session import cut
 
-    f, l = B.facts(spark, d), B.links(spark, d)  # noqa: E741
+    f, l = cut(B.facts(spark, d)), B.links(spark, d)  # noqa: E741
     local = l.where("src <> '' and dst <> ''").select("src", "dst")
     cross = route_matches(f).select(F.col("entity_id").alias("src"), F.col("to_entity").alias("dst")).union(queue_matches(f).select("entity_id", "to_entity"))
     roots = f.where("kind = 'exposure'").select(F.col("entity_id").alias("root"))
     reach, limited = T.levels(local.union(cross), roots, depth)
-    return reach.where("depth > 0").select("root", "node", "depth", F.array_join("path", ">").alias("path"), F.lit(limited).alias("limited"))
+    return reach.where("depth > 0").select("root", "node", "depth", F.lit(limited).alias("limited"))
 
 
 @query(with_(FACTS) + "SELECT entity_id, name, service FROM facts WHERE kind = 'exposure' AND (contains(lower(name), 'ticket') OR contains(service, 'ticket'))")

@@ -36,10 +36,10 @@ def w3_first_seen(spark, d):
     return B.facts(spark, d).groupBy("service", "type", F.lower("name").alias("key")).agg(F.min_by("entity_id", o).alias("entity_id"))
 
 
-@query("SELECT project_id, arg_max(run_id, {'f': finished_at, 'r': run_id}) AS run_id, max(finished_at) AS finished_at FROM graph_runs WHERE status IN ('succeeded', 'completed') GROUP BY project_id")
+@query("SELECT project_id, arg_max(run_id, {'f': finished_at, 'r': run_id}) AS run_id, strftime(max(finished_at), '%Y-%m-%d %H:%M:%S') AS finished_at FROM graph_runs WHERE status IN ('succeeded', 'completed') GROUP BY project_id")
 def w5_latest_runs(spark, d):
     r = table(spark, d, "graph_runs").where("status in ('succeeded', 'completed')")
-    return r.groupBy("project_id").agg(F.max_by("run_id", F.struct("finished_at", "run_id")).alias("run_id"), F.max("finished_at").alias("finished_at"))
+    return r.groupBy("project_id").agg(F.max_by("run_id", F.struct("finished_at", "run_id")).alias("run_id"), F.date_format(F.max("finished_at"), "yyyy-MM-dd HH:mm:ss").alias("finished_at"))
 
 
 @query(with_(CALLS, EDGES) + ", p AS (SELECT DISTINCT src AS n FROM edges UNION SELECT DISTINCT dst FROM edges) SELECT e.dst AS node, round(avg(e.src), 6) AS center, count(*) AS neighbours FROM (SELECT DISTINCT src, dst FROM edges) e GROUP BY e.dst")
@@ -70,10 +70,10 @@ def l3_search_cap(spark, d, cap=50):
     return B.facts(spark, d).where(F.contains(F.lower("name"), F.lit("order"))).orderBy("entity_id").limit(cap).orderBy("name", "entity_id").select("entity_id", "name")
 
 
-@query("SELECT run_id, project_id, started_at, 50 AS next_offset FROM graph_runs ORDER BY started_at DESC, run_id LIMIT 10 OFFSET 5")
+@query("SELECT run_id, project_id, strftime(started_at, '%Y-%m-%d %H:%M:%S') AS started_at, 50 AS next_offset FROM graph_runs ORDER BY graph_runs.started_at DESC, run_id LIMIT 10 OFFSET 5")
 def l4_run_page(spark, d, offset=5, size=10):
     r = table(spark, d, "graph_runs").orderBy(F.desc("started_at"), "run_id").offset(offset).limit(size)
-    return r.select("run_id", "project_id", "started_at", F.lit(50).alias("next_offset"))
+    return r.select("run_id", "project_id", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("started_at"), F.lit(50).alias("next_offset"))
 
 
 @query(with_(CALLS, EDGES) + "SELECT src, dst, edge_type, true AS has_more FROM edges ORDER BY src, dst, edge_type LIMIT 50 OFFSET 100")
@@ -145,9 +145,9 @@ def t2_coalesce(spark, d):
     return B.jobs(spark, d).where("status = 'queued'").groupBy("project_id", "trigger_name").agg(F.max("job_id").alias("job_id"), F.count("*").alias("coalesced"))
 
 
-@query(with_(JOBS) + "SELECT project_id, trigger_name, job_id, not_before FROM jobs j WHERE status = 'queued' AND NOT coalesce(cancel_requested, false) AND (project_id, trigger_name) NOT IN (SELECT (project_id, trigger_name) FROM jobs WHERE status = 'running') QUALIFY row_number() OVER (PARTITION BY project_id, trigger_name ORDER BY not_before, created_at, job_id) = 1")
+@query(with_(JOBS) + "SELECT project_id, trigger_name, job_id, strftime(not_before, '%Y-%m-%d %H:%M:%S') AS not_before FROM jobs j WHERE status = 'queued' AND NOT coalesce(cancel_requested, false) AND (project_id, trigger_name) NOT IN (SELECT (project_id, trigger_name) FROM jobs WHERE status = 'running') QUALIFY row_number() OVER (PARTITION BY project_id, trigger_name ORDER BY j.not_before, created_at, job_id) = 1")
 def t3_claim(spark, d):
-    return J.claimable(B.jobs(spark, d), ("project_id", "trigger_name"))
+    return J.claimable(B.jobs(spark, d), ("project_id", "trigger_name")).withColumn("not_before", F.date_format("not_before", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query(with_(JOBS, ATTEMPTS) + "SELECT j.job_id, a.attempts, a.ended_us + CAST(power(2, least(attempts, 6)) AS BIGINT) * 1000000 AS retry_us FROM (SELECT lower(job_id) AS job_id, status, max_attempts FROM jobs) j JOIN (SELECT job_id, count(*) AS attempts, max(epoch_us(finished_at)) AS ended_us FROM attempts GROUP BY job_id) a USING (job_id) WHERE status IN ('failed', 'interrupted') AND a.attempts < j.max_attempts")
