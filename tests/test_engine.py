@@ -15,7 +15,7 @@ from factloom.operators import graph as G
 from factloom.operators import jobs as J
 from factloom.operators import traverse as T
 from factloom.operators.predicates import glob_regex
-from factloom.sources import files, store
+from factloom.sources import code, files, store
 from factloom.streaming import jobs as SJ
 
 T0 = datetime(2025, 1, 1)
@@ -196,6 +196,22 @@ def test_repository_scan_and_parsers(spark, tmp_path):
     assert {(r.language, r.version) for r in files.markers(f).collect()} == {("Go", "1.22")}
 
 
+def test_symbols_calls_and_imports(spark):
+    src = {
+        "a.py": ("Python", "import os.path as p\nfrom flask import Flask\n\nclass A:\n    @app.get('/x/{id}')\n    def f(self):\n        return self.repo.find(1)\n\nprint(A())\n"),
+        "bad.py": ("Python", "def (:"),
+        "b.go": ("Go", "func (s *Store) Get(ctx C) error {\n\treturn s.repo.Find(ctx)\n}\n"),
+        "C.java": ("Java", "public class C {\n  public String m(int a) {\n    return this.repo.load(a);\n  }\n}\n"),
+        "n": (None, None),
+    }
+    df = spark.createDataFrame([(p, *v) for p, v in src.items()], "path string, language string, text string")
+    rows = code.parsed(df)
+    got = {(r.path, r.row_kind, r.name, r.target) for r in rows.collect()}
+    assert {("a.py", "symbol", "A.f", "function"), ("a.py", "call", "A.f", "self.repo.find"), ("a.py", "call", "", "print"), ("a.py", "import", "p", "os.path"), ("a.py", "import", "Flask", "flask.Flask"), ("b.go", "call", "Store.Get", "s.repo.Find"), ("C.java", "symbol", "C.m", "function"), ("C.java", "call", "C.m", "this.repo.load")} <= got
+    assert not any(p in ("bad.py", "n") for p, *_ in got)
+    assert [(r.method, r.route, r.handler) for r in code.python_routes(rows).collect()] == [("GET", "/x/{id}", "A.f")]
+
+
 def test_documents_runs_and_catalog(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"schema": "x.service.v1", "service": {"name": "s"}}))
     (tmp_path / "b.json").write_text(json.dumps({"schema": "other"}))
