@@ -97,12 +97,13 @@ _USERINFO = regex.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://([^\s:/@\"'`<>?#${}]*)(?:
 _DEFAULT = regex.compile(r"\$\{([A-Za-z_][\w.\-]*)\s*:[\-=]?([^{}$]+)\}")
 _NAME = r"(?<![A-Za-z0-9_])([A-Za-z_][\w.\-]{0,80})"
 _ASSIGN = regex.compile(
-    _NAME + r"[\"'\]]{0,2}\s*(?::=|=>|[:=])\s*(?:(?:(?:[\w.]*(?:fromhex|fromHex|decode|decode64|unhexlify|from|bytes|encode|getBytes|str|String|Some|Secret|SecretStr|quote))\()?\s*(?:[brufL@]{0,2})(?P<q>[\"'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\])*)(?P=q)?|(?P<u>[^\s\"'`<>,;&{}|]+))", regex.S
+    _NAME + r"[\"'\]]{0,2}\s*(?::=|=>|[:=])\s*(?:(?:(?:[\w.]*(?:fromhex|fromHex|decode|decode64|unhexlify|from|bytes|encode|getBytes|str|String|Some|Secret|SecretStr|quote))\(\s*)?(?:[brufL@]{0,2})(?P<q>[\"'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\])*)(?P=q)?|(?P<u>[^\s\"'`<>,;&{}|]{1,1024}))", regex.S
 )
+_REST = regex.compile(r"[^\s\"'`<>,;&{}|]*")
 _ATTR = regex.compile(r"(?:name|key|id)\s*=\s*[\"']([\w.\-]+)[\"']\s+value\s*=\s*([\"'])((?:(?!\2).)*)\2", regex.I)
 _SQL = regex.compile(r"\b(?:IDENTIFIED\s+(?:WITH\s+\w+\s+)?BY|PASSWORD)\s+(['\"])((?:(?!\1).)+)\1", regex.I)
 _CLI = regex.compile(r"(?:^|\s)(?:-u|--user)[ =][\"']?[\w.\-]+:([^\s\"'@:]+)|(?:^|\s)(?:mysql|mysqldump|mysqladmin|mariadb)\b[^|;\n]*?\s-p([^\s\"']+)|(?:^|\s)(?:sshpass|plink|pscp)\s+-p\s*[\"']?([^\s\"']+)|(?:^|\s)--?(?:password|passwd|pass|token|secret|api-key|apikey)[ =][\"']?([^\s\"'\-][^\s\"']*)", regex.I)
-_PIECES = regex.compile(r"([\"'])((?:(?!\1)[^\n\\])*)\1(?:\s*(?:\+|\.|\\\n|\|\|)?\s*([\"'])((?:(?!\3)[^\n\\])*)\3)+")
+_PIECES = regex.compile(r"([\"'])((?:(?!\1)[^\n\\])*)\1(?:\s*(?:(?:\+|\.|\\\n|\|\|)\s*)?([\"'])((?:(?!\3)[^\n\\])*)\3)+")
 _PIECE = regex.compile(r"([\"'])((?:(?!\1)[^\n\\])*)\1")
 _DIGEST = regex.compile(r"(?:sha(?:1|256|384|512)|md5|digest|integrity|etag|checksum|commit|uuid|fingerprint|revision|build|trace)[\w\"']*\s*[:=@\-]?\s*[\"']?$", regex.I)
 _MEANT = regex.compile(r"api[ _\-]?key|password|passwd|secret|token|passphrase|credential|private key|kennwort|senha|contraseña", regex.I)
@@ -158,9 +159,10 @@ def find(text: str | None, judge: Judge) -> list[Find]:
             if level and regex.fullmatch(r"[\w+/=.\-!@#$%^&*~]+", whole) and judge.secret(whole, level) and (level == 2 or judge.unnatural(whole)):
                 add(parts[0][0], parts[-1][1], parts)
                 pieced.append((m.start(), m.end()))
+    done = 0
     for m in _ASSIGN.finditer(text, overlapped=True):
         level = strength(m[1])
-        if not level:
+        if not level or m.start(1) < done:
             continue
         g = "v" if m["v"] is not None else "u"
         v, lo = m[g], m.start(g)
@@ -184,7 +186,10 @@ def find(text: str | None, judge: Judge) -> list[Find]:
         if level == 1 and (_DIGEST.search(text, max(0, m.start(1) - 20), m.end(1)) or regex.fullmatch(r"[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f\-]{36}", v)):
             continue
         if judge.secret(v, level):
-            add(lo, lo + len(v))
+            done = lo + len(v)
+            if g == "u" and len(m["u"]) == 1024:
+                done = _REST.match(text, m.end("u")).end()  # the rest of an unusually long value
+            add(lo, done)
     for m in _ATTR.finditer(text):
         if strength(m[1]) == 2 and judge.secret(m[3], 2):
             add(m.start(3), m.end(3))

@@ -37,10 +37,11 @@ from factloom.session import cut
 
 K, EXACT, TOLERANT, ONE_IN = 3, 12, 30, 6
 WORD = re.compile(r"[^\W_]+")
-TAG = re.compile(r"</?[a-zA-Z][^<>]{0,300}>|<!--.*?-->", re.S)
+TAG = re.compile(r"</?[a-zA-Z][^<>]{0,300}>")
+COMMENT = re.compile(r"<!--[^<]{0,2000}?-->")
 ESCAPE = re.compile(r"\\(?:u\{?([0-9a-fA-F]{4,6})\}?|x([0-9a-fA-F]{2})|[nrtbfv0])")
 PERCENT = re.compile(r"%([0-9a-fA-F]{2})")
-SPLIT = re.compile(r"(?<=\w)(?:­|[-‐]\s*\n\s*(?:(?://|#|>|\*|--)\s*)?)(?=\w)")
+SPLIT = re.compile(r"(?<=\w)(?:­|[-‐][ \t]*\r?\n[ \t]*(?:(?://|#|>|\*|--)[ \t]*)?)(?=\w)")
 
 
 def _escape(m: re.Match) -> str:
@@ -59,7 +60,7 @@ def plain(text: str) -> str:
     if text.count("%20") > 3:
         text = PERCENT.sub(lambda m: chr(int(m[1], 16)), text)
     if "<" in text:
-        text = TAG.sub(" ", text)
+        text = TAG.sub(" ", COMMENT.sub(" ", text))
     return SPLIT.sub("", text) if "\n" in text or "­" in text else text
 
 

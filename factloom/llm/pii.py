@@ -167,8 +167,8 @@ _EN_WORDS = r"Street|St\b\.?|Road|Rd\b\.?|Lane|Ln\b\.?|Avenue|Ave\b\.?|Close|Dri
 _ADDRESSES = (
     regex.compile(rf"{_UNIT}\d{{1,5}}[A-Za-z]?,?\s(?:{_W}\s){{1,3}}(?:{_EN_WORDS}){_CITY}"),
     regex.compile(rf"{_W}(?:straße|strasse|weg|gasse|allee|platz|ring|damm|ufer|-Str\.|str\.|-Straße|-Allee|-Platz|-Weg|\sStraße|\sStr\.|\sAllee|\sPlatz|\sWeg)\s\d{{1,4}}(?:\s?[a-z]\b)?(?!\w){_CITY}"),
-    regex.compile(rf"\d{{1,4}}(?:\s?(?:bis|ter)|[a-z])?,?\s(?:rue|avenue|boulevard|place|chemin|allée|impasse|quai|cours|route)\s(?:(?:de|du|des|la|le|les|l’|l')\s?)*{_W}(?:\s{_W})*{_CITY}"),
-    regex.compile(rf"(?:Calle|C/|Avenida|Avda\.?|Av\.|Plaza|Paseo|Camino|Rua|Travessa|Praça|Largo|Alameda|Via|Viale|Piazza)\s?(?:(?:de|del|do|da|dos|das|la|las|los|el)\s)*{_W}(?:\s{_W})*,?\s(?:n[º°.o]\.?\s?|núm\.?\s|número\s)?\d{{1,4}}[a-z]?(?:,\s\d{{1,2}}\s?[º°ª]\s?\p{{Lu}}?)?{_CITY}"),
+    regex.compile(rf"\d{{1,4}}(?:\s?(?:bis|ter)|[a-z])?,?\s(?:rue|avenue|boulevard|place|chemin|allée|impasse|quai|cours|route)\s(?:(?:de|du|des|la|le|les|l’|l')\s?){{0,3}}{_W}(?:\s{_W}){{0,3}}{_CITY}"),
+    regex.compile(rf"(?:Calle|C/|Avenida|Avda\.?|Av\.|Plaza|Paseo|Camino|Rua|Travessa|Praça|Largo|Alameda|Via|Viale|Piazza)\s?(?:(?:de|del|do|da|dos|das|la|las|los|el)\s){{0,3}}{_W}(?:\s{_W}){{0,3}},?\s(?:n[º°.o]\.?\s?|núm\.?\s|número\s)?\d{{1,4}}[a-z]?(?:,\s\d{{1,2}}\s?[º°ª]\s?\p{{Lu}}?)?{_CITY}"),
 )
 _STREET_WORDS = (
     " street", " st.", " st", " road", " rd", " lane", " ln", " avenue", " ave", " close", " drive", " court", " way", " place", " square", " terrace", " crescent",
