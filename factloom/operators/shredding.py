@@ -54,7 +54,7 @@ def decoded(value, depth: int = 4):
             return value
         try:
             value = json.loads(s)
-        except ValueError:
+        except (ValueError, RecursionError):
             return value
         depth -= 1
     return value

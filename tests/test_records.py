@@ -69,6 +69,7 @@ def test_unreadable_bodies_and_details(spark):
     details = {"request_fields": ["a"], "metadata": {"details": json.dumps({"headers": {"b": "string"}})}, "other": 1}
     assert shred(spark, [("x", json.dumps(details))], "entities") == {
         ("x", "details.request_fields", "x/a", "x"), ("x", "details.metadata.details.headers", "x/b", "x")}
+    assert shred(spark, [("deep", "[" * 100_000 + "]" * 100_000)]) == set()
     long = {"objects": {"db_queries": [{"id": f"q{i}"} for i in range(60_000)]}}
     assert len(shred(spark, [("r", json.dumps(long))])) == 60_000
 
