@@ -92,10 +92,12 @@ def g7_trace_view(spark, d, text="order"):
 def g8_object_trace(spark, d, shown=5):
     """Connections of each exact object: full count, and the first few in order."""
     f = B.facts(spark, d).select("entity_id")
-    l = B.links(spark, d).select(F.col("src").alias("entity_id"), "connection_id")  # noqa: E741
-    j = f.join(l, "entity_id").withColumn("n", F.row_number().over(Window.partitionBy("entity_id").orderBy("connection_id")))
-    first = F.array_sort(F.collect_list(F.when(F.col("n") <= shown, F.col("connection_id"))))
-    return j.groupBy("entity_id").agg(F.count("*").alias("connections"), F.count_if(F.col("n") <= shown).alias("shown"), F.array_join(first, ",").alias("first_ids"))
+    j = f.join(B.links(spark, d).select(F.col("src").alias("entity_id"), "connection_id"), "entity_id")
+    total = j.groupBy("entity_id").agg(F.count("*").alias("connections"))
+    # the filter on the rank lets each task keep only the first few before the shuffle
+    first = j.withColumn("n", F.row_number().over(Window.partitionBy("entity_id").orderBy("connection_id"))).where(F.col("n") <= shown)
+    ids = first.groupBy("entity_id").agg(F.count("*").alias("shown"), F.array_join(F.array_sort(F.collect_list("connection_id")), ",").alias("first_ids"))
+    return total.join(ids, "entity_id").select("entity_id", "connections", "shown", "first_ids")
 
 
 _WALK = """walk AS (SELECT '0' AS node, ['0'] AS path, 0 AS depth UNION ALL SELECT CAST(e.dst AS VARCHAR), list_append(w.path, CAST(e.dst AS VARCHAR)), w.depth + 1 FROM walk w JOIN (SELECT DISTINCT src, dst FROM edges) e ON CAST(e.src AS VARCHAR) = w.node WHERE w.depth < 6 AND NOT list_contains(w.path, CAST(e.dst AS VARCHAR))),
