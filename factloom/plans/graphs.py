@@ -127,9 +127,16 @@ def impact(spark, d):
 @query(with_(CALLS, EDGES, QUEUE_ROLES, RESOURCE_OPS, _IMP) + """, r AS (SELECT 'service:0' AS node, 0 AS depth UNION SELECT i.b, r.depth + 1 FROM r JOIN imp i ON i.a = r.node WHERE r.depth < 2),
 m AS (SELECT node, min(depth) AS depth FROM r GROUP BY node) SELECT node, CAST(depth AS INT) AS depth, prefix(node, 'service:') AS crosses_service FROM m WHERE depth > 0""")
 def g10_blast_radius(spark, d, target="service:0", depth=2):
+    """The two nearest hops only, as the SQL counterpart has them; g10_blast_radius_whole has the whole radius."""
     return T.blast_radius(impact(spark, d), target, depth, nodes=100_000).select("node", "depth", "crosses_service")
 
 
+@query()
+def g10_blast_radius_whole(spark, d, target="service:0", depth=6):
+    """What a change of one service affects up to the inventory's depth; bounded says whether more lies beyond."""
+    return T.blast_radius(impact(spark, d), target, depth, nodes=None).select("node", "depth", "crosses_service", "bounded")
+
+
 _TOPICS = r"""qt AS (SELECT *, regexp_replace(lower(trim(regexp_extract(name, '^\S+\s+(.*)$', 1))), '[-_.]+', '', 'g') AS topic FROM facts WHERE type IN ('queue_publish', 'queue_consumer', 'stream_consume')),
 qm AS (SELECT entity_id, split_part(m, '|', 2) AS to_entity FROM (SELECT a.entity_id, min(b.service || '|' || b.entity_id) AS m FROM qt a JOIN qt b ON a.topic = b.topic AND a.topic <> '' AND a.type = 'queue_publish' AND b.type <> 'queue_publish' AND a.service <> b.service GROUP BY ALL)),
 tr AS (SELECT src AS a, dst AS b FROM links WHERE src <> '' AND dst <> '' AND src <> dst UNION SELECT entity_id, to_entity FROM exact UNION SELECT entity_id, to_entity FROM stripped UNION SELECT entity_id, to_entity FROM qm)"""
@@ -286,11 +293,20 @@ def g22_contract_diff(spark, d):
 @query(with_(CALLS, EDGES, QUEUE_ROLES, RESOURCE_OPS, SERVICES, _IMP) + """, r AS (SELECT 'service:1' AS node, 0 AS depth UNION SELECT i.b, r.depth + 1 FROM r JOIN imp i ON i.a = r.node WHERE r.depth < 2), m AS (SELECT node, min(depth) AS depth FROM r GROUP BY node)
 SELECT s.team, count(*) FILTER (WHERE depth = 1) AS direct, count(*) FILTER (WHERE depth > 1) AS indirect FROM m JOIN services s ON m.node = 'service:' || s.service_id WHERE depth > 0 GROUP BY s.team""")
 def g23_company_impact(spark, d, target="service:1", depth=2):
+    """The two nearest hops only, as the SQL counterpart has them; g23_company_impact_whole has the whole impact."""
     b = T.blast_radius(impact(spark, d), target, depth, nodes=100_000)
     s = B.services(spark, d).select(F.concat(F.lit("service:"), "service_id").alias("node"), "team")
     return b.join(s, "node").groupBy("team").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("indirect"))
 
 
+@query()
+def g23_company_impact_whole(spark, d, target="service:1", depth=8):
+    """Affected services per team up to the inventory's depth; bounded says whether more lies beyond."""
+    b = T.blast_radius(impact(spark, d), target, depth, nodes=None)
+    s = B.services(spark, d).select(F.concat(F.lit("service:"), "service_id").alias("node"), "team")
+    return b.join(s, "node").groupBy("team").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("indirect"), F.max("bounded").alias("bounded"))
+
+
 @query(with_(FACTS, LINKS) + "SELECT src AS entry, 'connected' AS trace, count(*) AS steps FROM links WHERE src IN (SELECT entity_id FROM facts WHERE kind = 'exposure') GROUP BY src UNION ALL SELECT entity_id, 'entry_only', 0 FROM facts WHERE kind = 'exposure' AND entity_id NOT IN (SELECT src FROM links WHERE src IS NOT NULL)")
 def g24_flow_assembly(spark, d):
     """A flow per connected entry point, and a single-node one for each other entry point."""

@@ -149,6 +149,18 @@ def test_impact_grows_with_depth_and_knows_directions(spark):
     assert near == {"service:a", "queue:q"} and far == {("service:a", False), ("queue:q", True), ("service:c", True)}
 
 
+def test_whole_impact_reaches_beyond_two_hops_and_tells_bounds(spark, monkeypatch):
+    from factloom.plans import graphs
+
+    chain = spark.createDataFrame([(f"service:{i}", f"service:{i + 1}", "http") for i in range(9)], "a string, b string, edge_type string")
+    monkeypatch.setattr(graphs, "impact", lambda spark, d: chain)
+    monkeypatch.setattr(graphs.B, "services", lambda spark, d: spark.createDataFrame([(i, "t") for i in range(10)], "service_id int, team string"))
+    got = graphs.g10_blast_radius_whole(spark, "").collect()
+    assert {r.node: r.depth for r in got} == {f"service:{i}": i for i in range(1, 7)} and all(r.bounded for r in got)
+    assert [tuple(r) for r in graphs.g23_company_impact_whole(spark, "").collect()] == [("t", 1, 7, False)]
+    assert not any(r.bounded for r in T.blast_radius(chain, "service:0", 9).collect())
+
+
 def test_paths_keep_diamonds_and_end_at_cycles(spark):
     e = edges_of(spark, ("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "a"))
     entries = spark.createDataFrame([("a",)], "entry string")
