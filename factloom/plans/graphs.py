@@ -161,6 +161,12 @@ def g11_flow_walk(spark, d, depth=4):
     return reach.where("depth > 0").select("root", "node", "depth", F.lit(limited).alias("limited"))
 
 
+@query()
+def g11_flow_walk_whole(spark, d, depth=6):
+    """The flow walk to the inventory's depth, which its SQL counterpart doesn't reach."""
+    return g11_flow_walk(spark, d, depth)
+
+
 @query(with_(FACTS) + "SELECT entity_id, name, service FROM facts WHERE kind = 'exposure' AND (contains(lower(name), 'ticket') OR contains(service, 'ticket'))")
 def g12_entrypoint_search(spark, d, text="ticket"):
     return B.facts(spark, d).where((F.col("kind") == "exposure") & (F.contains(F.lower("name"), F.lit(text)) | F.contains("service", F.lit(text)))).select("entity_id", "name", "service")
@@ -180,22 +186,45 @@ def g13_full_search(spark, d, text="wallet"):
   UNION ALL SELECT p.entry, ed.dst, list_append(p.path, ed.dst), p.hops + 1 FROM p JOIN ed ON ed.src = p.node WHERE p.hops < 3 AND NOT list_contains(p.path, ed.dst))
 SELECT entry, array_to_string(path, '>') AS path, CAST(hops AS INT) AS hops FROM p WHERE hops > 0""")
 def g14_call_paths(spark, d, depth=3):
+    """Paths of up to three calls only, as the SQL counterpart has them; g14_call_paths_whole goes on."""
     s = _steps(spark, d).where("from_symbol is not null and to_symbol is not null")
     e = s.select(F.col("from_symbol").alias("src"), F.col("to_symbol").alias("dst"))
     entries = _steps(spark, d).where("step_no = 1 and from_symbol is not null").select(F.col("from_symbol").alias("entry"))
     return T.simple_paths(e, entries, depth).select("entry", F.array_join("path", ">").alias("path"), "hops")
 
 
+def _walk(spark, d, depth, total, per_symbol=None):
+    s = _steps(spark, d)
+    e = s.where("from_symbol is not null and to_symbol is not null").select(F.col("from_symbol").alias("src"), F.col("to_symbol").alias("dst"))
+    entries = s.where("step_no = 1 and from_symbol is not null").select(F.col("from_symbol").alias("entry"))
+    return T.call_walk(e, entries, depth, total, per_symbol).select("entry", F.array_join("path", ">").alias("path"), "hops", "truncated")
+
+
+@query()
+def g14_call_paths_whole(spark, d, depth=15, total=2000):
+    """Call paths with the reference walker's depth and paths in total; truncated marks entries that have more."""
+    return _walk(spark, d, depth, total)
+
+
 @query(with_(LINKS, _STEPS) + """, ed AS (SELECT DISTINCT from_symbol AS src, to_symbol AS dst FROM st WHERE from_symbol IS NOT NULL AND to_symbol IS NOT NULL), p AS (SELECT from_symbol AS entry, from_symbol AS node, [from_symbol] AS path, 0 AS hops FROM (SELECT DISTINCT from_symbol FROM st WHERE step_no = 1 AND from_symbol IS NOT NULL)
   UNION ALL SELECT p.entry, ed.dst, list_append(p.path, ed.dst), p.hops + 1 FROM p JOIN ed ON ed.src = p.node WHERE p.hops < 3 AND NOT list_contains(p.path, ed.dst))
 SELECT entry, array_to_string(path, '>') AS path, CAST(hops AS INT) AS hops FROM p WHERE hops > 0 QUALIFY row_number() OVER (PARTITION BY entry ORDER BY hops, path) <= 3""")
 def g15_symbol_walk(spark, d, depth=3, per_symbol=3):
-    """As the call paths, but at most a few per entry symbol, the shortest first."""
+    """As the call paths, but at most a few per entry symbol, the shortest first; g15_symbol_walk_whole goes on."""
     s = _steps(spark, d).where("from_symbol is not null and to_symbol is not null")
     entries = _steps(spark, d).where("step_no = 1 and from_symbol is not null").select(F.col("from_symbol").alias("entry"))
     return T.simple_paths(s.select(F.col("from_symbol").alias("src"), F.col("to_symbol").alias("dst")), entries, depth, per_symbol).select("entry", F.array_join("path", ">").alias("path"), "hops")
 
 
+@query()
+def g15_symbol_walk_whole(spark, d, depth=25, total=1000, per_symbol=3):
+    """Call paths with the reference index walker's bounds: a few partial paths to each symbol an entry reaches.
+
+    Implementations aren't followed.
+    """
+    return _walk(spark, d, depth, total, per_symbol)
+
+
 @query(with_(LINKS) + r"""SELECT connection_id, regexp_extract(condition_expr, '^(\S+)', 1) AS field, regexp_extract(condition_expr, '(==|!=|<=|>=|<|>)', 1) AS operator, regexp_extract(condition_expr, '(?:==|!=|<=|>=|<|>)\s*(.*)$', 1) AS value,
   CASE WHEN regexp_matches(coalesce(condition_expr, ''), '(?i)\b(for|while|each)\b') THEN 'loop' WHEN len(paths) > 1 THEN 'fanout' ELSE 'once' END AS repetition FROM links""")
 def g16_conditions(spark, d):

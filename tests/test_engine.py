@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -169,6 +170,36 @@ def test_paths_keep_diamonds_and_end_at_cycles(spark):
     assert {r.node: r["rank"] for r in T.ranks(e).collect()} == {"a": 0, "b": 1, "c": 1, "d": 2}
 
 
+def walked(pairs, entries, depth, total, per_symbol=None):
+    """A queue, as the reference walks; per entry its paths and whether it has more."""
+    adj, out = {}, {}
+    for a, b in sorted(set(pairs)):
+        adj.setdefault(a, []).append(b)
+    for entry_ in entries:
+        queue, paths, kept, more = [(entry_,)], [], {}, False
+        while queue:
+            p = queue.pop(0)
+            for b in (x for x in adj.get(p[-1], ()) if x not in p):
+                if len(p) > depth or len(paths) >= total or per_symbol and kept.get(b, 0) >= per_symbol:
+                    more = True
+                    continue
+                kept[b] = kept.get(b, 0) + 1
+                paths.append(p + (b,))
+                queue.append(p + (b,))
+        out |= {x: more for x in paths}
+    return out
+
+
+def test_call_walk_goes_deep_and_tells_truncation(spark):
+    rng = random.Random(3)
+    pairs = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(18)] + [(f"n{rng.randrange(18):02d}", f"n{rng.randrange(18):02d}") for _ in range(6)] + [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d")]
+    e, entries = edges_of(spark, *pairs), spark.createDataFrame([("n00",), ("n09",), ("a",), ("n18",)], "entry string")
+    for bounds in ((15, 2000), (15, 7), (25, 1000, 1)):
+        got = {tuple(r.path): r.truncated for r in T.call_walk(e, entries, *bounds).collect()}
+        assert got == walked(pairs, ["n00", "n09", "a", "n18"], *bounds), bounds
+    assert max(len(p) for p in walked(pairs, ["n00"], 15, 2000)) == 16
+
+
 def test_packs(spark, tmp_path):
     (tmp_path / "one").mkdir()
     (tmp_path / "one" / "pack.yaml").write_text(json.dumps({"id": "one", "priority": 5, "applies_to": {"has_file": ["**/*.json"]}, "extractions": [{"strategy": "field_path", "glob": "**/*.json", "path": "items.*.name", "target": "name"}, {"strategy": "regex", "pattern": "team=(\\w+)", "target": "owner"}]}))
