@@ -214,6 +214,37 @@ def adjacency(texts: DataFrame, specs: dict[str, Iterable[Collection]], members:
     return narrow.mapInArrow(shred, NODES)
 
 
+def flow_nodes(docs: DataFrame) -> DataFrame:
+    """(doc, flow_id, pos, ref, role): the nodes of the flows in docs(doc, body), both in any shape; keys aren't needed."""
+
+    def members(value, c: Collection, own: tuple[str, ...]) -> Iterator[tuple[str | None, dict]]:
+        value = decoded(value)
+        if isinstance(value, dict) and _key_of(value, c) is None and any(m in value and not isinstance(value[m], dict) for m in own):
+            value = [value]  # a bare record without a key
+        for label, e, _ in elements(value, c):
+            yield label, e
+
+    flows, nodes = Collection(("flows",)), Collection(("nodes",))
+    schema = "doc string, flow_id string, pos int, ref string, role string"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def read(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for doc, body in zip(*(c.to_pylist() for c in b.columns)):
+                d = decoded(body)
+                for label, f in members(d.get("flows"), flows, ("nodes", "edges")) if isinstance(d, dict) else ():
+                    own = text_of(f.get("id"))
+                    for pos, (_, n) in enumerate(members(f.get("nodes"), nodes, ("ref", "role"))):
+                        out.append((doc, own if own is not None else label, pos, text_of(n.get("ref")), text_of(n.get("role"))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+
+    return docs.select("doc", "body").mapInArrow(read, schema)
+
+
 def _scalar(*labels: str) -> Column:
     return F.coalesce(*(F.max(F.when((F.col("kind") == "scalar") & (F.col("label") == m), F.col("scalar"))) for m in labels))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions import norm as N
 from factloom.operators import graph as G
 from factloom.operators import traverse as T
+from factloom.operators.shredding import flow_nodes
 from factloom.plans import base as B
 from factloom.plans.aggregates import EDGES, edges
 from factloom.plans.base import CALLS, FACTS, LINKS, ORACLE, QUERIES, QUEUE_ROLES, RESOURCE_OPS, SERVICES, query, with_  # noqa: F401
@@ -344,6 +345,11 @@ def g24_flow_assembly(spark, d):
     return e.join(l, "entry", "left").select("entry", F.when(F.col("steps").isNull(), "entry_only").otherwise("connected").alias("trace"), F.coalesce("steps", F.lit(0)).alias("steps"))
 
 
+def _ends(n):
+    pick = lambda fn, role: fn(F.when((F.col("role") == role) & F.col("ref").isNotNull(), F.col("ref")), F.when((F.col("role") == role) & F.col("ref").isNotNull(), F.col("pos")))
+    return n.groupBy("doc", "flow_id").agg(pick(F.min_by, "entrypoint").alias("from_ref"), pick(F.max_by, "call").alias("to_ref"))
+
+
 _FLOW = """sd AS (SELECT DISTINCT ON (service_doc_id) service_doc_id AS id, TRY_CAST(body AS JSON) AS j FROM service_docs),
 fl AS (SELECT id, f->>'$.id' AS fid, CASE WHEN json_type(f, '$.nodes') = 'ARRAY' THEN (f->'$.nodes')::JSON[] ELSE [] END AS ns FROM (SELECT id, unnest(CASE WHEN json_type(j, '$.flows') = 'ARRAY' THEN (j->'$.flows')::JSON[] ELSE [] END) AS f FROM sd)),
 nd AS (SELECT id, fid, generate_subscripts(ns, 1) AS pos, unnest(ns) AS n FROM fl)"""
@@ -351,10 +357,19 @@ nd AS (SELECT id, fid, generate_subscripts(ns, 1) AS pos, unnest(ns) AS n FROM f
 
 @query(with_(_FLOW) + "SELECT CAST(id AS VARCHAR) AS doc, fid AS flow_id, arg_min(n->>'$.ref', pos) FILTER (WHERE n->>'$.role' = 'entrypoint' AND n->>'$.ref' IS NOT NULL) AS from_ref, arg_max(n->>'$.ref', pos) FILTER (WHERE n->>'$.role' = 'call' AND n->>'$.ref' IS NOT NULL) AS to_ref FROM nd GROUP BY ALL")
 def g25_flow_projection(spark, d):
-    """Connection of a flow: its first entry point's and its last call's object."""
+    """Connection of a flow: its first entry point's and its last call's object.
+
+    Reads lists of flows and nodes only, as the SQL counterpart does; g25_flow_projection_whole reads every shape.
+    """
     s = table(spark, d, "service_docs").dropDuplicates(["service_doc_id"]).select(F.col("service_doc_id").cast("string").alias("doc"), F.try_parse_json("body").alias("j"))
     f = s.select("doc", F.expr("try_variant_get(j, '$.flows', 'array<variant>')").alias("a")).select("doc", F.explode("a").alias("f"))
     n = f.select("doc", F.expr("try_variant_get(f, '$.id', 'string')").alias("flow_id"), F.posexplode(F.expr("try_variant_get(f, '$.nodes', 'array<variant>')")).alias("pos", "n"))
     n = n.select("doc", "flow_id", "pos", F.expr("try_variant_get(n, '$.ref', 'string')").alias("ref"), F.expr("try_variant_get(n, '$.role', 'string')").alias("role"))
-    pick = lambda fn, role: fn(F.when((F.col("role") == role) & F.col("ref").isNotNull(), F.col("ref")), F.when((F.col("role") == role) & F.col("ref").isNotNull(), F.col("pos")))
-    return n.groupBy("doc", "flow_id").agg(pick(F.min_by, "entrypoint").alias("from_ref"), pick(F.max_by, "call").alias("to_ref"))
+    return _ends(n)
+
+
+@query()
+def g25_flow_projection_whole(spark, d):
+    """Connection of a flow, with flows and nodes as lists, bare records, maps or JSON text."""
+    s = table(spark, d, "service_docs").dropDuplicates(["service_doc_id"]).select(F.col("service_doc_id").cast("string").alias("doc"), "body")
+    return _ends(flow_nodes(s))

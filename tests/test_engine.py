@@ -170,6 +170,23 @@ def test_paths_keep_diamonds_and_end_at_cycles(spark):
     assert {r.node: r["rank"] for r in T.ranks(e).collect()} == {"a": 0, "b": 1, "c": 1, "d": 2}
 
 
+def test_flows_in_every_shape_are_projected(spark, monkeypatch):
+    from factloom.plans import graphs
+
+    a, b, c = ({"id": k, "role": r, "ref": x} for k, r, x in (("n0", "entrypoint", "in"), ("n1", "call", "mid"), ("n2", "call", "out")))
+    bare = lambda *ns: {n["id"]: {k: v for k, v in n.items() if k != "id"} for n in ns}
+    shapes = [
+        [{"id": "f", "nodes": [a, b, c]}], {"id": "f", "nodes": [a, b, c]}, {"f": {"nodes": bare(a, b, c)}}, [{"id": "f", "nodes": bare(a, b, c)}],
+        json.dumps([{"id": "f", "nodes": json.dumps([a, b, c])}]), [{"f": {"nodes": [a, b, c]}}],
+    ]
+    bodies = [json.dumps({"flows": x}) for x in shapes]
+    bodies += [json.dumps(bodies[0]), "\ufeff" + bodies[0]]
+    docs = [(i, x) for i, x in enumerate(bodies)] + [(90, json.dumps({"flows": {"id": "f", "nodes": a}})), (91, json.dumps({"flows": {"nodes": [{"role": "call", "ref": "x"}]}})), (92, "{"), (93, None)]
+    monkeypatch.setattr(graphs, "table", lambda spark, d, name: spark.createDataFrame(docs, "service_doc_id int, body string"))
+    got = {tuple(r) for r in graphs.g25_flow_projection_whole(spark, "").collect()}
+    assert got == {(str(i), "f", "in", "out") for i in range(len(bodies))} | {("90", "f", "in", None), ("91", None, None, "x")}
+
+
 def walked(pairs, entries, depth, total, per_symbol=None):
     """A queue, as the reference walks; per entry its paths and whether it has more."""
     adj, out = {}, {}
