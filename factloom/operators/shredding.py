@@ -106,6 +106,14 @@ def elements(value, c: Collection) -> Iterator[tuple[str | None, object, bool]]:
         yield None, value, True
 
 
+def _holds(c: Collection, names: tuple[str, ...]) -> bool:
+    """Whether records of the collection are made from what lies at names; a schema's are its properties, also below items."""
+    if not c.tree:
+        return names == c.path
+    rest = names[len(c.path) :]
+    return names[: len(c.path)] == c.path and rest[-1:] == ("properties",) and all(x == "items" for x in rest[:-1])
+
+
 class Shredder:
     """Makes the adjacency rows of one text; members: the scalars to keep, None for all."""
 
@@ -117,12 +125,27 @@ class Shredder:
         self.out.append((self.table, self.root, self.hash, self.n, parent, label, ordinal, kind, scalar, path, members, anchor))
         return self.n
 
-    def scalars(self, v: dict, at: int, path: str, prefix: str = "", level: int = 0) -> None:
-        for i, (k, x) in enumerate(v.items()):
-            if isinstance(x, dict) and level < 2 and self.members is None:
-                self.scalars(x, at, path, f"{prefix}{k}.", level + 1)
-            elif (self.members is None or prefix + k in self.members) and (s := text_of(x)) is not None:
-                self.row(at, prefix + k, i, "scalar", s, path, "", None)
+    def scalars(self, v: dict, at: int, path: str, inside: tuple[Collection, ...], above: tuple[str, ...] = ()) -> None:
+        """Scalars of a record at any depth, but for those of the collections inside, whose elements are records of their own.
+
+        Scalars of a list have its label and their place as ordinal; objects and lists in a list have it in the label.
+        """
+        if self.members is not None:
+            for i, (k, x) in enumerate(v.items()):
+                if k in self.members and (s := text_of(x)) is not None:
+                    self.row(at, k, i, "scalar", s, path, "", None)
+            return
+        stack = [(k, i, x, (*above, k)) for i, (k, x) in reversed([*enumerate(v.items())])]
+        while stack:
+            label, i, x, names = stack.pop()
+            if any(_holds(c, names) for c in inside) and isinstance(decoded(x), (dict, list)):
+                continue
+            if isinstance(x, dict):
+                stack += [(f"{label}.{k}", j, y, (*names, k)) for j, (k, y) in reversed([*enumerate(x.items())])]
+            elif isinstance(x, list):
+                stack += [(f"{label}.{j}" if isinstance(y, (dict, list)) else label, j, y, (*names, "") if isinstance(y, (dict, list)) else names) for j, y in reversed([*enumerate(x)])]
+            elif (s := text_of(x)) is not None:
+                self.row(at, label, i, "scalar", s, path, "", None)
 
     def collection(self, holder, c: Collection, at: int, path: str, anchor: str) -> None:
         v = decoded(holder)
@@ -145,7 +168,7 @@ class Shredder:
                 continue
             if _key_of(e, c) is None:  # a map's key is the record's key
                 self.row(me, c.keys[0], 0, "scalar", str(key), where, "", None)
-            self.scalars(e, me, where)
+            self.scalars(e, me, where, c.nested)
             for n in c.nested:
                 self.collection(e, n, me, where, str(key))
 
@@ -176,13 +199,14 @@ class Shredder:
                 me = self.row(parent, k, i, "object", None, path + ".properties", ".".join(here), anchor)
                 self.row(me, "name", 0, "scalar", k, path + ".properties", "", None)
                 if isinstance(p, dict):
-                    self.scalars({x: y for x, y in p.items() if x not in ("properties", "items")}, me, path + ".properties")
+                    self.scalars(p, me, path + ".properties", (Collection((), tree=True),))
                     stack.append((p, me, here))
 
 
 def adjacency(texts: DataFrame, specs: dict[str, Iterable[Collection]], members: Iterable[str] | None = None, wrap: dict[str, str] | None = None) -> DataFrame:
     """Adjacency rows of texts(table_name, root_id, body); specs: the collections of each table_name.
 
+    With all members, a text's root is an object node too, without a record path, and holds its scalars.
     wrap: the member under which a table's texts are placed, so that paths start with their column's name.
     """
     wrap = wrap or {}
@@ -199,13 +223,17 @@ def adjacency(texts: DataFrame, specs: dict[str, Iterable[Collection]], members:
             for table, root, h, body in zip(*(c.to_pylist() for c in b.columns)):
                 if root is None or body is None:
                     continue
-                doc = decoded(body)
-                if table in wrap:
+                doc = own = decoded(body)
+                above = (wrap[table],) if table in wrap else ()
+                if above:
                     doc = {wrap[table]: doc}
                 if isinstance(doc, dict):
-                    s = Shredder(table, root, h, out, keep)
+                    s, at = Shredder(table, root, h, out, keep), 0
+                    if keep is None and isinstance(own, dict):
+                        at = s.row(0, "".join(above), 0, "object", None, "", "", root)
+                        s.scalars(own, at, "", specs.get(table, ()), above)
                     for c in specs.get(table, ()):
-                        s.collection(doc, c, 0, "", root)
+                        s.collection(doc, c, at, "", root)
             for at in range(0, len(out), 50_000):
                 cols = list(zip(*out[at : at + 50_000]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
@@ -249,6 +277,13 @@ def _scalar(*labels: str) -> Column:
     return F.coalesce(*(F.max(F.when((F.col("kind") == "scalar") & (F.col("label") == m), F.col("scalar"))) for m in labels))
 
 
+def _attributes(rows: Column) -> Column:
+    """Scalars by label; several of one label, those of a list, are joined in their order."""
+    labels = F.array_distinct(F.transform(rows, lambda x: x["label"]))
+    joined = lambda k: F.array_join(F.transform(F.filter(rows, lambda x: x["label"] == k), lambda x: x["scalar"]), ",")
+    return F.map_from_entries(F.transform(labels, lambda k: F.struct(k.alias("key"), joined(k).alias("value"))))
+
+
 def records(nodes: DataFrame, pivot: dict[str, str] | None = None) -> DataFrame:
     """Object nodes joined with their scalar children: one row per record, with its link to the parent.
 
@@ -260,10 +295,10 @@ def records(nodes: DataFrame, pivot: dict[str, str] | None = None) -> DataFrame:
     more = (
         [F.max(F.when((F.col("kind") == "scalar") & (F.col("label") == m), F.col("scalar"))).alias(c) for c, m in pivot.items()]
         if pivot is not None
-        else [F.map_from_entries(F.array_distinct(F.collect_list(F.when(F.col("kind") == "scalar", F.struct("label", "scalar"))))).alias("attributes")]
+        else [_attributes(F.array_sort(F.collect_set(F.when(F.col("kind") == "scalar", F.struct("label", "place", "scalar"))))).alias("attributes")]
     )
     g = (
-        nodes.withColumn("owner", own)
+        nodes.withColumn("owner", own).withColumn("place", F.col("ordinal"))
         .groupBy("table_name", "root_id", "text_hash", "owner")
         .agg(
             F.max(F.when(is_obj, F.col("record_path"))).alias("record_path"),
@@ -273,7 +308,7 @@ def records(nodes: DataFrame, pivot: dict[str, str] | None = None) -> DataFrame:
             key.alias("own_key"),
             *more,
         )
-        .where(F.col("record_path").isNotNull())
+        .where(F.col("record_path") != "")
     )
     up = F.regexp_replace("member_path", r"\.?[^.]*$", "")
     top = F.col("record_path").rlike(TOP)

@@ -74,6 +74,24 @@ def test_unreadable_bodies_and_details(spark):
     assert len(shred(spark, [("r", json.dumps(long))])) == 60_000
 
 
+def test_nodes_keep_lists_depth_and_roots(spark):
+    prop = {"type": "array", "items": {"type": "string", "properties": {"z": {}}}}
+    endpoint = {"id": "e", "evidence_refs": ["v1", "v2"], "a": {"b": {"c": {"d": {"x": 1}}}}, "l": [{"m": 1}, [2, 3]], "inputs": {"body": {"schema": {"type": "object", "required": ["p"], "properties": {"p": prop}}}}}
+    texts = [("service_docs", "s", json.dumps({"version": 2, "objects": {"http_endpoints": [endpoint]}})), ("entities", "t", json.dumps({"method": "GET", "metadata": {"rev": 7}, "headers": ["h"]}))]
+    nodes = shredding.adjacency(spark.createDataFrame(texts, "table_name string, root_id string, body string"), shredding.SPECS, wrap={"entities": "details"})
+    rows = nodes.collect()
+    got = {(r.root_id, r.record_path.rpartition(".")[2], r.label, r.ordinal, r.scalar) for r in rows if r.kind == "scalar"}
+    e = "http_endpoints"
+    assert got == {
+        ("s", "", "version", 0, "2"), ("s", e, "id", 0, "e"), ("s", e, "evidence_refs", 0, "v1"), ("s", e, "evidence_refs", 1, "v2"), ("s", e, "a.b.c.d.x", 0, "1"), ("s", e, "l.0.m", 0, "1"), ("s", e, "l.1", 0, "2"), ("s", e, "l.1", 1, "3"),
+        ("s", e, "inputs.body.schema.type", 0, "object"), ("s", e, "inputs.body.schema.required", 0, "p"), ("s", "properties", "name", 0, "p"), ("s", "properties", "type", 0, "array"), ("s", "properties", "items.type", 0, "string"), ("s", "properties", "name", 0, "z"),
+        ("t", "", "method", 0, "GET"), ("t", "", "metadata.rev", 0, "7"), ("t", "headers", "name", 0, "h"),
+    }
+    assert {(r.root_id, r.label) for r in rows if r.kind == "object" and r.parent == 0} == {("s", ""), ("t", "details")}
+    flat = {r.record_id: r.attributes for r in shredding.records(nodes).collect()}
+    assert flat["e"]["evidence_refs"] == "v1,v2" and set(flat) == {"e", "e/p", "e/p.z", "t/h"}
+
+
 FIELD = "project_id string, run_id string, endpoint_id string, service string, location string, name string, type string, required boolean, nullable boolean, ingested_at timestamp, value string"
 RUN = "run_id string, project_id string, status string, started_at timestamp"
 
