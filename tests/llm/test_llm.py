@@ -276,6 +276,38 @@ def test_leaks_see_through_markup_and_escapes(spark):
     assert leakage.leaks(docs.limit(0), items).count() == 0 and leakage.leaks(docs, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("pad", [0, 299, 300, 301, 1_999, 2_000, 2_001, 200_000])
+def test_leaks_inside_markup_of_any_length(pad):
+    passage = " ".join(VOCAB[i] for i in range(40, 0, -1))
+    ix = leakage.Index({7: passage.split()})
+    ix.order([0] * len(ix.known))
+    fill = "x" * pad
+    for form in (f"a <!-- {fill} {passage} --> b", f'<p title="{fill} {passage}">', f"{passage[:90]} <!-- {fill} --> {passage[91:]}", f"{passage[:90]} <i class='{fill}'>{passage[91:]}", f"if a <b {fill} {passage} c> d"):
+        assert any(7 in ix.leaked(ix.numbers(ws)) for ws in leakage.readings(form)), form[:60]
+
+
+def test_escapes_in_escapes():
+    for deep in ("a\\nb", "a\\\\\\\\nb", "a\\u005cu005cu005cnb", "a&amp;amp;amp;nbsp;b", "a%252520b", "a%20b", "a\\\\\\\"b"):
+        assert leakage.words(deep) == ["a", "b"], deep
+    assert leakage.words("\\\\u0077al caf\u0065\u0301 100% %zz") == ["wal", "caf\u00e9", "100", "zz"]
+
+
+def test_tolerant_windows_in_long_items_and_documents():
+    rng = random.Random(4)
+    item = rng.choices(VOCAB, k=1500)
+    ix = leakage.Index({1: item, 2: rng.choices(VOCAB, k=80)})
+    ix.order([0] * len(ix.known))
+    for size, lo in ((30, 0), (36, 700), (59, 1441), (400, 300), (30, 1470)):
+        part = list(item[lo : lo + size])
+        for k in range(3, size, 6):  # every sixth word, so no run of twelve is left
+            part[k] = "other"
+        doc = rng.choices(["foo", "bar"], k=9_000) + part + rng.choices(["foo", "bar"], k=50)
+        assert ix.leaked(ix.numbers(doc)) == [1], (size, lo)
+        for k in range(5, size, 6):
+            part[k] = "more"
+        assert ix.leaked(ix.numbers(part)) == []
+
+
 # ---- matching -------------------------------------------------------------------------------------------------------
 INV = "item_id long, kind string, display_name string, dns_name string, address string, path string, env_name string, site_code string"
 CLI = "client_id long, kind string, instance_ref struct<kind: string, logical_name: string, url_template: string, resolved_url: string, host: string, database: string, config_source: string>, contract_path string, item_id string"
