@@ -61,9 +61,34 @@ class Judge:
     def unnatural(self, s: str) -> bool:
         return len(s) >= MIN_CHARS and self.per_subword(s) < UNNATURAL
 
+    def stated(self, s: str) -> bool:
+        """Whether a part of the string is one that nobody writes as a word: letters with digits in between, or unnatural."""
+        parts = [x for x in regex.split(r"[\s_\-./:]+", s) if x]
+        return any(len(x) >= 4 and any(c.isdigit() for c in x) and any(c.isalpha() for c in x) or self.unnatural(x) for x in parts)
+
+    def placeholder(self, s: str) -> bool:
+        """Whether the string only stands for a value: a template, a mask, a reference, or words that say so.
+
+        What follows such words decides: your-token-here stands for a value, test-9f8a7dQx2 is one.
+        """
+        t = s.strip()
+        if not t or _TEMPLATE.match(t) or t.startswith(("sha256:", "sha512-", "sha1:", "md5:", "SHA256:")):
+            return True
+        if regex.fullmatch(r"[A-Z]+(?:_[A-Z]+)+", t) and strength(t) == 2:
+            return True  # the name of a variable that holds one
+        if m := _LEAD.match(t):
+            return not m["rest"] or not self.stated(m["rest"])
+        if m := _CALL.match(t):
+            inner = m["inner"].rstrip()
+            return inner.endswith((")", "]", ");", "];")) or not inner or bool(regex.fullmatch(r"[\"'$]?[A-Za-z_][\w.]*[\"',]?", inner)) and not self.stated(inner)
+        if _PATH.match(t):
+            return True
+        m = _PREFIX.match(t)
+        return bool(m) and (any(c in m["rest"] for c in "/.#:@") or not self.stated(m["rest"]))
+
     def secret(self, s: str, level: int) -> bool:
         """Whether a literal assigned to a key of this strength is a credential."""
-        if placeholder(s):
+        if self.placeholder(s):
             return False
         if level == 2:
             if len(s) < 4:
@@ -72,18 +97,35 @@ class Judge:
             return mixed or self.unnatural(s) or (len(s) >= 6 and bool(regex.search(r"[!#@$%^*]", s)))
         return len(s) >= 12 and self.unnatural(s) and any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
 
+    def word(self, s: str) -> bool:
+        """Whether a literal that is given as a password may be a plain word."""
+        parts = [x.lower() for x in regex.split(r"[^\p{L}]+", regex.sub(r"(?<=\p{Ll})(?=\p{Lu})", " ", s)) if x]
+        return len(s) >= 4 and bool(regex.fullmatch(r"[\p{L}_\-.]+", s)) and not regex.fullmatch(r"[A-Z]+(?:_[A-Z]+)+", s) and not self.placeholder(s) and not any(x in _NO_PASSWORD for x in parts)
+
 
-_PLACEHOLDER = regex.compile(
-    r"^(?:[$%#]?\{.*|\$\(.*|<.*|\{\{.*|%[A-Za-z_]+%|\$[A-Za-z_]\w*|@[A-Za-z_]+@|__\w+__|\[.*\]|(.)\1{3,}|[*•xX.\-_?#]+|null|none|nil|true|false|undefined|string|int|required|optional|"
-    r"(?:your|my|the|some|example|sample|dummy|test|fake|change|replace|insert|enter|todo|redacted|masked|hidden|secret|placeholder)[\s_\-]?(?:me|this|here|it|value|token|key|secret|password|pass|api[_-]?key)?(?:[\s_\-].*)?|"
-    r"(?:env|vault|ssm|kms|arn|secretsmanager|ref|op|file|sops|gcp-sm|azurekv|keyvault|consul)[:.(/].*|(?:os|process|System|config|settings|env|secrets|self|this|ctx|viper|vault|props|args|params|request|req)\.\w.*|\w+(?:\.\w+)*[\(\[].*)$",
-    regex.I,
+#: Templates, masks and empty values.
+_TEMPLATE = regex.compile(
+    r"^(?:[$#%]?\{\{?.*|\$\(.*|<[^<>]*>|%[A-Za-z_]+%|\$[A-Za-z_][\w.\->]*(?:[\[(].*)?|@[A-Za-z_]+@|__\w+__|\[.*\]|(.)\1{3,}|[*•xX.\-_?#]+|null|none|nil|true|false|undefined|string|int|required|optional)$", regex.I | regex.S
+)
+#: Words that announce a stand-in; what follows them is judged by itself.
+_LEAD = regex.compile(
+    r"^(?:your|my|the|some|example|sample|dummy|test|fake|change|replace|insert|enter|todo|redacted|masked|hidden|secret|placeholder)[\s_\-]?(?:me|this|here|it|value|token|key|secret|password|pass|api[_-]?key)?(?:[\s_\-](?P<rest>.*))?$", regex.I | regex.S
+)
+#: Calls and lookups; members of objects; addresses in other stores.
+_CALL = regex.compile(r"^[A-Za-z_]\w*(?:\.\w+)*[\(\[](?P<inner>.*)$", regex.S)
+_PATH = regex.compile(r"^(?:os|process|System|config|settings|env|secrets|self|this|ctx|viper|vault|props|args|params|request|req)(?:\.[A-Za-z_]\w*)+$|^(?:vault|ssm|kms|arn|secretsmanager|op|sops|gcp-sm|azurekv|keyvault|consul)[:/].*", regex.I | regex.S)
+_PREFIX = regex.compile(r"^(?:env|ref|file)[:/](?P<rest>.*)$", regex.I | regex.S)
+#: Keys whose value may be a plain word, and words that are none.
+_PASSWORD_LAST = frozenset("password passwd passphrase passwort kennwort pwd pass pw senha contraseña contrasena dbpass pswd".split())
+_NO_PASSWORD = frozenset(
+    "password passwd passphrase passwort kennwort pwd pass senha contraseña secret token key credential credentials user username login auth api value text field input hash plain basic type name label hint "
+    "string str number integer int bool boolean object array null none nil true false undefined required optional default empty blank missing invalid incorrect wrong expired weak reset forgot hidden masked redacted".split()
 )
 
 
-def placeholder(s: str) -> bool:
-    t = s.strip()
-    return not t or bool(_PLACEHOLDER.match(t)) or t.startswith(("sha256:", "sha512-", "sha1:", "md5:", "SHA256:"))
+def _password(name: str) -> bool:
+    parts = [p.lower() for p in _PARTS.findall(name) if not p.isdigit()]
+    return bool(parts) and (parts[-1] in _PASSWORD_LAST or parts[-1].endswith(("password", "passwd", "passphrase", "kennwort", "passwort")))
 
 
 _PEM = regex.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:(?!-----BEGIN)[\s\S])*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----[A-Za-z0-9+/=\s\\nr]*")
@@ -95,10 +137,11 @@ _ISSUED = regex.compile(
 _HEADER = regex.compile(r"\b(?:Bearer|Basic|Token|ApiKey|Digest|Negotiate)\s+([A-Za-z0-9._~+/\-]{8,}=*)", regex.I)
 _USERINFO = regex.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://([^\s:/@\"'`<>?#${}]*)(?::((?:\$\{[^{}]*\}|[^\s/@\"'`<>{}$])+))?@(?=[\w${\[])")
 _DEFAULT = regex.compile(r"\$\{([A-Za-z_][\w.\-]*)\s*:[\-=]?([^{}$]+)\}")
-_NAME = r"(?<![A-Za-z0-9_])([A-Za-z_][\w.\-]{0,80})"
 _ASSIGN = regex.compile(
-    _NAME + r"[\"'\]]{0,2}\s*(?::=|=>|[:=])\s*(?:(?:(?:[\w.]*(?:fromhex|fromHex|decode|decode64|unhexlify|from|bytes|encode|getBytes|str|String|Some|Secret|SecretStr|quote))\(\s*)?(?:[brufL@]{0,2})(?P<q>[\"'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\])*)(?P=q)?|(?P<u>[^\s\"'`<>,;&{}|]{1,1024}))", regex.S
+    r"(?<![A-Za-z0-9_])([A-Za-z_]\w*+)" + r"[\"'\]]{0,2}\s*(?::=|=>|[:=])\s*(?:(?:(?:[\w.]*(?:fromhex|fromHex|decode|decode64|unhexlify|from|bytes|encode|getBytes|str|String|Some|Secret|SecretStr|quote))\(\s*)?(?:[brufL@]{0,2})(?P<q>[\"'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\])*)(?P=q)?|(?P<u>[^\s\"'`<>,;&{}|]{1,1024}))", regex.S
 )
+#: A line of an environment file.
+_LINE = regex.compile(r"^[ \t]*(?:export[ \t]+)?[A-Z][A-Z0-9_]*$", regex.M)
 _REST = regex.compile(r"[^\s\"'`<>,;&{}|]*")
 _ATTR = regex.compile(r"(?:name|key|id)\s*=\s*[\"']([\w.\-]+)[\"']\s+value\s*=\s*([\"'])((?:(?!\2).)*)\2", regex.I)
 _SQL = regex.compile(r"\b(?:IDENTIFIED\s+(?:WITH\s+\w+\s+)?BY|PASSWORD)\s+(['\"])((?:(?!\1).)+)\1", regex.I)
@@ -106,8 +149,53 @@ _CLI = regex.compile(r"(?:^|\s)(?:-u|--user)[ =][\"']?[\w.\-]+:([^\s\"'@:]+)|(?:
 _PIECES = regex.compile(r"([\"'])((?:(?!\1)[^\n\\])*)\1(?:\s*(?:(?:\+|\.|\\\n|\|\|)\s*)?([\"'])((?:(?!\3)[^\n\\])*)\3)+")
 _PIECE = regex.compile(r"([\"'])((?:(?!\1)[^\n\\])*)\1")
 _DIGEST = regex.compile(r"(?:sha(?:1|256|384|512)|md5|digest|integrity|etag|checksum|commit|uuid|fingerprint|revision|build|trace)[\w\"']*\s*[:=@\-]?\s*[\"']?$", regex.I)
+_REMARK = regex.compile(r";?[ \t]*(?://|#|/\*|--)[^\n]*")
 _MEANT = regex.compile(r"api[ _\-]?key|password|passwd|secret|token|passphrase|credential|private key|kennwort|senha|contraseña", regex.I)
 
+
+
+def _named(text: str, at: int) -> str | None:
+    """The name that a value which begins here is assigned to."""
+    i = at
+    while i and (text[i - 1].isspace() or text[i - 1] == "("):
+        i -= 1
+    if text[i - 2 : i] in (":=", "=>"):
+        i -= 2
+    elif i and text[i - 1] in ":=":
+        i -= 1
+    else:
+        return None
+    while i and text[i - 1].isspace():
+        i -= 1
+    while i and text[i - 1] in "\"']":
+        i -= 1
+    return _back(text, i) or None
+
+
+def _back(text: str, end: int, parts: int = 3) -> str:
+    """The dotted or hyphened name that ends here, as many parts of it as its strength can depend on."""
+    i = end
+    while i and (text[i - 1].isalnum() or text[i - 1] in "_.-"):
+        i -= 1
+        if text[i] in ".-":
+            parts -= 1
+            if not parts:
+                return text[i + 1 : end]
+    return text[i:end]
+
+
+def _nearby(text: str, lo: int, hi: int) -> str:
+    """The statement around lo..hi outside of strings, with the comment behind it."""
+    a, b = lo, hi
+    while a and text[a - 1] not in "\n;{}\"'":
+        a -= 1
+    while b < len(text) and text[b] not in "\n;\"'":
+        b += 1
+    if m := _REMARK.match(text, b):
+        b = m.end()
+    return text[a:lo] + " " + text[hi:b]
+
+
 Find = tuple[int, int, tuple[tuple[int, int], ...]]
 
 
@@ -128,7 +216,7 @@ def find(text: str | None, judge: Judge) -> list[Find]:
             add(m.start(), m.end())
     for m in _HEADER.finditer(text):
         v = m[1]
-        if (judge.unnatural(v) or any(c.isdigit() for c in v) and len(v) >= 16) and not placeholder(v):
+        if (judge.unnatural(v) or any(c.isdigit() for c in v) and len(v) >= 16) and not judge.placeholder(v):
             add(m.start(1), m.end(1))
     if "://" in text:
         for m in _USERINFO.finditer(text):
@@ -150,18 +238,17 @@ def find(text: str | None, judge: Judge) -> list[Find]:
             whole = "".join(text[a:b] for a, b in parts)
             if len(parts) < 2 or "+" not in m[0] and "\n" not in m[0]:
                 continue
-            named = regex.search(_NAME + r"[\"'\]]{0,2}\s*(?::=|=>|[:=])\s*\(?\s*$", text[max(0, m.start() - 100) : m.start()])
-            level = strength(named[1]) if named else 0
-            line_end = text.find("\n", m.end())
-            near = text[max(0, m.start() - 60) : m.start()] + text[m.end() : line_end if line_end >= 0 else len(text)][:80]
-            if level < 2 and _MEANT.search(near):
+            named = _named(text, m.start())
+            level = strength(named) if named else 0
+            if level < 2 and _MEANT.search(_nearby(text, m.start(), m.end())):
                 level = 2
             if level and regex.fullmatch(r"[\w+/=.\-!@#$%^&*~]+", whole) and judge.secret(whole, level) and (level == 2 or judge.unnatural(whole)):
                 add(parts[0][0], parts[-1][1], parts)
                 pieced.append((m.start(), m.end()))
     done = 0
     for m in _ASSIGN.finditer(text, overlapped=True):
-        level = strength(m[1])
+        name = m[1] if m.start(1) < 1 or text[m.start(1) - 1] not in ".-" else _back(text, m.end(1))
+        level = strength(name)
         if not level or m.start(1) < done:
             continue
         g = "v" if m["v"] is not None else "u"
@@ -170,7 +257,7 @@ def find(text: str | None, judge: Judge) -> list[Find]:
             continue
         if g == "u":
             v = v.rstrip(").]")
-            if "(" in m["u"] or "[" in m["u"] or v.startswith(("$", "{", "%", "<")):
+            if (m["u"].endswith(("(", "[")) or _CALL.match(m["u"])) and judge.placeholder(m["u"]):
                 continue
             scheme = regex.match(r"(?:Bearer|Basic|Token)$", v, regex.I)
             if scheme or "://" in v:
@@ -185,7 +272,8 @@ def find(text: str | None, judge: Judge) -> list[Find]:
             continue
         if level == 1 and (_DIGEST.search(text, max(0, m.start(1) - 20), m.end(1)) or regex.fullmatch(r"[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f\-]{36}", v)):
             continue
-        if judge.secret(v, level):
+        plain = level == 2 and _password(name) and (g == "v" or _LINE.match(text, text.rfind("\n", 0, m.start(1)) + 1, m.end(1))) and judge.word(v)
+        if plain or judge.secret(v, level):
             done = lo + len(v)
             if g == "u" and len(m["u"]) == 1024:
                 done = _REST.match(text, m.end("u")).end()  # the rest of an unusually long value

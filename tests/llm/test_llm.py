@@ -84,6 +84,28 @@ def test_credentials_in_context(text, want):
     assert all(masked[i] == text[i] for i in range(len(text)) if i not in inside)
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ('password = "test-9f8a7dQx2"', ["test-9f8a7dQx2"]), ('password = "my-S3cr3t!x9Kq"', ["my-S3cr3t!x9Kq"]), ('password = "abc(9Xq!7zPd"', ["abc(9Xq!7zPd"]), ('password = "Kq7[zx91!pl"', ["Kq7[zx91!pl"]),
+        ('api_key = "example_9fKq2ZxP1vB7"', ["example_9fKq2ZxP1vB7"]), ("token: ENV.9fKq2ZxP", ["ENV.9fKq2ZxP"]), ("PASSWORD=letmein", ["letmein"]), ('db_password: "sommer"', ["sommer"]), ("password=aB(9x!Qz", ["aB(9x!Qz"]),
+        ('password: "your-token-here" # or "my-password", "change-me", "example_key"', []), ('{"password": "required", "pwd": "string", "pass": "DB_PASSWORD"}', []), ("password: see the wiki", []), ("token = config.token; secret = get(key, 1)", []), ('token="env:DB_PASSWORD" token="vault:kv/a#b"', []),
+    ],
+)
+def test_words_of_placeholders_do_not_hide_values(text, want):
+    assert [text[a:b] for a, b, _ in credentials.find(text, credentials.Judge(DEFAULT_VOCAB))] == want
+
+
+@pytest.mark.parametrize("n", [70, 80, 81, 82, 8_000])
+def test_names_and_statements_of_any_length(n):
+    judge = credentials.Judge(DEFAULT_VOCAB)
+    for text, want in (
+        (f'{"a_" * (n // 2)}password = "aB8kx3rgTQLw"', "aB8kx3rgTQLw"), (f'{"a." * (n // 2)}api.key = "aB8kx3rgTQLwzz"', "aB8kx3rgTQLwzz"), (f'password = "{"aB8kx3rgTQLw" * n}"', "aB8kx3rgTQLw" * n),
+        (f'x = {" " * n} "Z1dewmKgsTk" + "ndRYHSLeBoa"{" " * n}; // {"y " * n} api key', 'Z1dewmKgsTk" + "ndRYHSLeBoa'), (f'api_key = {" " * n} "Z1dewmKgsTk" + "ndRYHSLeBoa"', 'Z1dewmKgsTk" + "ndRYHSLeBoa'),
+    ):
+        assert [text[a:b] for a, b, _ in credentials.find(text, judge)] == [want], text[:40]
+
+
 def test_private_keys_keep_their_lines():
     for text in ("k = `-----BEGIN EC PRIVATE KEY-----\nAb3\nCd4\n-----END EC PRIVATE KEY-----`;", '"k": "-----BEGIN PRIVATE KEY-----\\nAb3\\n-----END PRIVATE KEY-----",'):
         got = credentials.find(text, credentials.Judge(DEFAULT_VOCAB))
