@@ -41,6 +41,33 @@ def test_pii_kinds(text, want):
     assert [(k, text[a:b]) for a, b, k in pii.find(text)] == want
 
 
+#: Texts that share no words with the planted ones.
+HELD_OUT = [
+    ("Please send it to jane.doe@foo.ai or bob@acme.xyz; petr@firma.ru and li@uni.cn agreed.", [("email", "jane.doe@foo.ai"), ("email", "bob@acme.xyz"), ("email", "petr@firma.ru"), ("email", "li@uni.cn")]),
+    ("Mail x@a.museum.Then wait. Use logo@2x.png, pkg@1.2.3, @types/node@20.1 and getty@tty1.service.", [("email", "x@a.museum")]),
+    ("Write to peter_k at firm dot travel . Next week we talk.", [("email", "peter_k at firm dot travel")]),
+    ("Ship to Flat 3B, 12345 Northumberland Featherstonehaugh Christchurch Street, Leeds today", [("address", "Flat 3B, 12345 Northumberland Featherstonehaugh Christchurch Street, Leeds")]),
+    ("Paid from DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432, not DE00 3704 0044 0532 0130 00 or IBAN DE88 3704 0044 0532 0130 00.", [("id_number", "DE89 3704 0044 0532 0130 00"), ("id_number", "GB82WEST12345698765432")]),
+    ("CPF 529.982.247-25 but CPF 111.111.111-11 and CPF 529.982.247-26; SSN 000-00-0000", [("id_number", "529.982.247-25")]),
+    ("visa 4111 1111 1111 1111, card number: 4111-1111-1111-1112, order 4111 1111 1111 1111", [("id_number", "4111 1111 1111 1111")]),
+    ("Jane Miller wrote the patch. Ask Robert Lane, contact April Jones, and Robert Copper said no.", [("name", "Jane Miller"), ("name", "Robert Lane"), ("name", "April Jones"), ("name", "Robert Copper")]),
+    ("Anna Schmidt hat das gemeldet; Carlos Ruiz dijo que no. Grace Gateway handles it; contact Copper Lane or May Ridge", [("name", "Anna Schmidt"), ("name", "Carlos Ruiz")]),
+    ("April Ledger was closed. Victoria Station is far.", []),
+]
+
+
+@pytest.mark.parametrize("text, want", HELD_OUT)
+def test_pii_of_held_out_texts(text, want):
+    assert [(k, text[a:b]) for a, b, k in pii.find(text)] == want
+
+
+@pytest.mark.parametrize("n", [47, 48, 49, 79, 80, 81, 159, 160, 161, 8_000])
+def test_pii_of_any_length(n):
+    long = "x" * n
+    for text, want in ((f"cc: {long}@corp.example", ("email", f"{long}@corp.example")), (f"cc: a@{long}.example", ("email", f"a@{long}.example")), (f"at 12 N{long} Court Road, Bath", ("address", f"12 N{long} Court Road, Bath"))):
+        assert [(k, text[a:b]) for a, b, k in pii.find(text)] == [want]
+
+
 def test_pii_over_tables(spark):
     long = "İ word " * 30_000 + "cc: a.b@corp.example"
     rows = [(1, "cc: a.b@corp.example"), (1, "cc: a.b@corp.example"), (2, None), (3, " "), (4, long), (None, "cc: a.b@corp.example")]
