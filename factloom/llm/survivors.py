@@ -2,15 +2,17 @@
 
 Each record has a trust rank, a confidence and a time. A holder of a field (a record where it isn't blank) is dominated
 if another holder is at least as good on all three and better on one. Fields that depend on each other form a bundle;
-functional dependencies inside a bundle say which values may stand together. The survivor is found by branch and bound:
-each field takes one of its undominated holders; the sum of trust is maximised subject to the dependencies, taking a
-bundle whole from one record where that costs nothing. A field with one undominated holder has no choice, whatever the
-rest of its bundle does; where dependencies can't all hold, the fewest are broken.
-
-Scale: a group may hold a third of all rows. A map-side combiner reduces every 50,000 rows of a task to the records that
-are undominated in some field, two of each tie, and per field one holder of the smallest and one of the largest value
-(whether values differ is a statement about all of them). Only these are shuffled; reducing twice gives the same as
-reducing once, so the result doesn't depend on how rows are spread.
+functional dependencies inside a bundle say which values may stand together. The survivor is found by branch and bound
+over the bundles: each field takes one of its undominated holders; where dependencies can't all hold, the fewest are
+broken; then the sum of trust is maximised, and a bundle is taken whole from one record where that costs nothing. A field
+with one undominated holder has no choice, whatever the rest of its bundle does: the stated problem takes each field from
+the record that is best for it.
+
+Scale: a group may hold a third of all rows. A map-side combiner reduces the rows of a task, whenever 50,000 have come
+together, to the records that are undominated in some field (of those of equal quality one for each combination of the
+bundle's values) and per field one holder of the smallest and one of the largest value (whether values differ is a
+statement about all of them). So a hot group sends a few rows a task, and its last task reduces them again as they come.
+Reducing twice gives the same as reducing once, so the result doesn't depend on how rows are spread.
 
 Defined results: redelivered rows (same key) are one record; null confidence and null time are lowest; records without
 a known source rank last; absent status is verified; ties in all three go to the smallest key and are marked chosen, not
@@ -32,86 +34,116 @@ LAST = 1_000_000
 Record = tuple  # (id, rank, confidence, time, value of each field)
 
 
-def frontier(records: list[Record], at: int) -> list[Record]:
-    """The undominated holders of the field at this position, at most two of equal quality, best first."""
-    out: list[Record] = []
-    for r in sorted((r for r in records if r[at] is not None), key=lambda r: (r[1], -r[2], -r[3], r[0])):
-        equal = 0
-        for o in out:
-            if o[1] == r[1] and o[2] == r[2] and o[3] == r[3]:
-                equal += 1
-                if equal == 2:
-                    break
-            elif o[1] <= r[1] and o[2] >= r[2] and o[3] >= r[3]:
-                equal = 2
-                break
-        if equal < 2:
-            out.append(r)
+def _undominated(records: list[Record], at: int) -> list[list[Record]]:
+    """The undominated holders of the field at this position: lists of equal quality in order of the smallest key, best first."""
+    by: dict[tuple, dict[str, Record]] = {}
+    for r in records:
+        if r[at] is not None:
+            by.setdefault((r[1], -r[2], -r[3]), {})[r[0]] = r
+    best: list[tuple] = []
+    for q in sorted(by):
+        if not any(b[1] <= q[1] and b[2] <= q[2] for b in best):  # their ranks are not worse, as the order goes
+            best.append(q)
+    return [[by[q][k] for k in sorted(by[q])] for q in best]
+
+
+def frontier(records: list[Record], at: int, bundle: Iterable[int] = ()) -> list[list[Record]]:
+    """The undominated holders that can matter: of those of equal quality one for each combination of the bundle's values.
+
+    Two are kept where there are two, because only a single one is dominant.
+    """
+    own = sorted({at, *bundle})
+    out = []
+    for tied in _undominated(records, at):
+        kept: dict[tuple, Record] = {}
+        for r in tied:
+            kept.setdefault(tuple(r[i] for i in own), r)
+        level = list(kept.values())
+        out.append(level if len(level) > 1 else tied[:2])
     return out
 
 
-def reduced(records: Iterable[Record], fields: int) -> list[Record]:
-    """The records that can matter for the group's survivor."""
+def reduced(records: Iterable[Record], fields: int, bundles: Iterable[Iterable[int]] = ()) -> list[Record]:
+    """The records that can matter for the group's survivor; bundles: positions of fields that depend on each other."""
     own = list({r[0]: r for r in sorted(records, key=lambda r: tuple((x is None, x) for x in r), reverse=True)}.values())
     if len(own) <= 2:
         return own
     keep = {min(own)[0]: min(own, key=lambda r: r[0])}
+    with_ = {at: tuple(b) for b in bundles for at in b}
     for at in range(4, 4 + fields):
         held = [r for r in own if r[at] is not None]
         if held:
-            for r in (*frontier(held, at), min(held, key=lambda r: (r[at], r[0])), max(held, key=lambda r: (r[at], r[0]))):
+            for r in (*(r for level in frontier(held, at, with_.get(at, ())) for r in level), min(held, key=lambda r: (r[at], r[0])), max(held, key=lambda r: (r[at], r[0]))):
                 keep[r[0]] = r
     return list(keep.values())
 
 
 def choose(records: list[Record], fields: list[str], bundles: list[list[str]], dependencies: list[tuple[str, str]]) -> dict[str, tuple[Record, bool]]:
-    """field -> (record, whether it is the only undominated holder), by branch and bound."""
-    candidates = {f: c for i, f in enumerate(fields) if (c := frontier(records, 4 + i))}
+    """field -> (record, whether it is the only undominated holder).
+
+    Each bundle is searched by branch and bound: fewest broken dependencies, then most trust, then fewest records, then
+    smallest keys. Trust of a field is 1 for its best holders, a half for the next best, a third, and so on; holders of
+    equal quality have equal trust. Whole bundles of one record are tried first; a branch ends where what is broken
+    already, the most that the open fields can add, and the records used so far can't give a better result.
+    """
     place = {f: 4 + i for i, f in enumerate(fields)}
-    dominant = {f: len(c) == 1 for f, c in candidates.items()}
-    chosen = {f: c[0] for f, c in candidates.items() if dominant[f]}
+    if len(records) == 1:
+        return {f: (records[0], True) for f, i in place.items() if records[0][i] is not None}
+    out: dict[str, tuple[Record, bool]] = {}
     for bundle in bundles or [[f] for f in fields]:
-        own = sorted((f for f in bundle if f in candidates), key=lambda f: len(candidates[f]))
-        if all(f in chosen for f in own):
+        at = [place[f] for f in bundle]
+        levels = {f: c for f in bundle if (c := frontier(records, place[f], at))}
+        own = sorted(levels, key=lambda f: (sum(map(len, levels[f])), f))
+        if not own:
             continue
-        rules = [(a, b) for a, b in dependencies if a in own and b in own]
-        support = {
-            (a, b): {(r[place[a]], r[place[b]]) for f in own for r in candidates[f] if r[place[a]] is not None and r[place[b]] is not None} for a, b in rules
-        }
-        worth = {f: {r[0]: -k for k, r in enumerate(candidates[f])} for f in own}
-        ahead = [0] * (len(own) + 1)  # the most the fields still open can add is nothing: each best choice is worth 0
+        if len(own) == 1:  # nothing to go with: the best holder of the smallest key
+            out[own[0]] = levels[own[0]][0][0], sum(map(len, levels[own[0]])) == 1
+            continue
+        holders = {f: [(r, 1 / (1 + k)) for k, level in enumerate(levels[f]) for r in level] for f in own}
+        trust = {f: {r[0]: t for r, t in holders[f]} for f in own}
+        every = {r[0]: r for f in own for r, _ in holders[f]}.values()
+        rules = []
+        for a, b in dependencies:
+            if a in own and b in own:
+                pairs = {(r[place[a]], r[place[b]]) for r in every if r[place[a]] is not None and r[place[b]] is not None}
+                rules.append((a, b, {x for x, _ in pairs}, pairs))
+        ahead = [0.0] * (len(own) + 1)  # the most that the fields still open can add
+        for i in range(len(own) - 1, -1, -1):
+            ahead[i] = ahead[i + 1] + max(trust[own[i]].values())
         best: tuple | None = None
+        found: dict[str, Record] = {}
         picked: dict[str, Record] = {}
 
         def broken() -> int:
             n = 0
-            for a, b in rules:
+            for a, b, known, pairs in rules:
                 if a in picked and b in picked:
-                    pairs = support[a, b]
                     left, right = picked[a][place[a]], picked[b][place[b]]
-                    n += any(x == left for x, _ in pairs) and (left, right) not in pairs
+                    n += left in known and (left, right) not in pairs
             return n
 
-        def search(i: int, trust: int) -> None:
-            nonlocal best
-            # fewest broken dependencies, then most trust, then fewest records, then smallest keys
-            bound = (-broken(), trust + ahead[i])
-            if best is not None and bound < best[0][:2]:
+        def search(i: int, sum_: float) -> None:
+            nonlocal best, found
+            score = (-broken(), round(sum_ + ahead[i], 9), -len({r[0] for r in picked.values()}))
+            if best is not None and score <= best:
                 return
             if i == len(own):
-                score = (*bound, -len({r[0] for r in picked.values()}), tuple(sorted((f, r[0]) for f, r in picked.items())))
-                if best is None or score[:3] > best[0][:3] or score[:3] == best[0][:3] and score[3] < best[0][3]:
-                    best = (score, dict(picked))
+                best, found = score, dict(picked)
                 return
             f = own[i]
-            for r in candidates[f]:
+            for r, t in holders[f]:
                 picked[f] = r
-                search(i + 1, trust + worth[f][r[0]])
+                search(i + 1, sum_ + t)
                 del picked[f]
 
-        search(0, 0)
-        chosen.update(best[1])
-    return {f: (chosen[f], dominant[f]) for f in candidates}
+        for r, _ in holders[own[0]]:
+            if all(r[0] in trust[f] for f in own):
+                picked = {f: r for f in own}
+                search(len(own), sum(trust[f][r[0]] for f in own))
+        picked = {}
+        search(0, 0.0)
+        out |= {f: (found[f], len(holders[f]) == 1) for f in own}
+    return out
 
 
 def survivors(rows: DataFrame, table: str, fields: list[str], bundles: list[list[str]], dependencies: list[tuple[str, str]], flush: int = 50_000) -> DataFrame:
@@ -122,6 +154,7 @@ def survivors(rows: DataFrame, table: str, fields: list[str], bundles: list[list
     from pyspark.sql.pandas.types import to_arrow_schema
 
     n = len(fields)
+    joint = [[4 + fields.index(f) for f in b] for b in bundles if len(b) > 1]
     cols = ["group_key", "record_id", "trust_rank", "confidence", "at", *fields]
     narrow = rows.select(*cols).where(F.col("group_key").isNotNull() & F.col("record_id").isNotNull())
     arrow = to_arrow_schema(narrow.schema)
@@ -133,7 +166,7 @@ def survivors(rows: DataFrame, table: str, fields: list[str], bundles: list[list
         seen = 0
 
         def out():
-            flat = [(k, *r) for k, rs in held.items() for r in (reduced(rs, n) if len(rs) > 2 else rs)]
+            flat = [(k, *r) for k, rs in held.items() for r in (reduced(rs, n, joint) if len(rs) > 2 else rs)]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*flat), arrow)], schema=arrow)
 
         for b in batches:
@@ -141,8 +174,12 @@ def survivors(rows: DataFrame, table: str, fields: list[str], bundles: list[list
                 held.setdefault(k, []).append(tuple(r))
             seen += b.num_rows
             if seen >= flush:
-                yield out()
-                held, seen = {}, 0
+                # groups shrink in place, so a hot one leaves its task once; only many small ones make room
+                held = {k: reduced(rs, n, joint) if len(rs) > 2 else rs for k, rs in held.items()}
+                seen = sum(map(len, held.values()))
+                if 2 * seen > flush:
+                    yield out()
+                    held, seen = {}, 0
         if held:
             yield out()
 
@@ -154,7 +191,7 @@ def survivors(rows: DataFrame, table: str, fields: list[str], bundles: list[list
         group, key, out = [], None, []
 
         def close():
-            own = reduced(group, n)
+            own = reduced(group, n, joint)
             gid = min(r[0] for r in own)
             for f, (r, only) in choose(own, fields, bundles, dependencies).items():
                 at = 4 + fields.index(f)
@@ -171,7 +208,7 @@ def survivors(rows: DataFrame, table: str, fields: list[str], bundles: list[list
                     group, key = [], k
                 group.append(tuple(r))
                 if len(group) >= flush:
-                    group = reduced(group, n)
+                    group = reduced(group, n, joint)
             if out:
                 yield batch()
                 out.clear()

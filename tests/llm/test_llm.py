@@ -191,6 +191,85 @@ def test_dependencies_hold_among_equals():
     assert survivors.choose([("r", 1, 0.0, 0, None)], ["x"], [], []) == {}
 
 
+def exhaustive(rows, fields, bundles, dependencies):
+    """All choices of undominated holders (all of them, ties too), best by the stated order; the score of each bundle."""
+    from itertools import product
+
+    out = []
+    for bundle in bundles:
+        held = {}
+        for f in bundle:
+            i = 4 + fields.index(f)
+            mine = [r for r in rows if r[i] is not None]
+            up = lambda o, r: o[1] <= r[1] and o[2] >= r[2] and o[3] >= r[3] and o[1:4] != r[1:4]
+            if own := [r for r in mine if not any(up(o, r) for o in mine)]:
+                ranked = sorted({(r[1], -r[2], -r[3]) for r in own})
+                held[f] = [(r, 1 / (1 + ranked.index((r[1], -r[2], -r[3])))) for r in own]
+        every = [r for c in held.values() for r, _ in c]
+        scores = []
+        for combo in product(*held.values()):
+            pick = dict(zip(held, combo))
+            broken = 0
+            for a, b in dependencies:
+                if a in pick and b in pick:
+                    i, j = 4 + fields.index(a), 4 + fields.index(b)
+                    pairs = {(r[i], r[j]) for r in every if r[i] is not None and r[j] is not None}
+                    x, y = pick[a][0][i], pick[b][0][j]
+                    broken += any(p == x for p, _ in pairs) and (x, y) not in pairs
+            scores.append((-broken, round(sum(t for _, t in combo), 9), -len({r[0] for r, _ in combo})))
+        out.append((max(scores), {f: {r[0] for r, _ in c} for f, c in held.items()}) if held else None)
+    return out
+
+
+def test_bundles_against_exhaustive_search():
+    rng = random.Random(8)
+    fields, bundles, rules = ["a", "b", "c", "d"], [["a", "b", "c"], ["d"]], [("a", "b"), ("b", "c")]
+    for _ in range(400):
+        rows = [(f"r{i}", rng.randint(1, 2), rng.choice([0.1, 0.5]), rng.randint(0, 1), *(rng.choice([None, "x", "y", "z"]) for _ in fields)) for i in range(rng.randint(1, 7))]
+        want = exhaustive(rows, fields, bundles, rules)
+        for own in (rows, survivors.reduced(rows, 4, [[4, 5, 6]])):
+            picked = survivors.choose(own, fields, bundles, rules)
+            for bundle, w in zip(bundles, want):
+                if w is None:
+                    assert not any(f in picked for f in bundle)
+                    continue
+                got = {f: picked[f] for f in bundle if f in picked}
+                assert set(got) == set(w[1]) and all(r[0] in w[1][f] and only == (len(w[1][f]) == 1) for f, (r, only) in got.items())
+                # the same score, as the exhaustive search reckons it
+                assert exhaustive_score(rows, fields, got, rules) == w[0]
+
+
+def exhaustive_score(rows, fields, got, rules):
+    one = exhaustive(rows, fields, [list(got)], rules)[0]
+    held = {}
+    for f in got:
+        i = 4 + fields.index(f)
+        own = [r for r in rows if r[0] in one[1][f]]
+        ranked = sorted({(r[1], -r[2], -r[3]) for r in own})
+        held[f] = 1 / (1 + ranked.index((got[f][0][1], -got[f][0][2], -got[f][0][3])))
+    every = [r for r in rows if any(r[0] in one[1][f] for f in got)]
+    broken = 0
+    for a, b in rules:
+        if a in got and b in got:
+            i, j = 4 + fields.index(a), 4 + fields.index(b)
+            pairs = {(r[i], r[j]) for r in every if r[i] is not None and r[j] is not None}
+            x, y = got[a][0][i], got[b][0][j]
+            broken += any(p == x for p, _ in pairs) and (x, y) not in pairs
+    return (-broken, round(sum(held.values()), 9), -len({r[0] for r, _ in got.values()}))
+
+
+def test_many_equal_holders_keep_the_one_that_fits():
+    # three hosts of equal quality; only the third was never seen with another database than the better record's
+    rows = [("a", 2, 0.5, 1, "h1", "d1"), ("b", 2, 0.5, 1, "h1", "d1"), ("c", 2, 0.5, 1, "h2", None), ("x", 1, 0.9, 2, None, "d3")]
+    rule = [["host", "database"]], [("host", "database")]
+    picked = survivors.choose(survivors.reduced(rows, 2, [[4, 5]]), ["host", "database"], *rule)
+    assert (picked["host"][0][0], picked["database"][0][0]) == ("c", "x")
+    # thousands of equal holders: a whole bundle is found at once
+    many = [(f"r{i:05d}", 1, 0.5, 1, f"h{i}", f"d{i}" if i else None) for i in range(5_000)]
+    picked = survivors.choose(many, ["host", "database"], *rule)
+    assert picked["host"][0][0] == picked["database"][0][0] == "r00001"
+
+
 def test_survivor_groups_of_entities_and_connections(spark):
     ranks = spark.createDataFrame([("instance_source", "manual", 1), ("connection_status", "verified", 1), ("connection_status", "proposed", 2)], "rank_scope string, rank_label string, trust_rank int")
     ref = "instance_ref struct<source: string, host: string, database: string>"
