@@ -6,7 +6,7 @@ whatever the number of texts: best-fit decreasing, where all items of one length
 placed in one step. A plan row says: items of this length with ranks from a to b go, m to a bin, into the bins from s on,
 at this offset. Texts then take their planned slots by their rank within their length.
 
-Ranks need no sort of one length in one task: items are counted per (length, block), blocks of hashed document ids are
+Ranks need no sort of one length in one task: items are counted per (length, block), blocks of hashed pieces are
 offset against each other by a window over the counts, and only blocks are numbered. The plan is broadcast; its size is
 bounded by the capacity.
 
@@ -97,18 +97,20 @@ def pack(documents: DataFrame, sizes: DataFrame, vocab: str = DEFAULT_VOCAB, row
     """One row per piece: pack_id, capacity_tokens, container_id, slot_offset, doc_id, piece_no, token_start, token_count."""
     spark = documents.sparkSession
     caps = sorted((r.pack_id, r.capacity_tokens) for r in sizes.select("pack_id", "capacity_tokens").where("capacity_tokens is not null").distinct().collect())  # a handful
+    if any(c < 1 for _, c in caps):
+        raise ValueError("capacity must be at least 1")
     counted = cut(lengths(documents, vocab))
-    total = counted.count()
-    blocks = max(1, math.ceil(total / rows_per_block))
-    # identical rows of one id differ by nothing, so any order between them gives the same result
-    docs = counted.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
     stated = F.array(*(F.struct(F.lit(p).alias("pack_id"), F.lit(c).alias("capacity_tokens")) for p, c in caps)) if caps else F.array().cast("array<struct<pack_id:int,capacity_tokens:int>>")
     cap = F.col("capacity_tokens")
+    # identical rows of one id differ by nothing, so any order between them gives the same result; one oversized text may have most pieces
+    most = counted.select(*(F.sum(F.ceil(F.greatest("n_tokens", F.lit(1)) / c)).alias(f"n{i}") for i, (_, c) in enumerate(caps))).first() if caps else ()
+    blocks = max(1, *(math.ceil((n or 0) / rows_per_block) for n in most)) if caps else 1
     pieces = F.when(F.col("n_tokens") <= cap, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.floor((F.col("n_tokens") - 1) / cap).cast("int")))
     items = (
-        docs.withColumn("size", F.explode(stated))  # each text once per stated capacity
-        .select("doc_id", "n_tokens", "block", "size.*")
+        counted.withColumn("size", F.explode(stated))  # each text once per stated capacity
+        .select("doc_id", "n_tokens", "size.*")
         .withColumn("piece_no", F.explode(pieces))
+        .withColumn("block", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(blocks)).cast("int"))
         .withColumn("token_start", F.col("piece_no") * cap)
         .withColumn("length", F.least(F.col("n_tokens") - F.col("token_start"), cap))
     )

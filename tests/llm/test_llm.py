@@ -347,6 +347,9 @@ def test_pack_whole_texts(spark):
         whole = [r for r in mine if r.piece_no == 0 and r.token_count < cap]
         assert all(r.token_start == 0 for r in whole)
     assert packing.pack(docs.limit(0), sizes).count() == 0
+    # one oversized text, whose full pieces all have one length, is spread over blocks as well
+    one = packing.pack(spark.createDataFrame([(1, "word " * 5_000), (2, None)], "doc_id long, text string"), sizes, rows_per_block=20).where("token_count = capacity_tokens").collect()
+    assert len(one) == len({(r.pack_id, r.container_id) for r in one}) > 300 and {r.piece_no for r in one if r.pack_id == 1} == set(range(len([r for r in one if r.pack_id == 1])))
     assert packing.pack(docs, sizes.limit(0)).count() == 0
 
 
