@@ -9,10 +9,13 @@ agree, kind, environment, site, and how far the next best name is away.
 Vectors of matched and unmatched pairs are two Gaussians with a covariance regularised by a ridge, fitted by
 expectation-maximisation over all candidate pairs. Transitivity is enforced inside every E-step: inventory items are
 different things, so two of them can't both be the client's, and the posteriors of one client's candidates compete and
-add up to at most one. The result has the posterior as confidence. An exact check follows: environment and site must be
-stated by the client and agree, and the best candidate must be the only best one.
+add up to at most one. The result has the posterior as confidence, and whether the exact check holds that follows for
+what counts as found: environment, site and kind are stated by the client and agree, and the best name is the only best.
 
-The inventory is a fixed, stated table: it is broadcast in blocks of block_items, so a larger one means more passes.
+Blocking: a written token finds the words it may mean by their deletion neighbourhoods (what is left of both after leaving
+out up to two letters), never by comparing it with every word; tokens run together are split where both halves have such
+neighbours. Only the vocabulary of the inventory, a fixed, stated table, is broadcast for that; margins are taken over all
+names it can mean, and every name goes on, so no candidate depends on how items are divided. Items are joined by name.
 Clients are never compared with each other and never shuffled by a description, so a thing that draws most clients is
 no hot key. EM reads the candidate table from the shared folder; the driver gets one set of moments per iteration.
 
@@ -30,6 +33,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.spans import map_rows
 from factloom.session import cut
 
 #: How environments, sites and kinds are written; fixed values.
@@ -97,189 +101,254 @@ def likeness(written: str, word: str) -> float:
     return 0.0
 
 
-class Inventory:
-    """The items by thing, environment and site, with the vocabulary of their names."""
-
-    def __init__(self, rows: list[tuple]):
-        self.items: dict[tuple[str, str], list[tuple[int, str, str, str]]] = defaultdict(list)
-        raw = []
-        for item, kind, display, dns, address, path, env, site in rows:
-            envs, sites, pair = set(), set(), None
-            for s in (display, dns, without_secrets(address)):
-                e, x, w = places(tokens(s))
-                envs |= e
-                sites |= x
-                w = [t for t in w if t not in KINDS]
-                if pair is None and len(w) >= 2:
-                    pair = (w[0], w[1])
-            envs |= places(tokens(env))[0]
-            sites |= places(tokens(site))[1]
-            raw.append((item, KINDS.get((kind or "").strip().lower()), pair, envs, sites, path))
-        firsts = {p[0] for _, _, p, *_ in raw if p}
-        seconds = {p[1] for _, _, p, *_ in raw if p}
-        for item, kind, pair, envs, sites, path in raw:
-            if pair is None and path:
-                w = places(tokens(path))[2]
-                b = [x for x in w[1:] if x in seconds or x[:-1] in seconds]
-                if w and w[0] in firsts and b:
-                    pair = (w[0], b[0] if b[0] in seconds else b[0][:-1])
-            if pair and kind and len(envs) == 1 and len(sites) == 1:
-                self.items[pair].append((item, kind, next(iter(envs)), next(iter(sites))))
-        self.firsts, self.seconds = sorted(firsts), sorted(seconds)
-        self.joined = {a + b: (a, b) for a in firsts for b in seconds}
-        self._first: dict[str, list[tuple[str, float]]] = {}
-        self._second: dict[str, list[tuple[str, float]]] = {}
-        self._whole: dict[str, list[tuple[tuple[str, str], float]]] = {}
-
-    @staticmethod
-    def _best(w: str, words: list[str]) -> list[tuple[str, float]]:
-        hits = [(x, s) for x in words if (s := likeness(w, x))]
-        top = max((s for _, s in hits), default=0)
-        return [(x, s) for x, s in hits if s >= top - 0.05]
-
-    def meanings(self, w: str):
-        """(words of the first part, words of the second part) that a token may mean."""
-        if w not in self._first:
-            if len(self._first) > 100_000:
-                self._first.clear(), self._second.clear()
-            self._first[w], self._second[w] = self._best(w, self.firsts), self._best(w, self.seconds)
-        return self._first[w], self._second[w]
-
-    def run_together(self, w: str) -> list[tuple[tuple[str, str], float]]:
+def _variants(w: str, most: int) -> set[str]:
+    """The word with up to `most` letters left out: two words within that many edits share one."""
+    out = level = {w}
+    for _ in range(most):
+        level = {x[:i] + x[i + 1 :] for x in level for i in range(len(x))}
+        out = out | level
+    return out
+
+
+class Words:
+    """Words that are found again from written tokens: by what is left of both after leaving letters out, and by beginnings."""
+
+    def __init__(self, words: list[str]):
+        self.words = frozenset(words)
+        self.lengths = range(min(map(len, words), default=1), max(map(len, words), default=0) + 1)
+        self._left: dict[str, list[str]] = defaultdict(list)
+        self._begin: dict[str, list[str]] = defaultdict(list)
+        for w in sorted(self.words):
+            for v in _variants(w, 2):
+                self._left[v].append(w)
+            for n in range(3, len(w)):
+                self._begin[w[:n]].append(w)
+        self._within: dict[str, dict[str, int]] = {}
+        self._meant: dict[str, list[tuple[str, float]]] = {}
+
+    def within(self, w: str) -> dict[str, int]:
+        """Words at most two edits away, with their distance."""
+        if w not in self._within:
+            if len(self._within) > 200_000:
+                self._within.clear()
+            near = {x for v in _variants(w, 2) for x in self._left.get(v, ())} if len(w) - 2 <= self.lengths.stop else set()
+            self._within[w] = {x: d for x in near if (d := distance(w, x, 2)) <= 2}
+        return self._within[w]
+
+    def meant(self, w: str) -> list[tuple[str, float]]:
+        """The words that a token may stand for, as far as they are about as likely as the likeliest."""
+        if w not in self._meant:
+            if len(self._meant) > 100_000:
+                self._meant.clear()
+            near = set(self.within(w)) if len(w) >= 4 else set()
+            near |= {x for x in (w, w[:-1], w[:-2]) if x in self.words} | set(self._begin.get(w, ()))
+            hits = sorted((x, s) for x in near if (s := likeness(w, x)))
+            top = max((s for _, s in hits), default=0)
+            self._meant[w] = [(x, s) for x, s in hits if s >= top - 0.05]
+        return self._meant[w]
+
+
+Name = tuple[str, str]
+
+
+class Vocabulary:
+    """The words of the inventory's two-part names, and what written words may mean by them."""
+
+    def __init__(self, firsts: list[str], seconds: list[str]):
+        self.first, self.second = Words(firsts), Words(seconds)
+        self._whole: dict[str, list[tuple[Name, float]]] = {}
+        self._names: dict[tuple, dict[Name, float]] = {}
+
+    def joined(self, w: str) -> list[Name]:
+        """The names that a token without separator is, letter by letter."""
+        return [(w[:k], w[k:]) for k in self.first.lengths if w[:k] in self.first.words and w[k:] in self.second.words]
+
+    def run_together(self, w: str) -> list[tuple[Name, float]]:
         """Names that a token without separator may mean."""
         if len(w) < 7:
             return []
         if w not in self._whole:
             if len(self._whole) > 50_000:
                 self._whole.clear()
-            if w in self.joined:
-                self._whole[w] = [(self.joined[w], 1.0)]
+            if same := self.joined(w):
+                self._whole[w] = [(n, 1.0) for n in same]
             else:
-                near = [(p, 0.9 if d == 1 else 0.75) for j, p in self.joined.items() if abs(len(j) - len(w)) <= 2 and (j[0] == w[0] or j[-1] == w[-1]) and (d := distance(w, j, 2)) <= 2]
-                top = max((s for _, s in near), default=0)
-                self._whole[w] = [x for x in near if x[1] == top]
+                near: dict[Name, float] = {}
+                for k in range(max(1, self.first.lengths.start - 2), min(len(w), self.first.lengths.stop + 2)):
+                    for x in {w, w[: k - 1] + w[k] + w[k - 1] + w[k + 1 :]}:  # neighbours may be swapped across the middle
+                        for a, m in self.first.within(x[:k]).items():
+                            for b, n in self.second.within(x[k:]).items():
+                                if m + n <= 2 and (a[0] == w[0] or b[-1] == w[-1]) and (d := distance(w, a + b, 2)) <= 2:
+                                    near[a, b] = 0.9 if d == 1 else 0.75
+                top = max(near.values(), default=0)
+                self._whole[w] = sorted((n, s) for n, s in near.items() if s == top)
         return self._whole[w]
 
-    def names(self, ws: list[str], path: bool = False) -> dict[tuple[str, str], float]:
+    def names(self, ws: list[str], path: bool = False) -> dict[Name, float]:
         """Two-part names that the words of one place may mean, with their likeness."""
-        out: dict[tuple[str, str], float] = {}
+        key = (path, *ws)
+        if key in self._names:
+            return self._names[key]
+        if len(self._names) > 100_000:
+            self._names.clear()
+        out: dict[Name, float] = {}
         for i, w in enumerate(ws):
             for pair, s in self.run_together(w):
                 out[pair] = max(out.get(pair, 0), s)
             for j, v in enumerate(ws):
                 if i == j or path and j < i:
                     continue
-                for a, s in self.meanings(w)[0]:
-                    for b, t in self.meanings(v)[1]:
+                for a, s in self.first.meant(w):
+                    for b, t in self.second.meant(v):
                         q = min(s, t) * 0.75 + max(s, t) * 0.25 - (0.01 if j < i else 0) - 0.02 * (abs(j - i) - 1)
                         out[a, b] = max(out.get((a, b), 0), q)
+        self._names[key] = out
         return out
 
 
-VECTOR = 6
+class Inventory:
+    """The items' descriptions, brought to the same parts."""
 
+    @staticmethod
+    def parts(kind, display, dns, address, env, site):
+        """(kind, first word, second word, environments, sites) of one item."""
+        envs, sites, pair = set(), set(), (None, None)
+        for s in (display, dns, without_secrets(address)):
+            e, x, w = places(tokens(s))
+            envs |= e
+            sites |= x
+            w = [t for t in w if t not in KINDS]
+            if pair[0] is None and len(w) >= 2:
+                pair = (w[0], w[1])
+        envs |= places(tokens(env))[0]
+        sites |= places(tokens(site))[1]
+        return KINDS.get((kind or "").strip().lower()), *pair, sorted(envs), sorted(sites)
 
-class Describer:
-    """Candidates of a client with their similarity vectors."""
+    @staticmethod
+    def from_path(path: str | None, vocabulary: Vocabulary) -> Name | None:
+        """The name that a base route is built from, where nothing else says it."""
+        w = places(tokens(path))[2]
+        known = vocabulary.second.words
+        second = next((x if x in known else x[:-1] for x in w[1:] if x in known or x[:-1] in known), None)
+        return (w[0], second) if w and w[0] in vocabulary.first.words and second else None
 
-    def __init__(self, inventory: Inventory):
-        self.inv = inventory
 
-    def candidates(self, kind, ref_kind, logical, template, resolved, host, database, config, path) -> list[tuple[int, list[float], bool]]:
-        """(item, vector, whether environment, site and kind are stated and agree)."""
-        envs, sites = set(), set()
-        found: list[dict[tuple[str, str], float]] = []
-        for s in (logical, without_secrets(template), without_secrets(resolved), host):
-            ts = tokens(s)
-            e, x, w = places(ts)
-            envs |= e
-            sites |= x
-            w = [t for t in w if t not in KINDS or t in self.inv.joined]
-            if w:
-                found.append(self.inv.names(w))
-        envs |= places(tokens((config or "").split(":")[0]))[0]
-        w = [t for t in places(tokens(re.sub(r"[:{][\w}]+.*", "", path or "")))[2]]
-        if w:
-            found.append(self.inv.names(w[:2], path=True))
-        domain = set(tokens(database))
-        score: dict[tuple[str, str], float] = {}
-        votes: dict[tuple[str, str], int] = defaultdict(int)
-        for f in found:
-            top = max(f.values(), default=0)
-            for pair, s in f.items():
-                score[pair] = max(score.get(pair, 0), s)
-                votes[pair] += s >= top - 1e-9
-        if not score:
-            return []
-        for pair in score:
-            # the database is named after the first part of the name
-            if domain and pair[0] in domain:
-                score[pair] += 0.05
-                votes[pair] += 1
-        rank = sorted(score.items(), key=lambda x: (-(x[1] + 0.04 * votes[x[0]]), x[0]))
-        stated = {KINDS[k] for k in [(ref_kind or "").strip().lower()] if k in KINDS}
-        coarse = COARSE.get((kind or "").strip().lower())
-        scheme = re.match(r"(?:jdbc:)?([a-z]+)", (template or resolved or "").lower())
-        if not stated and scheme and KINDS.get(scheme[1]) in ("postgres", "mysql", "redis", "kafka", "grpc", "mongo"):
-            stated = {KINDS[scheme[1]]}
-        out = []
-        total = {p: s + 0.04 * votes[p] for p, s in score.items()}
-        for pair, s in rank[:8]:
-            other = max((t for p, t in total.items() if p != pair), default=0.0)
-            margin = max(-1.0, min(1.0, (total[pair] - other) * 12))
-            for item, k, env, site in self.inv.items.get(pair, ()):
-                same_kind = 1.0 if k in stated else 0.0 if stated else 0.9 if coarse and k in coarse else 0.0 if coarse else 0.5
-                same_env = 1.0 if envs == {env} else 0.5 if not envs or env in envs else 0.0
-                same_site = 1.0 if sites == {site} else 0.5 if not sites or site in sites else 0.0
-                v = [min(s, 1.0), min(votes[pair], 4) / 4, same_kind, same_env, same_site, margin]
-                out.append((item, v, envs == {env} and sites == {site} and same_kind >= 0.9))
-        return out
+VECTOR = 6
 
 
-def similarity(clients: DataFrame, inventory: DataFrame, block_items: int = 50_000) -> DataFrame:
-    """(client_id, candidates array<struct<item_id, vector, stated>>) of all clients with any candidate."""
+CLIENT = "client_id long, envs array<string>, sites array<string>, kinds array<string>, coarse array<string>, names array<struct<first:string,second:string,likeness:double,votes:int,margin:double>>"
+
+
+def described(vocabulary: Vocabulary, kind, ref_kind, logical, template, resolved, host, database, config, path):
+    """(environments, sites, stated kinds, kinds its coarse kind may be, names) of a client; names with likeness, votes and margin."""
+    envs, sites = set(), set()
+    found: list[dict[Name, float]] = []
+    for s in (logical, without_secrets(template), without_secrets(resolved), host):
+        e, x, w = places(tokens(s))
+        envs |= e
+        sites |= x
+        w = [t for t in w if t not in KINDS or vocabulary.joined(t)]
+        if w:
+            found.append(vocabulary.names(w))
+    envs |= places(tokens((config or "").split(":")[0]))[0]
+    w = places(tokens(re.sub(r"[:{][\w}]+.*", "", path or "")))[2]
+    if w:
+        found.append(vocabulary.names(w[:2], path=True))
+    domain = set(tokens(database))
+    score: dict[Name, float] = {}
+    votes: dict[Name, int] = defaultdict(int)
+    for f in found:
+        top = max(f.values(), default=0)
+        for pair, s in f.items():
+            score[pair] = max(score.get(pair, 0), s)
+            votes[pair] += s >= top - 1e-9
+    for pair in score:
+        if pair[0] in domain:  # the database is named after the first part of the name
+            score[pair] += 0.05
+            votes[pair] += 1
+    total = {p: s + 0.04 * votes[p] for p, s in score.items()}
+    first, second = (sorted(total.values(), reverse=True) + [0.0, 0.0])[:2]
+    names = []
+    for pair, s in sorted(score.items()):
+        other = second if total[pair] == first else first  # the best of the others; a tie leaves no margin
+        names.append((*pair, min(s, 1.0), votes[pair], max(-1.0, min(1.0, (total[pair] - other) * 12))))
+    stated = {KINDS[k] for k in [(ref_kind or "").strip().lower()] if k in KINDS}
+    scheme = re.match(r"(?:jdbc:)?([a-z]+)", (template or resolved or "").lower())
+    if not stated and scheme and KINDS.get(scheme[1]) in ("postgres", "mysql", "redis", "kafka", "grpc", "mongo"):
+        stated = {KINDS[scheme[1]]}
+    return sorted(envs), sorted(sites), sorted(stated), sorted(COARSE.get((kind or "").strip().lower(), ())), names
+
+
+def parsed(inventory: DataFrame) -> tuple[DataFrame, Vocabulary]:
+    """items(item_id, kind, first, second, env, site) of which all parts are known, and the vocabulary of all items' names."""
+    cols = ["kind", "display_name", "dns_name", "address", "env_name", "site_code"]
+    raw = map_rows(
+        inventory.where("item_id is not null").select("item_id", *cols, "path").distinct(),
+        "item_id long, kind string, first string, second string, envs array<string>, sites array<string>, path string",
+        lambda i, *rest: [(i, *Inventory.parts(*rest[:-1]), rest[-1])],
+    )
+    raw = cut(raw)
+    words = lambda c: [r[0] for r in raw.where(F.col(c).isNotNull()).select(c).distinct().toLocalIterator()]
+    vocabulary = Vocabulary(words("first"), words("second"))
+    held = inventory.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def complete(i, kind, first, second, envs, sites, path):
+        pair = (first, second) if first else Inventory.from_path(path, held.value)
+        return [(i, kind, *pair, envs[0], sites[0])] if pair and kind and len(envs) == 1 and len(sites) == 1 else []
+
+    return map_rows(raw, "item_id long, kind string, first string, second string, env string, site string", complete), vocabulary
+
+
+def _vector(name, item, envs, sites, kinds, coarse) -> tuple[list[float], bool]:
+    """The similarity vector of a client's name and an item of this name; whether environment, site and kind are stated and agree."""
+    _, _, likeness_, votes, margin = name
+    kind, env, site = item
+    same_kind = 1.0 if kind in kinds else 0.0 if kinds else 0.9 if kind in coarse else 0.0 if coarse else 0.5
+    same_env = 1.0 if envs == [env] else 0.5 if not envs or env in envs else 0.0
+    same_site = 1.0 if sites == [site] else 0.5 if not sites or site in sites else 0.0
+    return [likeness_, min(votes, 4) / 4, same_kind, same_env, same_site, margin], envs == [env] and sites == [site] and same_kind >= 0.9
+
+
+CANDIDATES = "client_id long, candidates array<struct<item_id:long,vector:array<double>,stated:boolean>>"
+
+
+def similarity(clients: DataFrame, inventory: DataFrame, most_broadcast: int = 200_000) -> DataFrame:
+    """(client_id, candidates array<struct<item_id, vector, stated>>) of all clients with any candidate.
+
+    Names are looked up in the vocabulary of the whole inventory. Up to most_broadcast items the items of a name are
+    broadcast as well, and a client's row never leaves its task; more of them are joined by name. Both give the same rows.
+    """
     spark = clients.sparkSession
-    cols = ["kind", "display_name", "dns_name", "address", "path", "env_name", "site_code"]
-    rows, blocks = [], []
-    for r in inventory.where("item_id is not null").select("item_id", *cols).distinct().orderBy("item_id").toLocalIterator():
-        rows.append(tuple(r))
-        if len(rows) == block_items:
-            blocks.append(rows)
-            rows = []
-    if rows:
-        blocks.append(rows)
-    schema = "client_id long, candidates array<struct<item_id:long,vector:array<double>,stated:boolean>>"
+    items, vocabulary = parsed(inventory)
+    items = cut(items)
+    held = spark.sparkContext.broadcast(vocabulary)
     ref = [F.col(f"instance_ref.{f}").alias(f"ref_{f}") for f in ("kind", "logical_name", "url_template", "resolved_url", "host", "database", "config_source")]
     narrow = clients.where("client_id is not null").select("client_id", "kind", *ref, "contract_path")
+    if items.count() <= most_broadcast:
+        of: dict[Name, list] = defaultdict(list)
+        for r in items.orderBy("item_id").toLocalIterator():
+            of[r["first"], r["second"]].append((r.item_id, (r.kind, r.env, r.site)))
+        known = spark.sparkContext.broadcast(dict(of))
 
-    def passes(block):
-        held = spark.sparkContext.broadcast(block)
+        def candidates(c, *rest):
+            envs, sites, kinds, coarse, names = described(held.value, *rest)
+            own = [(i, *_vector(n, item, envs, sites, kinds, coarse)) for n in names for i, item in known.value.get(n[:2], ())]
+            return [(c, [{"item_id": i, "vector": v, "stated": s} for i, v, s in own])] if own else []
 
-        def run(batches):
-            import pyarrow as pa
+        return map_rows(narrow, CANDIDATES, candidates)
 
-            describe = Describer(Inventory(held.value))
-            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("vector", pa.list_(pa.float64())), ("stated", pa.bool_())]))
-            for b in batches:
-                ids, found = [], []
-                for c, *rest in zip(*(x.to_pylist() for x in b.columns)):
-                    own = describe.candidates(*rest)
-                    if own:
-                        ids.append(c)
-                        found.append([{"item_id": i, "vector": v, "stated": s} for i, v, s in own])
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, kind)], names=["client_id", "candidates"])
-
-        return narrow.mapInArrow(run, schema)
-
-    if not blocks:
-        return spark.createDataFrame([], schema)
-    df = passes(blocks[0])
-    for block in blocks[1:]:
-        df = df.unionByName(passes(block))
-    if len(blocks) > 1:
-        df = df.groupBy("client_id").agg(F.array_distinct(F.flatten(F.collect_list("candidates"))).alias("candidates"))
-    return df
+    def named(c, *rest):
+        *parts, names = described(held.value, *rest)
+        return [(c, *parts, [dict(zip(("first", "second", "likeness", "votes", "margin"), n)) for n in names])] if names else []
+
+    # redelivered rows count as often as they come, as they do above
+    n = map_rows(narrow, CLIENT, named).withColumn("row", F.monotonically_increasing_id()).withColumn("n", F.explode("names")).select("client_id", "row", "envs", "sites", "kinds", "coarse", "n.*")
+    j = n.join(items.withColumnRenamed("kind", "item_kind"), ["first", "second"])
+    place = lambda own, it: F.when(F.col(own) == F.array(it), 1.0).when((F.size(own) == 0) | F.array_contains(own, F.col(it)), 0.5).otherwise(0.0)
+    kind = F.when(F.array_contains("kinds", F.col("item_kind")), 1.0).when(F.size("kinds") > 0, 0.0).when(F.array_contains("coarse", F.col("item_kind")), 0.9).when(F.size("coarse") > 0, 0.0).otherwise(0.5)
+    vector = F.array("likeness", F.least("votes", F.lit(4)) / 4.0, kind, place("envs", "env"), place("sites", "site"), "margin")
+    stated = (F.col("envs") == F.array("env")) & (F.col("sites") == F.array("site")) & (kind >= 0.9)
+    return j.groupBy("client_id", "row").agg(F.collect_list(F.struct("item_id", vector.alias("vector"), stated.alias("stated"))).alias("candidates")).drop("row")
 
 
 class Mixture:
@@ -372,13 +441,18 @@ def fit(candidates: DataFrame, ridge: float = 0.01, rounds: int = 12, tolerance:
     return state
 
 
-def match(clients: DataFrame, inventory: DataFrame, least: float = 0.5, **fitting) -> DataFrame:
-    """(client_id, item_id, confidence): the matching pairs, at most one item a client."""
+def match(clients: DataFrame, inventory: DataFrame, least: float = 0.5, most_broadcast: int = 200_000, **fitting) -> DataFrame:
+    """(client_id, item_id, confidence, stated): pairs whose posterior is at least `least`, at most one item a client.
+
+    stated: the client itself says environment, site and kind, and the best name leaves the others behind. Pairs that aren't
+    stated follow from what the inventory holds; their confidence is what the mixture makes of them.
+    """
     spark = clients.sparkSession
-    pairs = cut(similarity(clients, inventory))
+    pairs = cut(similarity(clients, inventory, most_broadcast))
     mixture = fit(pairs, **fitting)
+    schema = "client_id long, item_id long, confidence double, stated boolean"
     if mixture is None:
-        return spark.createDataFrame([], "client_id long, item_id long, confidence double")
+        return spark.createDataFrame([], schema)
     held = spark.sparkContext.broadcast(mixture)
 
     def decide(batches):
@@ -392,13 +466,13 @@ def match(clients: DataFrame, inventory: DataFrame, least: float = 0.5, **fittin
             p = held.value.posteriors(x, owner)
             best = np.zeros(len(b.column(0)))
             np.maximum.at(best, owner, p)
-            stated = np.asarray(flat.field("stated"))
+            stated = np.asarray(flat.field("stated")) & (x[:, 5] > 0)
             tie = np.bincount(owner, weights=(p >= best[owner] - 1e-9).astype(float))
-            ok = stated & (p >= best[owner] - 1e-9) & (tie[owner] == 1) & (p >= least) & (x[:, 5] > 0)
+            ok = (p >= best[owner] - 1e-9) & (tie[owner] == 1) & (p >= least)
             if ok.any():
                 i = np.flatnonzero(ok)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(owner[i])), flat.field("item_id").take(pa.array(i)), pa.array(p[i])], names=["client_id", "item_id", "confidence"]
+                    [b.column(0).take(pa.array(owner[i])), flat.field("item_id").take(pa.array(i)), pa.array(p[i]), pa.array(stated[i])], names=["client_id", "item_id", "confidence", "stated"]
                 )
 
-    return pairs.mapInArrow(decide, "client_id long, item_id long, confidence double").groupBy("client_id", "item_id").agg(F.max("confidence").alias("confidence"))
+    return pairs.mapInArrow(decide, schema).groupBy("client_id", "item_id").agg(F.max("confidence").alias("confidence"), F.max("stated").alias("stated"))

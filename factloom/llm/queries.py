@@ -23,12 +23,12 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_matches(spark: SparkSession, d: str) -> DataFrame:
-    """The matching client-item pairs with their posterior as confidence."""
+    """The matching client-item pairs with their posterior as confidence, and whether the exact check holds."""
     return matching.match(table(spark, d, "connection_clients"), table(spark, d, "infra_inventory"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return p2_matches(spark, d).select("client_id", "item_id")
+    return p2_matches(spark, d).where("stated").select("client_id", "item_id")
 
 
 def p4_fields(spark: SparkSession, d: str) -> DataFrame:

@@ -468,10 +468,12 @@ def test_matching_recovers_planted_pairs(spark):
     rows += rows[:20] + [(None, None, None, None, None), (999, None, None, None, None)]
     clients, items = spark.createDataFrame(rows, CLI), spark.createDataFrame(inv, INV)
     got = matching.match(clients, items).collect()
-    assert {(r.client_id, r.item_id) for r in got} == want and len(got) == len(want)
+    assert {(r.client_id, r.item_id) for r in got if r.stated} == want and len(got) == len({r.client_id for r in got})
     assert all(0.5 <= r.confidence <= 1 for r in got)
-    pairs = matching.similarity(clients, items, block_items=10)
-    assert pairs.select("client_id").distinct().count() == pairs.count()
+    exact = lambda rows: {(r.client_id, r.item_id, round(r.confidence, 6), r.stated) for r in rows}
+    assert exact(matching.match(clients, items, most_broadcast=0).collect()) == exact(got)  # joined by name instead
+    flat = lambda df: sorted((r.client_id, c.item_id, *(round(x, 9) for x in c.vector), c.stated) for r in df.distinct().collect() for c in r.candidates)
+    assert sorted(set(flat(matching.similarity(clients, items)))) == sorted(set(flat(matching.similarity(clients, items, most_broadcast=0))))
     assert matching.match(clients.limit(0), items).count() == 0
     assert matching.match(clients, items.limit(0)).count() == 0
 
@@ -484,6 +486,23 @@ def test_posteriors_of_one_client_compete():
     assert p[:3].sum() <= 1 + 1e-9 and abs(p[0] - 0.5) < 0.01 and p[2] < 0.01 and p[3] > 0.99
 
 
+def test_words_are_found_by_what_is_left_of_them():
+    rng = random.Random(2)
+    words = sorted({"".join(rng.choices("abc", k=rng.randint(3, 8))) for _ in range(80)})
+    index = matching.Words(words)
+    for _ in range(300):
+        w = "".join(rng.choices("abc", k=rng.randint(1, 9)))
+        assert index.within(w) == {x: d for x in words if (d := matching.distance(w, x)) <= 2}
+        hits = [(x, s) for x in words if (s := matching.likeness(w, x))]
+        assert index.meant(w) == [(x, s) for x, s in hits if s >= max(s for _, s in hits) - 0.05]
+    v = matching.Vocabulary(words, words)
+    for _ in range(200):
+        w = "".join(rng.choices("abc", k=rng.randint(7, 12)))
+        if not v.joined(w):
+            near = {(a, b): d for a in words for b in words if (a[0] == w[0] or b[-1] == w[-1]) and (d := matching.distance(w, a + b)) <= 2}
+            assert {n for n, _ in v.run_together(w)} == {n for n, d in near.items() if d == min(near.values())}
+
+
 def test_likeness_of_written_tokens():
     assert matching.likeness("engine", "engine") == 1 and matching.likeness("engines", "engine") > 0.9
     assert matching.likeness("geoc", "geocode") > 0.9 and matching.likeness("enigne", "engine") >= 0.9 and matching.likeness("xx", "engine") == 0
