@@ -17,8 +17,10 @@ ordinary scalars of their record.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from json.decoder import scanstring
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,17 +48,80 @@ class Collection:
     nested: tuple["Collection", ...] = ()
 
 
-def decoded(value, depth: int = 4):
-    """The value, read as JSON as long as it is JSON text of an object, list or string."""
-    while isinstance(value, str) and depth:
-        s = value.strip().lstrip("﻿").strip()
-        if s[:1] not in ('{', '[', '"'):
+_PART = re.compile(r"[ \t\n\r]*(?:(?P<mark>[{}\[\],:])|(?P<quote>\")|(?P<number>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<word>true|false|null|NaN|Infinity|-Infinity)|(?P<end>$))")
+_WORDS = {"true": True, "false": False, "null": None, "NaN": float("nan"), "Infinity": float("inf"), "-Infinity": float("-inf")}
+
+
+def read_deep(s: str):
+    """The value of a JSON text nested more deeply than the standard reader goes; ValueError if it isn't one."""
+    top: list = []
+    stack: list = [top]  # the open lists and objects
+    keys: list = [None]
+    want, at = "value", 0
+    while True:
+        m = _PART.match(s, at)
+        if not m:
+            raise ValueError(f"no JSON at {at}")
+        at, mark = m.end(), m["mark"]
+        if m["end"] is not None:
+            if len(stack) > 1 or not top:
+                raise ValueError("the text is cut off")
+            return top[0]
+        if mark in ("]", "}"):
+            if len(stack) < 2 or isinstance(stack[-1], dict) != (mark == "}") or want not in ("next", "first"):
+                raise ValueError(f"no JSON at {at}")
+            stack.pop()
+            keys.pop()
+            want = "next"
+        elif mark == ",":
+            if want != "next" or len(stack) < 2:
+                raise ValueError(f"no JSON at {at}")
+            want = "key" if isinstance(stack[-1], dict) else "value"
+        elif mark == ":":
+            if want != "colon":
+                raise ValueError(f"no JSON at {at}")
+            want = "value"
+        else:
+            if m["quote"]:
+                v, at = scanstring(s, at, True)
+            elif m["number"]:
+                v = json.loads(m["number"])
+            else:
+                v = _WORDS[m["word"]] if m["word"] else {} if mark == "{" else []
+            holder = stack[-1]
+            if isinstance(holder, dict) and want in ("key", "first"):
+                if not m["quote"]:
+                    raise ValueError(f"no JSON at {at}")
+                keys[-1], want = v, "colon"
+                continue
+            if want not in ("value", "first") or holder is top and top:
+                raise ValueError(f"no JSON at {at}")
+            if isinstance(holder, dict):
+                holder[keys[-1]] = v
+            else:
+                holder.append(v)
+            want = "next"
+            if mark:
+                stack.append(v)
+                keys.append(None)
+                want = "first"
+
+
+def decoded(value):
+    """The value, read as JSON as long as it is JSON text of an object, list or string, however deep and however often."""
+    while isinstance(value, str):
+        s = value.strip().lstrip("\ufeff").strip()
+        if s[:1] not in ("{", "[", '"'):
             return value
         try:
             value = json.loads(s)
-        except (ValueError, RecursionError):
+        except RecursionError:
+            try:
+                value = read_deep(s)
+            except ValueError:
+                return value
+        except ValueError:
             return value
-        depth -= 1
     return value
 
 
@@ -106,12 +171,26 @@ def elements(value, c: Collection) -> Iterator[tuple[str | None, object, bool]]:
         yield None, value, True
 
 
-def _holds(c: Collection, names: tuple[str, ...]) -> bool:
-    """Whether records of the collection are made from what lies at names; a schema's are its properties, also below items."""
-    if not c.tree:
-        return names == c.path
-    rest = names[len(c.path) :]
-    return names[: len(c.path)] == c.path and rest[-1:] == ("properties",) and all(x == "items" for x in rest[:-1])
+def _holds(c: Collection, names) -> bool:
+    """Whether records of the collection are made from what lies at a chain of names; a schema's are its properties, also below items."""
+    if c.tree:
+        if names[1] != "properties":
+            return False
+        names = names[0]
+        while names is not None and names[1] == "items":
+            names = names[0]
+    return _chain(names, len(c.path)) == c.path
+
+
+def _chain(end, most: int | None = None) -> tuple[str, ...] | None:
+    """The parts of a chain (what is before, own part) in order; None if there are more than `most`."""
+    out = []
+    while end is not None:
+        if len(out) == most:
+            return None
+        end, part = end
+        out.append(part)
+    return tuple(reversed(out))
 
 
 class Shredder:
@@ -135,17 +214,21 @@ class Shredder:
                 if k in self.members and (s := text_of(x)) is not None:
                     self.row(at, k, i, "scalar", s, path, "", None)
             return
-        stack = [(k, i, x, (*above, k)) for i, (k, x) in reversed([*enumerate(v.items())])]
+        # labels and names are chains, written out only where they are needed
+        start = None
+        for k in above:
+            start = (start, k)
+        stack = [((None, k), i, x, (start, k)) for i, (k, x) in reversed([*enumerate(v.items())])]
         while stack:
             label, i, x, names = stack.pop()
-            if any(_holds(c, names) for c in inside) and isinstance(decoded(x), (dict, list)):
+            if isinstance(x, (dict, list, str)) and any(_holds(c, names) for c in inside) and isinstance(decoded(x), (dict, list)):
                 continue
             if isinstance(x, dict):
-                stack += [(f"{label}.{k}", j, y, (*names, k)) for j, (k, y) in reversed([*enumerate(x.items())])]
+                stack += [((label, k), j, y, (names, k)) for j, (k, y) in reversed([*enumerate(x.items())])]
             elif isinstance(x, list):
-                stack += [(f"{label}.{j}" if isinstance(y, (dict, list)) else label, j, y, (*names, "") if isinstance(y, (dict, list)) else names) for j, y in reversed([*enumerate(x)])]
+                stack += [((label, str(j)) if isinstance(y, (dict, list)) else label, j, y, (names, "") if isinstance(y, (dict, list)) else names) for j, y in reversed([*enumerate(x)])]
             elif (s := text_of(x)) is not None:
-                self.row(at, label, i, "scalar", s, path, "", None)
+                self.row(at, ".".join(_chain(label)), i, "scalar", s, path, "", None)
 
     def collection(self, holder, c: Collection, at: int, path: str, anchor: str) -> None:
         v = decoded(holder)
@@ -181,9 +264,7 @@ class Shredder:
             if not isinstance(s, dict):
                 continue
             inner = decoded(s.get("items"))
-            for _ in range(64):  # arrays of arrays
-                if not isinstance(inner, dict):
-                    break
+            while isinstance(inner, dict):  # arrays of arrays
                 stack.append(({"properties": inner.get("properties")}, parent, names))
                 inner = decoded(inner.get("items"))
             props = decoded(s.get("properties"))

@@ -21,8 +21,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """The adjacency table itself, with all scalars."""
-    return shredding.adjacency(_texts(spark, d), shredding.SPECS, wrap={"entities": "details"}).drop("text_hash").distinct()
+    """The adjacency table itself, with all scalars. Redelivered texts are left out before they are taken apart.
+
+    Node numbers are those of one text: of two texts of one root text_hash tells which.
+    """
+    return shredding.adjacency(_texts(spark, d).distinct(), shredding.SPECS, wrap={"entities": "details"})
 
 
 def p1_fields(spark: SparkSession, d: str) -> DataFrame:

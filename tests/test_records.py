@@ -74,6 +74,50 @@ def test_unreadable_bodies_and_details(spark):
     assert len(shred(spark, [("r", json.dumps(long))])) == 60_000
 
 
+def test_depth_and_wrapping_have_no_limit(spark):
+    records = {"objects": {"db_queries": [{"id": "a"}]}}
+    for times in (3, 4, 5, 12):
+        text = json.dumps(records)
+        for _ in range(times):
+            text = json.dumps(text)
+        assert shred(spark, [("r", text)]) == {("r", "objects.db_queries", "a", "r")}, times
+    deep = json.dumps(records)[:-1] + ', "other": ' + "[" * 100_000 + "]" * 100_000 + "}"
+    assert shred(spark, [("r", deep)]) == {("r", "objects.db_queries", "a", "r")}
+    for n in (63, 64, 65, 6_400):
+        schema = '{"items": ' * n + '{"properties": {"leaf": {}}}' + "}" * n
+        body = '{"objects": {"http_endpoints": {"id": "e", "inputs": {"body": {"schema": {"properties": {"l": %s}}}}}}}' % schema
+        assert {x[2] for x in shred(spark, [("r", body)])} == {"e", "e/l", "e/l.leaf"}, n
+
+
+def test_deep_reader_agrees_with_the_standard_one():
+    rng = random.Random(3)
+
+    def value(depth):
+        kind = rng.randrange(9 if depth < 5 else 7)
+        if kind == 7:
+            return [value(depth + 1) for _ in range(rng.randrange(4))]
+        if kind == 8:
+            return {rng.choice("abc") * rng.randint(0, 2): value(depth + 1) for _ in range(rng.randrange(4))}
+        return [None, True, False, rng.randint(-9, 9), rng.random() * 1e9, "x'é\n\\", ""][kind]
+
+    for _ in range(300):
+        v = value(0)
+        for indent in (None, 1):
+            text = json.dumps(v, indent=indent)
+            assert shredding.read_deep(text) == v
+            for i in rng.sample(range(len(text)), min(4, len(text))):
+                broken = text[:i] + rng.choice("{}[],:") + text[i + rng.randint(0, 1) :]
+                try:
+                    want = json.loads(broken)
+                except ValueError:
+                    want = ValueError
+                try:
+                    got = shredding.read_deep(broken)
+                except ValueError:
+                    got = ValueError
+                assert got == want, broken
+
+
 def test_nodes_keep_lists_depth_and_roots(spark):
     prop = {"type": "array", "items": {"type": "string", "properties": {"z": {}}}}
     endpoint = {"id": "e", "evidence_refs": ["v1", "v2"], "a": {"b": {"c": {"d": {"x": 1}}}}, "l": [{"m": 1}, [2, 3]], "inputs": {"body": {"schema": {"type": "object", "required": ["p"], "properties": {"p": prop}}}}}
