@@ -74,24 +74,67 @@ def data_name(name: Column, table: Column, kind: Column) -> Column:
     return F.when(symbol & (res != "") & (op != "") & (res != F.lower(name)), F.concat_ws(" ", op, res)).otherwise(name)
 
 
+#: What a changed file is about, the first that fits: parts of its path, endings, whole file names. Fixed values.
+CHANGE_CATEGORIES = (
+    ("tests", ("/test/", "/tests/", "_test.", ".spec.", ".test.", "__tests__"), (), ()),
+    ("documentation", ("/docs/",), (".md", ".rst"), ()),
+    ("data", ("migration", "schema.sql", "liquibase", "flyway", "prisma/schema", "db/schema"), (), ()),
+    ("api", ("openapi", "swagger", ".proto", "graphql", "/routes/", "/controller", "/api/"), (), ()),
+    ("security", ("auth", "security", "permission", "policy", "iam", "rbac", "oauth", "secret", "credential", "certificate", "tls"), (), ()),
+    ("infrastructure", ("terraform", "helm/", "charts/", "k8s/", "kubernetes", "dockerfile", "docker-compose", ".github/workflows"), (".tf",), ()),
+    ("dependencies", (), (), ("go.mod", "go.sum", "package.json", "package-lock.json", "pnpm-lock.yaml", "yarn.lock", "pom.xml", "build.gradle", "requirements.txt", "poetry.lock", "cargo.toml", "cargo.lock")),
+    ("configuration", (), (".yaml", ".yml", ".json", ".toml", ".ini", ".conf", ".properties"), (".env*",)),
+)
+OTHER_CATEGORY = "code"
+#: Risk of a change by category; fixed values.
+CHANGE_RISK = {"api": 20, "data": 25, "security": 25, "infrastructure": 18, "dependencies": 15, "configuration": 10, "tests": 0, "documentation": 0, "code": 8}
+#: Signals by category and by what a patch says, with their severity. Fixed values.
+CATEGORY_SIGNALS = {"api": "contract_change", "data": "data_migration", "security": "security_boundary", "infrastructure": "deployment_change", "dependencies": "dependency_change"}
+PATCH_SIGNALS = {"public_surface_removal": ("-func ", "-public ", "-export ", "-interface "), "destructive_schema": ("drop table", "drop column", "alter table")}
+SEVERITY = {"contract_change": "high", "data_migration": "high", "destructive_schema": "high", "security_boundary": "high", "public_surface_removal": "high", "deployment_change": "medium", "dependency_change": "medium"}
+
+
+def category_patterns() -> list[tuple[str, str]]:
+    """(category, expression over a lower-case path), in order; the same for Spark and for SQL."""
+    name = lambda n: "(^|/)" + re.escape(n).replace(r"\*", "[^/]*") + "$"
+    return [(c, "|".join([*map(re.escape, parts), *(re.escape(e) + "$" for e in ends), *map(name, names)])) for c, parts, ends, names in CHANGE_CATEGORIES]
+
+
 def changed_file_kind(path: Column) -> Column:
     """What a changed file is about; the first that fits."""
     p = F.lower(path)
-    return N.ladder(p, [
-        (p.rlike(TEST_LIKE.lower()), "test"), (p.rlike(r"(^|/)(docs?)/|\.(md|rst|adoc)$"), "docs"), (p.rlike(r"(^|/)(migrations?|schema)/|\.sql$"), "database"),
-        (p.rlike(r"(openapi|swagger|\.proto$|/api/)"), "contract"), (p.rlike(r"(^|/)(deploy|helm|k8s|terraform|infra)/|\.tf$|dockerfile"), "infrastructure"),
-        (p.rlike(r"(^|/)(config|env)/|\.(ya?ml|properties|toml|env|json)$"), "configuration"), (p.rlike(r"(go\.mod|package\.json|pom\.xml|build\.gradle|requirements\.txt)$"), "dependencies"),
-        (p.rlike(r"\.(go|java|kt|py|ts|js|rb|rs|cs|scala|php|sh)$"), "source"),
-    ], F.lit("other"))
+    return N.ladder(p, [(p.rlike(rx), c) for c, rx in category_patterns()], F.lit(OTHER_CATEGORY))
+
+
+def patch_says(patch: Column, signal: str) -> Column:
+    return F.lower(F.coalesce(patch, F.lit(""))).rlike("|".join(map(re.escape, PATCH_SIGNALS[signal])))
 
 
 def file_signals(path: Column, patch: Column) -> Column:
-    """Signals of a change from its file kind and text, as an array."""
-    k, t = changed_file_kind(path), F.lower(F.coalesce(patch, F.lit("")))
-    return F.array_compact(F.array(
-        F.when(k == "database", "schema_change"), F.when(k == "contract", "contract_change"), F.when(k == "infrastructure", "infrastructure_change"), F.when(k == "configuration", "configuration_change"),
-        F.when(t.rlike("router\\.handlefunc|getmapping|postmapping"), "route_change"), F.when(t.rlike("publisher\\.send|consumer"), "queue_change"), F.when(t.rlike("password|secret|token"), "security_sensitive"),
-    ))
+    """Signals of a change from its file's category and its patch, as an array."""
+    k = changed_file_kind(path)
+    return F.array_compact(F.array(*(F.when(k == c, s) for c, s in CATEGORY_SIGNALS.items()), *(F.when(patch_says(patch, s), s) for s in PATCH_SIGNALS)))
+
+
+#: Details that name a target, in order, and words that name none. Fixed values.
+TARGET_DETAILS = (
+    "url", "base_url", "target_url", "default_url", "production_url", "host", "target_host", "target_service", "service", "queue", "queue_name", "destination", "topic", "database_name", "database", "table_or_entity", "table", "entity", "instance",
+)
+NO_TARGETS = ("", "unknown", "http", "rpc", "database", "cache", "queue", "kafka", "sqs", "sns", "postgres", "postgresql", "mysql", "redis", "dynamodb", "mongodb")
+TARGET_TAGS = ("-api", "-service", ".")
+TARGET_WORDS = ("://", ".internal", ".global")
+
+
+def target(entities: DataFrame) -> Column:
+    """What a dependency points to: its instance, a detail, a tag, a word of its evidence, or its name; over raw entities."""
+    useful = lambda c: F.when(~F.lower(F.trim(c)).isin(*NO_TARGETS), F.trim(c))
+    j = F.try_parse_json("details")
+    detail = lambda k: F.when(F.schema_of_variant(F.try_variant_get(j, f"$.{k}", "variant")) == "STRING", F.try_variant_get(j, f"$.{k}", "string"))
+    has = lambda x, parts: x.rlike("|".join(map(re.escape, parts)))
+    tag = F.try_element_at(F.filter("tags", lambda t: has(t, TARGET_TAGS)), F.lit(1))
+    words = F.flatten(F.transform(F.coalesce("evidence.snippet", F.array().cast("array<string>")), lambda t: F.split(F.coalesce(t, F.lit("")), r"\s+")))
+    word = F.try_element_at(F.filter(F.transform(words, lambda w: F.btrim(w, F.lit("\"'(){},;`"))), lambda w: has(w, TARGET_WORDS)), F.lit(1))
+    return F.coalesce(useful(F.col("instance")), *(useful(detail(k)) for k in TARGET_DETAILS), tag, word, F.trim("name"))
 
 
 def method_kind(symbol: Column) -> Column:

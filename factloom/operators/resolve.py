@@ -6,62 +6,82 @@ an equi join on a normalized key; containment is turned into one by exploding th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import norm as N
 from factloom.operators.predicates import ADDRESS_TYPES
 
-#: Well-known paths that many services expose; they identify none. Fixed values.
-GENERIC_ROUTES = ("/", "/health", "/healthz", "/ready", "/live", "/metrics", "/login", "/logout", "/token", "/oauth/token", "/docs", "/swagger", "/status", "/ping", "/version")
+#: Well-known paths that many services expose, and beginnings of such; they identify none. Fixed values.
+GENERIC_ROUTES = (
+    "/oauth/token", "/oauth/authorize", "/token", "/login", "/logout", "/health", "/healthz", "/livez", "/readyz", "/status", "/info", "/metrics", "/version", "/ping", "/api-docs", "/error",
+)
+GENERIC_BEGINNINGS = ("/actuator", "/swagger", "/health/", "/.well-known")
 
 
 def routes(facts: DataFrame, types: tuple[str, ...]) -> DataFrame:
-    """(entity_id, project_id, service, method, path) of facts with a route."""
+    """(entity_id, project_id, service, method, path) of facts with a route that can identify a service."""
     method = F.upper(F.coalesce(F.nullif(F.trim("d_method"), F.lit("")), N.http_method("name")))
     path = N.route_normal(F.coalesce(F.nullif(F.trim("d_path"), F.lit("")), N.http_path("name")))
-    return facts.where(F.col("type").isin(*types)).select("entity_id", "project_id", "service", method.alias("method"), path.alias("path")).where(~F.col("path").isin("", *GENERIC_ROUTES))
+    df = facts.where(F.col("type").isin(*types)).select("entity_id", "project_id", "service", method.alias("method"), path.alias("path")).where(~F.col("path").isin("", "/", *GENERIC_ROUTES))
+    for x in GENERIC_BEGINNINGS:
+        df = df.where(~F.startswith("path", F.lit(x)))
+    return df
+
+
+def _few_owners(exposures: DataFrame, key: str) -> DataFrame:
+    """The three smallest services of each (key, method) with their smallest entity: without the caller's own two are left, which tells ambiguity.
+
+    So a path that a third of all rows share is a few rows in the join, whatever exposes it.
+    """
+    per = exposures.groupBy(F.col(key).alias(key), F.col("method").alias("e_method"), F.col("service").alias("to_service")).agg(F.min("entity_id").alias("to_entity"))
+    return per.withColumn("n", F.row_number().over(Window.partitionBy(key, "e_method").orderBy("to_service"))).where("n <= 3").drop("n")
+
+
+def owners(deps: DataFrame, exposures: DataFrame, key: str) -> DataFrame:
+    """(entity_id, to_service, last, to_entity) of deps with any other service that exposes their (method, key); unique where to_service = last."""
+    j = deps.join(_few_owners(exposures, key), key).where((F.col("to_service") != F.col("service")) & ((F.col("method") == F.col("e_method")) | (F.col("method") == "") | (F.col("e_method") == "")))
+    return j.groupBy("entity_id").agg(F.min("to_service").alias("to_service"), F.max("to_service").alias("last"), F.min("to_entity").alias("to_entity"))
 
 
 def unique_owner(deps: DataFrame, exposures: DataFrame, key: str) -> DataFrame:
     """deps with the one other service that exposes their (method, key); ambiguous and own routes match nothing."""
-    e = exposures.select(F.col(key).alias(key), F.col("method").alias("e_method"), F.col("service").alias("to_service"), F.col("entity_id").alias("to_entity"))
-    j = deps.join(e, key).where((F.col("to_service") != F.col("service")) & ((F.col("method") == F.col("e_method")) | (F.col("method") == "") | (F.col("e_method") == "")))
-    g = j.groupBy("entity_id").agg(F.min("to_service").alias("to_service"), F.max("to_service").alias("last"), F.min("to_entity").alias("to_entity"))
-    return g.where(F.col("to_service") == F.col("last")).drop("last")
+    return owners(deps, exposures, key).where(F.col("to_service") == F.col("last")).drop("last")
 
 
 def route_matches(facts: DataFrame) -> DataFrame:
     """Exact route owners (.92), then, for what is left, owners by the route without leading version or audience segments (.84)."""
     deps, exps = routes(facts, ("outbound_http",)), routes(facts, ("http_route", "webhook"))
-    exact_any = deps.join(exps.select("path", F.col("method").alias("em"), F.col("service").alias("es")), "path").where((F.col("es") != F.col("service")) & ((F.col("method") == F.col("em")) | (F.col("method") == "") | (F.col("em") == ""))).select("entity_id").distinct()
-    exact = unique_owner(deps, exps, "path").withColumn("confidence", F.lit(0.92)).withColumn("tier", F.lit("exact"))
+    any_exact = owners(deps, exps, "path")
+    exact = any_exact.where(F.col("to_service") == F.col("last")).drop("last").withColumn("confidence", F.lit(0.92)).withColumn("tier", F.lit("exact"))
     strip = lambda df: df.withColumn("stripped", N.route_stripped(F.col("path")))
-    rest = strip(deps.join(exact_any, "entity_id", "left_anti"))  # an ambiguous exact match is not retried
+    rest = strip(deps.join(any_exact.select("entity_id"), "entity_id", "left_anti"))  # an ambiguous exact match is not retried
     return exact.unionByName(unique_owner(rest, strip(exps), "stripped").withColumn("confidence", F.lit(0.84)).withColumn("tier", F.lit("stripped")))
 
 
 def queue_matches(facts: DataFrame) -> DataFrame:
-    """Publishers with the first consuming service of the same topic (.90)."""
+    """Publishers with the first consuming service of the same topic (.90); of a topic the two first consumers are enough to leave out its publisher."""
     topic = N.queue_topic(F.regexp_extract("name", r"^\S+\s+(.*)$", 1))
     pub = facts.where("type = 'queue_publish'").select("entity_id", "service", topic.alias("topic")).where("topic <> ''")
-    con = facts.where("type in ('queue_consumer', 'stream_consume')").select(topic.alias("topic"), F.col("service").alias("to_service"), F.col("entity_id").alias("to_entity"))
+    con = facts.where("type in ('queue_consumer', 'stream_consume')").select(topic.alias("topic"), F.col("service").alias("to_service"), F.col("entity_id").alias("to_entity")).where("topic <> ''")
+    con = con.groupBy("topic", "to_service").agg(F.min("to_entity").alias("to_entity")).withColumn("n", F.row_number().over(Window.partitionBy("topic").orderBy("to_service"))).where("n <= 2").drop("n")
     j = pub.join(con, "topic").where("to_service <> service")
     return j.groupBy("entity_id").agg(F.min(F.struct("to_service", "to_entity")).alias("m")).select("entity_id", "m.to_service", "m.to_entity", F.lit(0.90).alias("confidence"))
 
 
-def identity_matches(deps: DataFrame, identities: DataFrame, longest: int = 4) -> DataFrame:
+def identity_matches(deps: DataFrame, identities: DataFrame) -> DataFrame:
     """deps(entity_id, service, type, target) against identities(value, owner) in tiers: equal .95, same host .90, contained .75.
 
     The best (confidence, length) wins; ties between services are conflicts, marked so. RPC needs at least .9.
-    Containment is an equi join: runs of up to `longest` tokens of the target against whole identities of five letters
-    and more, then verified on token boundaries.
+    Containment is an equi join: runs of tokens of the target, as long as the longest identity, against whole identities
+    of five letters and more, then verified on token boundaries.
     """
     key = lambda c: F.regexp_replace(N.service_name(F.lower(c)), r"[^a-z0-9]+", "-")
     ids = identities.select("value", "owner", key(F.col("value")).alias("k"), N.hostname("value").alias("h"))
     t = deps.withColumn("k", key(F.col("target"))).withColumn("h", N.hostname("target"))
     equal = t.join(ids.select("k", "owner", "value"), "k").withColumn("confidence", F.lit(0.95))
     host = t.where("h <> ''").join(ids.where("h <> ''").select("h", "owner", "value"), "h").withColumn("confidence", F.lit(0.90))
+    longest = identities.where(F.length("value") >= 5).agg(F.max(F.size(F.filter(F.split(F.lower("value"), r"[^a-z0-9]+"), lambda x: x != "")))).first()[0] or 1
     words = F.filter(F.split(F.lower("target"), r"[^a-z0-9]+"), lambda x: x != "")
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), "-"))))
     exploded = t.withColumn("w", words).where(F.size("w") > 0).withColumn("k", F.explode(F.array_distinct(runs)))

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from factloom.functions import norm as N
 from factloom.operators import reconcile as R
-from factloom.operators.predicates import changed_file_kind
+from factloom.operators import predicates as P
 from factloom.plans import base as B
 from factloom.plans.base import ATTEMPTS, CALLS, CLIENTS, FACTS, JOBS, LINKS, ORACLE, QUERIES, QUEUE_ROLES, RESOURCE_OPS, SERVICES, query, with_  # noqa: F401
 from factloom.plans.normalizers import _OP, _PC, _PROFILE, _PROFILE_F, _SING
-from factloom.plans.predicates import _CHANGED
+from factloom.plans.predicates import _CHANGED, _SAYS
 from factloom.sources.tables import table
 
 
@@ -245,16 +245,33 @@ def a25_admission(spark, d):
     return B.jobs(spark, d).groupBy("project_id").agg(pending.alias("pending"), F.count_if(F.col("status") == "running").alias("running"), F.count("*").alias("known"), (pending < 3).alias("admits"))
 
 
+_RISK = " ".join(f"WHEN '{k}' THEN {v}" for k, v in P.CHANGE_RISK.items())
+
+
 @query(with_(FACTS) + f""", f AS (SELECT service, file, {_CHANGED} AS c, greatest(coalesce(end_line, 0) - coalesce(start_line, 0), 0) AS lines FROM (SELECT *, lower(file) AS f FROM facts WHERE file IS NOT NULL)),
-s AS (SELECT service, sum(lines) AS lines, count(DISTINCT file) AS files, bool_or(c = 'database') AS db, bool_or(c = 'contract') AS contract, bool_or(c = 'infrastructure') AS infra, bool_or(c = 'test') AS tests FROM f GROUP BY service)
-SELECT service, CAST(least(100, CASE WHEN lines > 200 THEN 30 WHEN lines > 50 THEN 15 ELSE 5 END + CASE WHEN files > 20 THEN 20 WHEN files > 5 THEN 10 ELSE 0 END + CASE WHEN db THEN 20 ELSE 0 END + CASE WHEN contract THEN 20 ELSE 0 END + CASE WHEN infra THEN 15 ELSE 0 END + CASE WHEN tests THEN 0 ELSE 10 END) AS INT) AS score FROM s""")
+k AS (SELECT service, c, sum(lines) AS lines, count(DISTINCT file) AS files FROM f GROUP BY service, c),
+v AS (SELECT lower(trim(service)) AS service, bool_or({_SAYS["public_surface_removal"]}) AS removal, bool_or({_SAYS["destructive_schema"]}) AS destructive FROM (SELECT DISTINCT ON (entity_id) entity_id, service, evidence FROM entities WHERE deleted_at IS NULL), LATERAL (SELECT lower(coalesce(e.snippet, '')) AS t FROM unnest(evidence) AS u(e)) GROUP BY 1),
+s AS (SELECT service, sum(lines) AS lines, sum(files) AS files, sum(CASE WHEN r > 0 THEN least(r, 8 + files * 3) ELSE 0 END) AS risk, bool_or(c IN ('code', 'api', 'data')) AS source, bool_or(c = 'tests') AS tests, sum(CASE WHEN c IN ('api', 'data', 'security') THEN 8 ELSE 0 END) AS high FROM (SELECT *, CASE c {_RISK} END AS r FROM k) GROUP BY service)
+SELECT service, CAST(score AS INT) AS score, CASE WHEN score >= 80 THEN 'critical' WHEN score >= 55 THEN 'high' WHEN score >= 30 THEN 'moderate' ELSE 'low' END AS level FROM (SELECT service, least(100, 5 + CASE WHEN lines > 1500 THEN 24 WHEN lines > 500 THEN 16 WHEN lines > 100 THEN 8 ELSE 0 END + CASE WHEN files > 50 THEN 20 WHEN files > 20 THEN 12 WHEN files > 8 THEN 5 ELSE 0 END + risk
+  + CASE WHEN source AND NOT tests THEN 10 ELSE 0 END + high + CASE WHEN coalesce(removal, false) THEN 8 ELSE 0 END + CASE WHEN coalesce(destructive, false) THEN 8 ELSE 0 END) AS score FROM s LEFT JOIN v USING (service))""")
 def a26_impact_score(spark, d):
-    f = B.facts(spark, d).where("file is not null").select("service", "file", changed_file_kind(F.col("file")).alias("c"), F.greatest(F.coalesce("end_line", F.lit(0)) - F.coalesce("start_line", F.lit(0)), F.lit(0)).alias("lines"))
-    is_kind = lambda k: F.bool_or(F.col("c") == k)
-    s = f.groupBy("service").agg(F.sum("lines").alias("lines"), F.countDistinct("file").alias("files"), *(is_kind(k).alias(k) for k in ("database", "contract", "infrastructure", "test")))
-    pts = lambda c, n: F.when(F.col(c), n).otherwise(0)
-    score = F.when(F.col("lines") > 200, 30).when(F.col("lines") > 50, 15).otherwise(5) + F.when(F.col("files") > 20, 20).when(F.col("files") > 5, 10).otherwise(0) + pts("database", 20) + pts("contract", 20) + pts("infrastructure", 15) + F.when(F.col("test"), 0).otherwise(10)
-    return s.select("service", F.least(F.lit(100), score).alias("score"))
+    """Risk of changing all files of a service: size, categories, missing tests and signals."""
+    f = B.facts(spark, d).where("file is not null").select("service", "file", P.changed_file_kind(F.col("file")).alias("c"), F.greatest(F.coalesce("end_line", F.lit(0)) - F.coalesce("start_line", F.lit(0)), F.lit(0)).alias("lines"))
+    k = f.groupBy("service", "c").agg(F.sum("lines").alias("lines"), F.countDistinct("file").alias("files"))
+    risk = F.create_map(*[F.lit(x) for kv in P.CHANGE_RISK.items() for x in kv])[F.col("c")]
+    high = [c for c, x in P.CATEGORY_SIGNALS.items() if P.SEVERITY[x] == "high"]
+    s = k.groupBy("service").agg(
+        F.sum("lines").alias("lines"), F.sum("files").alias("files"), F.sum(F.when(risk > 0, F.least(risk, 8 + F.col("files") * 3)).otherwise(0)).alias("risk"), F.bool_or(F.col("c").isin("code", "api", "data")).alias("source"),
+        F.bool_or(F.col("c") == "tests").alias("tests"), F.sum(F.when(F.col("c").isin(high), 8).otherwise(0)).alias("high"))
+    e = table(spark, d, "entities").where("deleted_at is null").select("entity_id", N.lower("service").alias("service"), "evidence").dropDuplicates(["entity_id"]).select("service", F.explode("evidence.snippet").alias("t"))
+    v = e.groupBy("service").agg(*(F.bool_or(P.patch_says(F.col("t"), x)).alias(x) for x in P.PATCH_SIGNALS))
+    tier = lambda c, *steps: F.coalesce(*(F.when(F.col(c) > n, v_) for n, v_ in steps), F.lit(0))
+    score = 5 + tier("lines", (1500, 24), (500, 16), (100, 8)) + tier("files", (50, 20), (20, 12), (8, 5)) + F.col("risk") + F.when(F.col("source") & ~F.col("tests"), 10).otherwise(0) + F.col("high")
+    for x in P.PATCH_SIGNALS:
+        score = score + F.when(F.coalesce(x, F.lit(False)), 8).otherwise(0)
+    out = s.join(v, "service", "left").select("service", F.least(F.lit(100), score).cast("int").alias("score"))
+    n = F.col("score")
+    return out.withColumn("level", F.when(n >= 80, "critical").when(n >= 55, "high").when(n >= 30, "moderate").otherwise("low"))
 
 
 @query("SELECT coalesce(error, 'none') AS reason, count(*) AS n FROM graph_runs GROUP BY ALL")

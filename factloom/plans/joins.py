@@ -33,10 +33,11 @@ def j1_rule_targets(spark, d):
 
 
 _NR = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(regexp_replace(P, '\?.*$', ''))), '\{[^}/]+\}', '{}', 'g'), ':[a-z_][a-z0-9_]*', '{}', 'g'), '/+', '/', 'g'), '/+$', '')"""
+_USABLE = "path NOT IN (" + ", ".join(f"'{x}'" for x in ("", "/", *S.GENERIC_ROUTES)) + ")" + "".join(f" AND NOT prefix(path, '{x}')" for x in S.GENERIC_BEGINNINGS)
 _RT = rf"""rt AS (SELECT entity_id, type, service, method, CASE WHEN P = '' THEN '' WHEN {_NR} = '' THEN '/' ELSE {_NR} END AS path FROM (SELECT entity_id, type, service, upper(coalesce(nullif(trim(d_method), ''), regexp_extract(name, '(?i)\b(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+\S+', 1))) AS method,
   coalesce(nullif(trim(d_path), ''), regexp_extract(name, '(?i)\b(?:GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+(\S+)', 1)) AS P FROM facts WHERE type IN ('outbound_http', 'http_route', 'webhook'))),
-rdep AS (SELECT * FROM rt WHERE type = 'outbound_http' AND path NOT IN ('', '/', '/health', '/healthz', '/ready', '/live', '/metrics', '/login', '/logout', '/token', '/oauth/token', '/docs', '/swagger', '/status', '/ping', '/version')),
-rexp AS (SELECT * FROM rt WHERE type <> 'outbound_http' AND path NOT IN ('', '/', '/health', '/healthz', '/ready', '/live', '/metrics', '/login', '/logout', '/token', '/oauth/token', '/docs', '/swagger', '/status', '/ping', '/version')),
+rdep AS (SELECT * FROM rt WHERE type = 'outbound_http' AND {_USABLE}),
+rexp AS (SELECT * FROM rt WHERE type <> 'outbound_http' AND {_USABLE}),
 ex AS (SELECT a.entity_id, b.service AS to_service, b.entity_id AS to_entity FROM rdep a JOIN rexp b ON a.path = b.path AND a.service <> b.service AND (a.method = b.method OR a.method = '' OR b.method = '')),
 exact AS (SELECT entity_id, min(to_service) AS to_service, min(to_entity) AS to_entity FROM ex GROUP BY entity_id HAVING count(DISTINCT to_service) = 1),
 st AS (SELECT a.entity_id, b.service AS to_service, b.entity_id AS to_entity FROM rdep a JOIN rexp b ON regexp_replace(a.path, '^((?:/(?:api|v1|v2|public|internal))+)(/.*)$', '\2') = regexp_replace(b.path, '^((?:/(?:api|v1|v2|public|internal))+)(/.*)$', '\2')

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import norm as N
+from factloom.operators import predicates as P
 from factloom.plans import base as B
 from factloom.plans.base import CLIENTS, FACTS, ORACLE, QUERIES, query, with_  # noqa: F401
 from factloom.sources.tables import table
@@ -297,11 +298,19 @@ def f29_match_type(spark, d):
     return _over(_raw(spark, d, "type"), "type", match_type=N.match_type("type"))
 
 
-@query(with_(FACTS) + r"""SELECT entity_id, coalesce(nullif(trim(instance), ''), nullif(trim(host), ''), nullif(trim(logical_name), ''), nullif(trim(resolved_url), ''), nullif(trim(url_template), ''), nullif(trim(db_name), ''),
-  nullif(trim(d_table), ''), nullif(trim(d_path), ''), nullif(trim(tag), ''), name, '') AS target FROM facts WHERE kind = 'dependency'""")
+_NONE = ", ".join(f"'{x}'" for x in P.NO_TARGETS)
+_USEFUL = lambda c: f"CASE WHEN lower(trim({c})) NOT IN ({_NONE}) THEN trim({c}) END"
+_DETAILS = ", ".join(_USEFUL(f"(CASE WHEN json_type(j, '$.{k}') = 'VARCHAR' THEN j->>'$.{k}' END)") for k in P.TARGET_DETAILS)
+_ANY = lambda x, parts: "(" + " OR ".join(f"contains({x}, '{p}')" for p in parts) + ")"
+
+
+@query(f"""SELECT entity_id, coalesce({_USEFUL('instance')}, {_DETAILS}, list_filter(tags, lambda t: {_ANY('t', P.TARGET_TAGS)})[1],
+  list_filter(list_transform(flatten(list_transform(evidence, lambda e: string_split_regex(coalesce(e.snippet, ''), '\\s+'))), lambda w: trim(w, '"''(){{}},;`')), lambda w: {_ANY('w', P.TARGET_WORDS)})[1], trim(name)) AS target
+FROM (SELECT DISTINCT ON (entity_id) *, TRY_CAST(details AS JSON) AS j FROM entities WHERE deleted_at IS NULL AND kind = 'dependency')""")
 def f30_target_ladder(spark, d):
-    ladder = ("instance", "host", "logical_name", "resolved_url", "url_template", "db_name", "d_table", "d_path", "tag", "name")
-    return B.facts(spark, d).where("kind = 'dependency'").select("entity_id", N.first_non_empty(*ladder).alias("target"))
+    """What each dependency points to: instance, details, tags, words of the evidence, name."""
+    e = table(spark, d, "entities").where("deleted_at is null and kind = 'dependency'").select("entity_id", "instance", "details", "tags", "evidence", "name").dropDuplicates(["entity_id"])
+    return e.select("entity_id", P.target(e).alias("target"))
 
 
 @query(r"""SELECT attempt_no, CAST(power(2, least(attempt_no, 6)) AS BIGINT) AS backoff_s, round(greatest(least(0.98 - 0.04 * (attempt_no - 1), 0.99), 0.5), 6) AS path_score FROM (SELECT DISTINCT attempt_no FROM job_attempts WHERE attempt_no IS NOT NULL)""")

@@ -164,10 +164,12 @@ def pr22_no_result(spark, d):
     return B.links(spark, d).select("connection_id", F.lower(F.coalesce("summary", F.lit(""))).rlike(r"\b(no|none|not)\b.*\b(found|detected|present)\b|^(none|n/a)$").alias("says_nothing"))
 
 
-_CHANGED = r"""CASE WHEN regexp_matches(f, '(^|/)(tests?|__tests__|testdata|fixtures?|mocks?|spec|examples?)(/|$)|(_test\.|\.test\.|\.spec\.|test\.java$|tests\.java$)') THEN 'test' WHEN regexp_matches(f, '(^|/)(docs?)/|\.(md|rst|adoc)$') THEN 'docs'
-  WHEN regexp_matches(f, '(^|/)(migrations?|schema)/|\.sql$') THEN 'database' WHEN regexp_matches(f, '(openapi|swagger|\.proto$|/api/)') THEN 'contract' WHEN regexp_matches(f, '(^|/)(deploy|helm|k8s|terraform|infra)/|\.tf$|dockerfile') THEN 'infrastructure'
-  WHEN regexp_matches(f, '(^|/)(config|env)/|\.(ya?ml|properties|toml|env|json)$') THEN 'configuration' WHEN regexp_matches(f, '(go\.mod|package\.json|pom\.xml|build\.gradle|requirements\.txt)$') THEN 'dependencies'
-  WHEN regexp_matches(f, '\.(go|java|kt|py|ts|js|rb|rs|cs|scala|php|sh)$') THEN 'source' ELSE 'other' END"""
+def sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_CHANGED = "CASE " + " ".join(f"WHEN regexp_matches(f, {sql_text(rx)}) THEN '{c}'" for c, rx in P.category_patterns()) + f" ELSE '{P.OTHER_CATEGORY}' END"
+_SAYS = {k: " OR ".join(f"contains(t, {sql_text(x)})" for x in v) for k, v in P.PATCH_SIGNALS.items()}
 
 
 @query(with_(FACTS) + f"SELECT file, {_CHANGED} AS category FROM (SELECT DISTINCT file, lower(file) AS f FROM facts WHERE file IS NOT NULL)")
@@ -176,8 +178,10 @@ def pr23_changed_files(spark, d):
     return f.select("file", P.changed_file_kind(F.col("file")).alias("category"))
 
 
-@query(rf"""SELECT DISTINCT entity_id, file, unnest(list_filter([CASE WHEN c = 'database' THEN 'schema_change' END, CASE WHEN c = 'contract' THEN 'contract_change' END, CASE WHEN c = 'infrastructure' THEN 'infrastructure_change' END, CASE WHEN c = 'configuration' THEN 'configuration_change' END,
-  CASE WHEN regexp_matches(t, 'router\.handlefunc|getmapping|postmapping') THEN 'route_change' END, CASE WHEN regexp_matches(t, 'publisher\.send|consumer') THEN 'queue_change' END, CASE WHEN regexp_matches(t, 'password|secret|token') THEN 'security_sensitive' END], lambda x: x IS NOT NULL)) AS signal
+_SIGNALS = ", ".join([*(f"CASE WHEN c = '{c}' THEN '{x}' END" for c, x in P.CATEGORY_SIGNALS.items()), *(f"CASE WHEN {says} THEN '{x}' END" for x, says in _SAYS.items())])
+
+
+@query(rf"""SELECT DISTINCT entity_id, file, unnest(list_filter([{_SIGNALS}], lambda x: x IS NOT NULL)) AS signal
 FROM (SELECT entity_id, file, t, {_CHANGED} AS c FROM (SELECT entity_id, e.location.file AS file, lower(e.location.file) AS f, lower(coalesce(e.snippet, '')) AS t FROM (SELECT entity_id, unnest(evidence) AS e FROM entities)))""")
 def pr24_patch_signals(spark, d):
     e = table(spark, d, "entities").select("entity_id", F.explode("evidence").alias("e")).select("entity_id", F.col("e.location.file").alias("file"), F.col("e.snippet").alias("t"))
