@@ -125,31 +125,19 @@ def impact(spark, d):
     return G.impact_edges(e.union(pub).union(con).union(store))
 
 
-@query(with_(CALLS, EDGES, QUEUE_ROLES, RESOURCE_OPS, _IMP) + """, r AS (SELECT 'service:0' AS node, 0 AS depth UNION SELECT i.b, r.depth + 1 FROM r JOIN imp i ON i.a = r.node WHERE r.depth < 2),
-m AS (SELECT node, min(depth) AS depth FROM r GROUP BY node) SELECT node, CAST(depth AS INT) AS depth, prefix(node, 'service:') AS crosses_service FROM m WHERE depth > 0""")
-def g10_blast_radius(spark, d, target="service:0", depth=2):
-    """The two nearest hops only, as the SQL counterpart has them; g10_blast_radius_whole has the whole radius."""
-    return T.blast_radius(impact(spark, d), target, depth, nodes=100_000).select("node", "depth", "crosses_service")
-
-
-@query()
-def g10_blast_radius_whole(spark, d, target="service:0", depth=6):
-    """What a change of one service affects up to the inventory's depth; bounded says whether more lies beyond."""
+@query(with_(CALLS, EDGES, QUEUE_ROLES, RESOURCE_OPS, _IMP) + """, r AS (SELECT 'service:0' AS node, 0 AS depth UNION SELECT i.b, r.depth + 1 FROM r JOIN imp i ON i.a = r.node WHERE r.depth < 7),
+m AS (SELECT node, min(depth) AS depth FROM r GROUP BY node) SELECT node, CAST(depth AS INT) AS depth, prefix(node, 'service:') AS crosses_service, (SELECT max(depth) FROM m) > 6 AS bounded FROM m WHERE depth BETWEEN 1 AND 6""")
+def g10_blast_radius(spark, d, target="service:0", depth=6):
+    """What a change of one service affects; bounded says whether more lies beyond the depth."""
     return T.blast_radius(impact(spark, d), target, depth, nodes=None).select("node", "depth", "crosses_service", "bounded")
 
 
-_TOPICS = r"""qt AS (SELECT *, regexp_replace(lower(trim(regexp_extract(name, '^\S+\s+(.*)$', 1))), '[-_.]+', '', 'g') AS topic FROM facts WHERE type IN ('queue_publish', 'queue_consumer', 'stream_consume')),
-qm AS (SELECT entity_id, split_part(m, '|', 2) AS to_entity FROM (SELECT a.entity_id, min(b.service || '|' || b.entity_id) AS m FROM qt a JOIN qt b ON a.topic = b.topic AND a.topic <> '' AND a.type = 'queue_publish' AND b.type <> 'queue_publish' AND a.service <> b.service GROUP BY ALL)),
-tr AS (SELECT src AS a, dst AS b FROM links WHERE src <> '' AND dst <> '' AND src <> dst UNION SELECT entity_id, to_entity FROM exact UNION SELECT entity_id, to_entity FROM stripped UNION SELECT entity_id, to_entity FROM qm)"""
-
-
-@query(with_(FACTS, LINKS, _RT, _TOPICS) + """, w AS (SELECT entity_id AS root, entity_id AS node, 0 AS depth FROM facts WHERE kind = 'exposure' UNION SELECT w.root, tr.b, w.depth + 1 FROM w JOIN tr ON tr.a = w.node WHERE w.depth < 5),
-m AS (SELECT root, node, min(depth) AS depth FROM w GROUP BY ALL) SELECT root, node, CAST(depth AS INT) AS depth, (SELECT max(depth) FROM m) > 4 AS limited FROM m WHERE depth BETWEEN 1 AND 4""")
-def g11_flow_walk(spark, d, depth=4):
+@query()
+def g11_flow_walk(spark, d, depth=6):
     """What each entry point sets off: its own connections, then the matched routes and queues of other services, up to a depth.
 
     States are facts; a state leads over its connections to dependencies, and from a dependency over a matched route or
-    topic to another service's entry point. Cycles end where a state was seen.
+    topic to another service's entry point. Cycles end where a state was seen; limited tells that more lies beyond the depth.
     """
     from factloom.operators.resolve import queue_matches, route_matches
     from factloom.session import cut
@@ -158,14 +146,7 @@ def g11_flow_walk(spark, d, depth=4):
     local = l.where("src <> '' and dst <> ''").select("src", "dst")
     cross = route_matches(f).select(F.col("entity_id").alias("src"), F.col("to_entity").alias("dst")).union(queue_matches(f).select("entity_id", "to_entity"))
     roots = f.where("kind = 'exposure'").select(F.col("entity_id").alias("root"))
-    reach, limited = T.levels(local.union(cross), roots, depth)
-    return reach.where("depth > 0").select("root", "node", "depth", F.lit(limited).alias("limited"))
-
-
-@query()
-def g11_flow_walk_whole(spark, d, depth=6):
-    """The flow walk to the inventory's depth, which its SQL counterpart doesn't reach."""
-    return g11_flow_walk(spark, d, depth)
+    return T.levels(local.union(cross), roots, depth).where("depth > 0").select("root", "node", "depth", F.col("bounded").alias("limited"))
 
 
 @query(with_(FACTS) + "SELECT entity_id, name, service FROM facts WHERE kind = 'exposure' AND (contains(lower(name), 'ticket') OR contains(service, 'ticket'))")
@@ -183,17 +164,6 @@ def g13_full_search(spark, d, text="wallet"):
     return svc.union(obj).union(f.where(has("db_name")).select(F.lit("resource"), N.lower("db_name"))).union(f.where(has("host")).select(F.lit("external"), N.lower("host"))).distinct()
 
 
-@query(with_(LINKS, _STEPS) + """, ed AS (SELECT DISTINCT from_symbol AS src, to_symbol AS dst FROM st WHERE from_symbol IS NOT NULL AND to_symbol IS NOT NULL), p AS (SELECT from_symbol AS entry, from_symbol AS node, [from_symbol] AS path, 0 AS hops FROM (SELECT DISTINCT from_symbol FROM st WHERE step_no = 1 AND from_symbol IS NOT NULL)
-  UNION ALL SELECT p.entry, ed.dst, list_append(p.path, ed.dst), p.hops + 1 FROM p JOIN ed ON ed.src = p.node WHERE p.hops < 3 AND NOT list_contains(p.path, ed.dst))
-SELECT entry, array_to_string(path, '>') AS path, CAST(hops AS INT) AS hops FROM p WHERE hops > 0""")
-def g14_call_paths(spark, d, depth=3):
-    """Paths of up to three calls only, as the SQL counterpart has them; g14_call_paths_whole goes on."""
-    s = _steps(spark, d).where("from_symbol is not null and to_symbol is not null")
-    e = s.select(F.col("from_symbol").alias("src"), F.col("to_symbol").alias("dst"))
-    entries = _steps(spark, d).where("step_no = 1 and from_symbol is not null").select(F.col("from_symbol").alias("entry"))
-    return T.simple_paths(e, entries, depth).select("entry", F.array_join("path", ">").alias("path"), "hops")
-
-
 def _walk(spark, d, depth, total, per_symbol=None):
     s = _steps(spark, d)
     e = s.where("from_symbol is not null and to_symbol is not null").select(F.col("from_symbol").alias("src"), F.col("to_symbol").alias("dst"))
@@ -202,23 +172,13 @@ def _walk(spark, d, depth, total, per_symbol=None):
 
 
 @query()
-def g14_call_paths_whole(spark, d, depth=15, total=2000):
+def g14_call_paths(spark, d, depth=15, total=2000):
     """Call paths with the reference walker's depth and paths in total; truncated marks entries that have more."""
     return _walk(spark, d, depth, total)
 
 
-@query(with_(LINKS, _STEPS) + """, ed AS (SELECT DISTINCT from_symbol AS src, to_symbol AS dst FROM st WHERE from_symbol IS NOT NULL AND to_symbol IS NOT NULL), p AS (SELECT from_symbol AS entry, from_symbol AS node, [from_symbol] AS path, 0 AS hops FROM (SELECT DISTINCT from_symbol FROM st WHERE step_no = 1 AND from_symbol IS NOT NULL)
-  UNION ALL SELECT p.entry, ed.dst, list_append(p.path, ed.dst), p.hops + 1 FROM p JOIN ed ON ed.src = p.node WHERE p.hops < 3 AND NOT list_contains(p.path, ed.dst))
-SELECT entry, array_to_string(path, '>') AS path, CAST(hops AS INT) AS hops FROM p WHERE hops > 0 QUALIFY row_number() OVER (PARTITION BY entry ORDER BY hops, path) <= 3""")
-def g15_symbol_walk(spark, d, depth=3, per_symbol=3):
-    """As the call paths, but at most a few per entry symbol, the shortest first; g15_symbol_walk_whole goes on."""
-    s = _steps(spark, d).where("from_symbol is not null and to_symbol is not null")
-    entries = _steps(spark, d).where("step_no = 1 and from_symbol is not null").select(F.col("from_symbol").alias("entry"))
-    return T.simple_paths(s.select(F.col("from_symbol").alias("src"), F.col("to_symbol").alias("dst")), entries, depth, per_symbol).select("entry", F.array_join("path", ">").alias("path"), "hops")
-
-
 @query()
-def g15_symbol_walk_whole(spark, d, depth=25, total=1000, per_symbol=3):
+def g15_symbol_walk(spark, d, depth=25, total=1000, per_symbol=3):
     """Call paths with the reference index walker's bounds: a few partial paths to each symbol an entry reaches.
 
     Implementations aren't followed.
@@ -260,20 +220,15 @@ def g18_missing_dependencies(spark, d):
 
 @query(with_(CALLS, EDGES, SERVICES, _WALK) + "SELECT s.service_id, r.node IS NOT NULL AS reachable FROM services s LEFT JOIN reach r ON r.node = CAST(s.service_id AS VARCHAR)")
 def g19_reachability(spark, d, start="0"):
-    reach, _ = T.levels(edges(spark, d), spark.createDataFrame([(start,)], "root string"), 6)
+    reach = T.levels(edges(spark, d), spark.createDataFrame([(start,)], "root string"), 6)
     s = B.services(spark, d).select("service_id", F.col("service_id").cast("string").alias("node"))
     return s.join(reach.select("node", F.lit(True).alias("r")), "node", "left").select("service_id", F.coalesce("r", F.lit(False)).alias("reachable"))
 
 
 @query()
 def g20_layout_ranks(spark, d):
-    """Layer and place of each service: longest-path layers, then the mean place of neighbours one layer up."""
-    e = edges(spark, d)
-    r = T.ranks(e)
-    place = r.withColumn("slot", F.row_number().over(Window.partitionBy("rank").orderBy("node")))
-    up = e.select(F.col("src").cast("string").alias("p"), F.col("dst").cast("string").alias("node")).join(place.select(F.col("node").alias("p"), "slot"), "p").groupBy("node").agg(F.avg("slot").alias("center"))
-    w = Window.partitionBy("rank").orderBy(F.coalesce("center", F.col("slot").cast("double")), "node")
-    return place.join(up, "node", "left").select("node", "rank", F.row_number().over(w).alias("place"))
+    """Layer and place of each service: longest-path layers of the edges that close no cycle in edge order, then four sweeps."""
+    return T.layout(edges(spark, d), B.services(spark, d).select(F.col("service_id").alias("node")), ["src", "dst", "edge_type", "label"])
 
 
 _RUNS2 = """r2 AS (SELECT project_id, run_id, row_number() OVER (PARTITION BY project_id ORDER BY started_at DESC, run_id) AS n FROM graph_runs WHERE status <> 'failed'),
@@ -320,18 +275,10 @@ def g22_contract_diff(spark, d):
     return j.withColumn("change", change).where("change is not null").select(*k, "change", F.when(breaking, "potentially_breaking").otherwise("compatible").alias("compatibility"))
 
 
-@query(with_(CALLS, EDGES, QUEUE_ROLES, RESOURCE_OPS, SERVICES, _IMP) + """, r AS (SELECT 'service:1' AS node, 0 AS depth UNION SELECT i.b, r.depth + 1 FROM r JOIN imp i ON i.a = r.node WHERE r.depth < 2), m AS (SELECT node, min(depth) AS depth FROM r GROUP BY node)
-SELECT s.team, count(*) FILTER (WHERE depth = 1) AS direct, count(*) FILTER (WHERE depth > 1) AS indirect FROM m JOIN services s ON m.node = 'service:' || s.service_id WHERE depth > 0 GROUP BY s.team""")
-def g23_company_impact(spark, d, target="service:1", depth=2):
-    """The two nearest hops only, as the SQL counterpart has them; g23_company_impact_whole has the whole impact."""
-    b = T.blast_radius(impact(spark, d), target, depth, nodes=100_000)
-    s = B.services(spark, d).select(F.concat(F.lit("service:"), "service_id").alias("node"), "team")
-    return b.join(s, "node").groupBy("team").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("indirect"))
-
-
-@query()
-def g23_company_impact_whole(spark, d, target="service:1", depth=8):
-    """Affected services per team up to the inventory's depth; bounded says whether more lies beyond."""
+@query(with_(CALLS, EDGES, QUEUE_ROLES, RESOURCE_OPS, SERVICES, _IMP) + """, r AS (SELECT 'service:1' AS node, 0 AS depth UNION SELECT i.b, r.depth + 1 FROM r JOIN imp i ON i.a = r.node WHERE r.depth < 9), m AS (SELECT node, min(depth) AS depth FROM r GROUP BY node)
+SELECT s.team, count(*) FILTER (WHERE depth = 1) AS direct, count(*) FILTER (WHERE depth > 1) AS indirect, (SELECT max(depth) FROM m) > 8 AS bounded FROM m JOIN services s ON m.node = 'service:' || s.service_id WHERE depth BETWEEN 1 AND 8 GROUP BY s.team""")
+def g23_company_impact(spark, d, target="service:1", depth=8):
+    """Affected services per team; bounded says whether more lies beyond the depth."""
     b = T.blast_radius(impact(spark, d), target, depth, nodes=None)
     s = B.services(spark, d).select(F.concat(F.lit("service:"), "service_id").alias("node"), "team")
     return b.join(s, "node").groupBy("team").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("indirect"), F.max("bounded").alias("bounded"))
@@ -350,26 +297,8 @@ def _ends(n):
     return n.groupBy("doc", "flow_id").agg(pick(F.min_by, "entrypoint").alias("from_ref"), pick(F.max_by, "call").alias("to_ref"))
 
 
-_FLOW = """sd AS (SELECT DISTINCT ON (service_doc_id) service_doc_id AS id, TRY_CAST(body AS JSON) AS j FROM service_docs),
-fl AS (SELECT id, f->>'$.id' AS fid, CASE WHEN json_type(f, '$.nodes') = 'ARRAY' THEN (f->'$.nodes')::JSON[] ELSE [] END AS ns FROM (SELECT id, unnest(CASE WHEN json_type(j, '$.flows') = 'ARRAY' THEN (j->'$.flows')::JSON[] ELSE [] END) AS f FROM sd)),
-nd AS (SELECT id, fid, generate_subscripts(ns, 1) AS pos, unnest(ns) AS n FROM fl)"""
-
-
-@query(with_(_FLOW) + "SELECT CAST(id AS VARCHAR) AS doc, fid AS flow_id, arg_min(n->>'$.ref', pos) FILTER (WHERE n->>'$.role' = 'entrypoint' AND n->>'$.ref' IS NOT NULL) AS from_ref, arg_max(n->>'$.ref', pos) FILTER (WHERE n->>'$.role' = 'call' AND n->>'$.ref' IS NOT NULL) AS to_ref FROM nd GROUP BY ALL")
-def g25_flow_projection(spark, d):
-    """Connection of a flow: its first entry point's and its last call's object.
-
-    Reads lists of flows and nodes only, as the SQL counterpart does; g25_flow_projection_whole reads every shape.
-    """
-    s = table(spark, d, "service_docs").dropDuplicates(["service_doc_id"]).select(F.col("service_doc_id").cast("string").alias("doc"), F.try_parse_json("body").alias("j"))
-    f = s.select("doc", F.expr("try_variant_get(j, '$.flows', 'array<variant>')").alias("a")).select("doc", F.explode("a").alias("f"))
-    n = f.select("doc", F.expr("try_variant_get(f, '$.id', 'string')").alias("flow_id"), F.posexplode(F.expr("try_variant_get(f, '$.nodes', 'array<variant>')")).alias("pos", "n"))
-    n = n.select("doc", "flow_id", "pos", F.expr("try_variant_get(n, '$.ref', 'string')").alias("ref"), F.expr("try_variant_get(n, '$.role', 'string')").alias("role"))
-    return _ends(n)
-
-
 @query()
-def g25_flow_projection_whole(spark, d):
+def g25_flow_projection(spark, d):
     """Connection of a flow, with flows and nodes as lists, bare records, maps or JSON text."""
     s = table(spark, d, "service_docs").dropDuplicates(["service_doc_id"]).select(F.col("service_doc_id").cast("string").alias("doc"), "body")
     return _ends(flow_nodes(s))

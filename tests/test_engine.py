@@ -156,18 +156,56 @@ def test_whole_impact_reaches_beyond_two_hops_and_tells_bounds(spark, monkeypatc
     chain = spark.createDataFrame([(f"service:{i}", f"service:{i + 1}", "http") for i in range(9)], "a string, b string, edge_type string")
     monkeypatch.setattr(graphs, "impact", lambda spark, d: chain)
     monkeypatch.setattr(graphs.B, "services", lambda spark, d: spark.createDataFrame([(i, "t") for i in range(10)], "service_id int, team string"))
-    got = graphs.g10_blast_radius_whole(spark, "").collect()
+    got = graphs.g10_blast_radius(spark, "").collect()
     assert {r.node: r.depth for r in got} == {f"service:{i}": i for i in range(1, 7)} and all(r.bounded for r in got)
-    assert [tuple(r) for r in graphs.g23_company_impact_whole(spark, "").collect()] == [("t", 1, 7, False)]
+    assert [tuple(r) for r in graphs.g23_company_impact(spark, "").collect()] == [("t", 1, 7, False)]
     assert not any(r.bounded for r in T.blast_radius(chain, "service:0", 9).collect())
 
 
 def test_paths_keep_diamonds_and_end_at_cycles(spark):
     e = edges_of(spark, ("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "a"))
     entries = spark.createDataFrame([("a",)], "entry string")
-    assert sorted("".join(r.path) for r in T.simple_paths(e, entries, 5).collect()) == ["ab", "abd", "ac", "acd"]
-    assert T.simple_paths(e, entries, 5, per_entry=1).count() == 1
-    assert {r.node: r["rank"] for r in T.ranks(e).collect()} == {"a": 0, "b": 1, "c": 1, "d": 2}
+    assert sorted("".join(r.path) for r in T.call_walk(e, entries, 5, 100).collect()) == ["ab", "abd", "ac", "acd"]
+
+
+def test_reach_is_the_same_by_copies_and_by_joins(spark):
+    rng = random.Random(11)
+    pairs = [(f"n{rng.randrange(25)}", f"n{rng.randrange(25)}") for _ in range(60)] + [("n1", "n1"), ("n2", None)]
+    e, roots = edges_of(spark, *pairs), spark.createDataFrame([("n1",), ("n2",), ("n1",), ("none",), (None,)], "root string")
+    for depth, nodes in ((1, None), (2, None), (9, None), (9, 6)):
+        one, two = ({tuple(map(str, r)) for r in T.levels(e, roots, depth, nodes, most_edges=m).collect()} for m in (1_000, 0))
+        assert one == two and len(one) > 3, (depth, nodes)
+    assert T.levels(e.limit(0), roots, 3).count() == 3 and T.levels(e, roots.limit(0), 3).count() == 0
+
+
+def test_layout_keeps_all_edges_that_close_no_cycle(spark):
+    rng = random.Random(5)
+
+    def reaches(kept, a, b):
+        seen, stack = {a}, [a]
+        while stack:
+            x = stack.pop()
+            for p, q in kept:
+                if p == x and q not in seen:
+                    seen.add(q)
+                    stack.append(q)
+        return b in seen
+
+    for _ in range(60):
+        pairs = sorted({(str(rng.randrange(9)), str(rng.randrange(9))) for _ in range(rng.randint(0, 25))})
+        rng.shuffle(pairs)
+        kept = []
+        for a, b in pairs:
+            if a != b and not reaches(kept, b, a):
+                kept.append((a, b))
+        got, up = T.acyclic(pairs)
+        assert got == kept and all(up.index(a) < up.index(b) for a, b in kept)
+    e = edges_of(spark, ("2", "1"), ("1", "10"), ("10", "2"), ("2", "3"), ("9", "3"), ("x", "1"))
+    nodes = spark.createDataFrame([("1",), ("2",), ("3",), ("9",), ("10",), ("alone",)], "node string")
+    got = {r.node: (r["rank"], r.place) for r in T.layout(e, nodes, ["src"]).collect()}
+    # in order of the sources: 1 -> 10, 10 -> 2, then 2 -> 1 closes a cycle
+    assert {k: v[0] for k, v in got.items()} == {"1": 0, "10": 1, "2": 2, "3": 3, "9": 0, "alone": 0} and sorted(v for v in got.values() if v[0] == 0) == [(0, 0), (0, 1), (0, 2)]
+    assert T.layout(e.limit(0), nodes.limit(0), ["src"]).count() == 0
 
 
 def test_flows_in_every_shape_are_projected(spark, monkeypatch):
@@ -183,7 +221,7 @@ def test_flows_in_every_shape_are_projected(spark, monkeypatch):
     bodies += [json.dumps(bodies[0]), "\ufeff" + bodies[0]]
     docs = [(i, x) for i, x in enumerate(bodies)] + [(90, json.dumps({"flows": {"id": "f", "nodes": a}})), (91, json.dumps({"flows": {"nodes": [{"role": "call", "ref": "x"}]}})), (92, "{"), (93, None)]
     monkeypatch.setattr(graphs, "table", lambda spark, d, name: spark.createDataFrame(docs, "service_doc_id int, body string"))
-    got = {tuple(r) for r in graphs.g25_flow_projection_whole(spark, "").collect()}
+    got = {tuple(r) for r in graphs.g25_flow_projection(spark, "").collect()}
     assert got == {(str(i), "f", "in", "out") for i in range(len(bodies))} | {("90", "f", "in", None), ("91", None, None, "x")}
 
 
@@ -212,8 +250,8 @@ def test_call_walk_goes_deep_and_tells_truncation(spark):
     pairs = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(18)] + [(f"n{rng.randrange(18):02d}", f"n{rng.randrange(18):02d}") for _ in range(6)] + [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d")]
     e, entries = edges_of(spark, *pairs), spark.createDataFrame([("n00",), ("n09",), ("a",), ("n18",)], "entry string")
     for bounds in ((15, 2000), (15, 7), (25, 1000, 1)):
-        got = {tuple(r.path): r.truncated for r in T.call_walk(e, entries, *bounds).collect()}
-        assert got == walked(pairs, ["n00", "n09", "a", "n18"], *bounds), bounds
+        got, joined = ({tuple(r.path): r.truncated for r in T.call_walk(e, entries, *bounds, most_edges=m).collect()} for m in (1_000, 0))
+        assert got == joined == walked(pairs, ["n00", "n09", "a", "n18"], *bounds), bounds
     assert max(len(p) for p in walked(pairs, ["n00"], 15, 2000)) == 16
 
 
