@@ -1,37 +1,112 @@
-"""Facts from source text: a table of patterns over call sites, evaluated in one pass."""
+"""Facts from source text: a table of detectors over call sites, evaluated in one pass, every hit of a text.
+
+A detector says what a framework's source looks like: one expression with the fact's name in one group and its detail (verb,
+method) in another. All detectors run as built-in expressions over one scan; adding a framework adds a row.
+
+Defined results: null and blank texts give nothing; a group that takes no part gives ''; a text that several detectors of
+one fact type read alike gives each framework once.
+"""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: fact type -> (pattern with the name as group 1, detail pattern or None); fixed values.
-PATTERNS: dict[str, tuple[str, str | None]] = {
-    "http_route": (r'@(?:Get|Post|Put|Patch|Delete|Request)Mapping\("([^"]+)"\)|router\.HandleFunc\("([^"]+)"', r'\.Methods\("([A-Z]+)"\)|@(Get|Post|Put|Patch|Delete)Mapping'),
-    "db_operation": (r"(?i)^\s*(?:select\b.*?\bfrom|insert\s+into|update|delete\s+from)\s+([A-Za-z_][\w.]*)", r"(?i)^\s*(select|insert|update|delete)"),
-    "queue_publish": (r'publisher\.send\("([^"]+)"', None),
-    "outbound_http": (r'"(https?://[^"/?${]+)', None),
-    "outbound_rpc": (r'grpc\.Dial\("([^"]+)"\)', None),
-    "cache_operation": (r'cache\.(?:get|set|put|evict)\("([^":]+)', r"cache\.(get|set|put|evict)"),
-    "command_exec": (r'exec\.Command\("([^"]+)"', None),
-    "scheduled_job": (r'cron:\s*"([^"]+)"', None),
-    "repository_call": (r"return repo\.(\w+)\(", None),
-}
-
-
-def _first_group(text: Column, pattern: str) -> Column:
-    groups = 1 + pattern.replace("(?:", "").replace("(?i)", "").replace(r"\(", "").count("(") - 1
-    return F.coalesce(*(F.nullif(F.regexp_extract(text, pattern, g), F.lit("")) for g in range(1, groups + 1)))
-
-
-def call_facts(sites: DataFrame, keys: list[str], text: str = "snippet") -> DataFrame:
-    """(keys..., fact_type, name, detail) of every pattern that a call site's text matches."""
-    t = F.col(text)
-    hits = [
-        F.when(_first_group(t, p).isNotNull(), F.struct(F.lit(k).alias("fact_type"), _first_group(t, p).alias("name"), (F.lower(F.coalesce(_first_group(t, dp), F.lit(""))) if dp else F.lit("")).alias("detail")))
-        for k, (p, dp) in PATTERNS.items()
-    ]
-    return sites.select(*keys, F.explode(F.array_compact(F.array(*hits))).alias("h")).select(*keys, "h.*")
+
+class Detector(NamedTuple):
+    fact_type: str
+    framework: str
+    language: str
+    pattern: str
+    name: int = 1
+    detail: int = 0  # no detail
+
+
+_Q, _S = r"""["'`]""", r"""[^"'`]"""
+_VERB = "get|post|put|patch|delete"
+DETECTORS: tuple[Detector, ...] = (
+    # routes
+    Detector("http_route", "spring", "Java", r'@(Get|Post|Put|Patch|Delete|Request)Mapping\s*\(\s*(?:(?:value|path)\s*=\s*)?\{?\s*"([^"]+)"', 2, 1),
+    Detector("http_route", "jax-rs", "Java", r'@Path\s*\(\s*"([^"]+)"'),
+    Detector("http_route", "ktor", "Kotlin", rf'\b({_VERB})\s*\(\s*"(/[^"]*)"\s*\)\s*\{{', 2, 1),
+    Detector("http_route", "express", "JavaScript", rf"(?:^|[^@\w.])(?:app|router)\.({_VERB}|all)\s*\(\s*{_Q}(/{_S}*)", 2, 1),
+    Detector("http_route", "nestjs", "TypeScript", rf"@(Get|Post|Put|Patch|Delete|All)\s*\(\s*{_Q}({_S}*)", 2, 1),
+    Detector("http_route", "fastapi", "Python", rf"""@\w+\.({_VERB})\s*\(\s*["']([^"']+)""", 2, 1),
+    Detector("http_route", "flask", "Python", r"""@\w+\.route\s*\(\s*["']([^"']+)["'](?:[^)]*methods\s*=\s*\[\s*["'](\w+))?""", 1, 2),
+    Detector("http_route", "django", "Python", r"""\b(?:re_)?path\s*\(\s*r?["']([^"']*)["']\s*,"""),
+    Detector("http_route", "net/http", "Go", r'\bhttp\.Handle(?:Func)?\s*\(\s*"(?:([A-Z]+) )?([^"]+)"', 2, 1),
+    Detector("http_route", "gorilla", "Go", r'\brouter\.Handle(?:Func)?\s*\(\s*"([^"]+)"(?:[^;\n]*?\.Methods\(\s*"([A-Z]+)")?', 1, 2),
+    Detector("http_route", "gin", "Go", r'\b(?:r|e|g|app|engine|group|api|v\d+)\.(GET|POST|PUT|PATCH|DELETE)\s*\(\s*"([^"]+)"', 2, 1),
+    Detector("http_route", "chi", "Go", r'\b(?:r|e|g|app|mux|group|api|v\d+)\.(Get|Post|Put|Patch|Delete)\s*\(\s*"([^"]+)"', 2, 1),
+    Detector("http_route", "rails", "Ruby", rf"""(?m)^\s*({_VERB})\s+["']([^"']+)["']""", 2, 1),
+    Detector("http_route", "laravel", "PHP", rf"""\bRoute::({_VERB})\s*\(\s*["']([^"']+)""", 2, 1),
+    Detector("http_route", "asp.net", "C#", r'(?:\[Http|\.Map)(Get|Post|Put|Patch|Delete)\s*\(\s*"([^"]+)"', 2, 1),
+    # stores
+    Detector("db_operation", "sql", "SQL", r"""(?i)(?:^|["'`(=]\s*)\s*(select)\b[^;"'`]*?\bfrom\s+([A-Za-z_][\w.]*)""", 2, 1),
+    Detector("db_operation", "sql", "SQL", r"""(?i)(?:^|["'`(=]\s*)\s*(insert)\s+into\s+([A-Za-z_][\w.]*)""", 2, 1),
+    Detector("db_operation", "sql", "SQL", r"""(?i)(?:^|["'`(=]\s*)\s*(update)\s+([A-Za-z_][\w.]*)\s+set\b""", 2, 1),
+    Detector("db_operation", "sql", "SQL", r"""(?i)(?:^|["'`(=]\s*)\s*(delete)\s+from\s+([A-Za-z_][\w.]*)""", 2, 1),
+    Detector("db_operation", "jpa", "Java", r"\b(\w+)Repository\.(find\w*|get\w*|save\w*|delete\w*|count\w*|exists\w*)\s*\(", 1, 2),
+    Detector("db_operation", "sqlalchemy", "Python", r"\bsession\.(query|get|add|delete)\s*\(\s*([A-Z]\w*)", 2, 1),
+    Detector("db_operation", "django-orm", "Python", r"\b([A-Z]\w*)\.objects\.(\w+)\s*\(", 1, 2),
+    Detector("db_operation", "prisma", "TypeScript", r"\bprisma\.(\w+)\.(\w+)\s*\(", 1, 2),
+    Detector("db_operation", "sequelize", "JavaScript", r"\b([A-Z]\w*)\.(findAll|findOne|findByPk|bulkCreate|destroy|upsert)\s*\(", 1, 2),
+    Detector("db_operation", "gorm", "Go", r"\bdb\.(?:WithContext\(\w+\)\.)?(?:Model|Table)\s*\(\s*[&\"]*(\w+)"),
+    Detector("db_operation", "active-record", "Ruby", r"\b([A-Z]\w*)\.(where|find_by|find_or_create_by|update_all|destroy_all|insert_all)\b", 1, 2),
+    Detector("db_operation", "dynamodb", "any", r"""\bTableName["']?\s*[:=]\s*(?:aws\.String\(\s*)?["']([^"']+)"""),
+    Detector("db_operation", "repository", "Go", r"\brepo\.()(\w+)\s*\(", 1, 2),
+    # queues and streams
+    Detector("queue_publish", "publisher", "any", rf"\bpublisher\.(send|publish)\s*\(\s*{_Q}({_S}+)", 2, 1),
+    Detector("queue_publish", "kafka", "any", rf"\b(?:kafkaTemplate|kafka|producer)\.(send|produce)\s*\(\s*(?:new\s+ProducerRecord[^(]*\(\s*|\{{\s*topic\s*:\s*)?{_Q}({_S}+)", 2, 1),
+    Detector("queue_publish", "sqs", "any", r"""(?i)\bsend_?message\w*\b[^;]*?\bQueueUrl["']?\s*[:=]\s*(?:aws\.String\(\s*)?["']([^"']+)"""),
+    Detector("queue_publish", "sns", "any", r"""\bTopicArn["']?\s*[:=]\s*(?:aws\.String\(\s*)?["']([^"']+)"""),
+    Detector("queue_publish", "rabbitmq", "any", r"""\b(?:rabbitTemplate\.convertAndSend\s*\(\s*|basic_publish\s*\([^)]*routing_key\s*=\s*|channel\.sendToQueue\s*\(\s*)["']([^"']+)"""),
+    Detector("queue_consumer", "kafka", "any", r"""(?:@KafkaListener\s*\([^)]*?topics\s*=\s*\{?\s*|\bconsumer\.subscribe\s*\(\s*\[?\s*(?:\{\s*topics?\s*:\s*\[?\s*)?)["']([^"']+)"""),
+    Detector("queue_consumer", "sqs", "any", r"""(?:@SqsListener\s*\(\s*(?:value\s*=\s*|queueNames\s*=\s*)?|(?i:receive_?message)\w*\b[^;]*?\bQueueUrl["']?\s*[:=]\s*)["']([^"']+)"""),
+    Detector("queue_consumer", "rabbitmq", "any", r"""(?:@RabbitListener\s*\([^)]*?queues\s*=\s*|basic_consume\s*\([^)]*?queue\s*=\s*|channel\.consume\s*\(\s*)["']([^"']+)"""),
+    # calls to others
+    Detector("outbound_http", "url-literal", "any", r"""["'`](https?://[^"'`/?${\s]+)"""),
+    Detector("outbound_http", "rest-template", "Java", r'\brestTemplate\.(\w+)\s*\(\s*"([^"]+)"', 2, 1),
+    Detector("outbound_http", "web-client", "Java", r'\b[wW]ebClient\b[^;]*?\.(get|post|put|patch|delete)\(\)[^;]*?\.uri\(\s*"([^"]+)"', 2, 1),
+    Detector("outbound_http", "feign", "Java", r'@FeignClient\s*\([^)]*?(?:name|value|url)\s*=\s*"([^"]+)"'),
+    Detector("outbound_http", "axios", "JavaScript", rf"\baxios\.({_VERB})\s*\(\s*{_Q}({_S}+)", 2, 1),
+    Detector("outbound_http", "fetch", "JavaScript", rf"\bfetch\s*\(\s*{_Q}({_S}+)"),
+    Detector("outbound_http", "requests", "Python", rf"""\b(?:requests|httpx|session)\.({_VERB})\s*\(\s*f?["']([^"']+)""", 2, 1),
+    Detector("outbound_http", "net/http", "Go", r'\bhttp\.(Get|Post|Head)\s*\(\s*"([^"]+)"', 2, 1),
+    Detector("outbound_http", "net/http", "Go", r'\bhttp\.NewRequest(?:WithContext)?\s*\(\s*(?:\w+\s*,\s*)?"([A-Z]+)"\s*,\s*"([^"]+)"', 2, 1),
+    Detector("outbound_rpc", "grpc", "any", r"""\b(?:grpc\.(?:Dial|DialContext|NewClient)\s*\(\s*(?:ctx\s*,\s*)?|(?:in)?secure_channel\s*\(\s*|ManagedChannelBuilder\.forTarget\s*\(\s*)["']([^"']+)"""),
+    Detector("cache_operation", "cache", "any", rf"\bcache\.(get|set|put|evict|delete)\s*\(\s*{_Q}([^:\"'`]+)", 2, 1),
+    Detector("cache_operation", "redis", "any", rf"\b(?:redis|rdb|redisTemplate|redisClient|jedis)\.(\w+)\s*\(\s*(?:ctx\s*,\s*)?{_Q}([^:\"'`]+)", 2, 1),
+    Detector("object_storage", "s3", "any", r"""(?i)\b(put_?object|get_?object|delete_?object|list_?objects(?:_?v2)?)\w*\b[^;]*?\bBucket["']?\s*[:=]\s*(?:aws\.String\(\s*)?["']([^"']+)""", 2, 1),
+    Detector("command_exec", "exec", "any", r"""\b(?:exec\.Command(?:Context)?\s*\(\s*(?:ctx\s*,\s*)?|subprocess\.(?:run|call|check_call|check_output|Popen)\s*\(\s*\[?\s*|Runtime\.getRuntime\(\)\.exec\s*\(\s*|child_process\.\w+\s*\(\s*)["'`]([^"'`]+)"""),
+    Detector("scheduled_job", "cron", "any", r"""(?:\bcron:\s*|@Scheduled\s*\([^)]*?cron\s*=\s*|\bcron\.schedule\s*\(\s*|\b\w*[cC]ron\.AddFunc\s*\(\s*)["']([^"']+)"""),
+    Detector("cli_command", "cli", "any", r"""(?:&?cobra\.Command\s*\{[^}]*?\bUse:\s*|@\w+\.command\s*\(\s*(?:name\s*=\s*)?|@Command\s*\([^)]*?name\s*=\s*)["']([\w:-]+)"""),
+    Detector("workflow_call", "temporal", "any", r"""\b(?:workflow\.ExecuteActivity|client\.ExecuteWorkflow)\s*\([^,]*,\s*(?:[^,]*,\s*)?([A-Za-z_][\w.]*)"""),
+)
+
+
+def _hits(text: Column, d: Detector) -> Column:
+    """array<struct<fact_type, framework, language, name, detail>> of one detector."""
+    name = F.regexp_extract_all(text, F.lit(d.pattern), F.lit(d.name))
+    make = lambda n, x: F.struct(F.lit(d.fact_type).alias("fact_type"), F.lit(d.framework).alias("framework"), F.lit(d.language).alias("language"), n.alias("name"), F.lower(x).alias("detail"))
+    if not d.detail:
+        return F.transform(name, lambda n: make(n, F.lit("")))
+    return F.zip_with(name, F.regexp_extract_all(text, F.lit(d.pattern), F.lit(d.detail)), make)
+
+
+def call_facts(sites: DataFrame, keys: list[str], text: str = "snippet", types: tuple[str, ...] | None = None) -> DataFrame:
+    """(keys..., fact_type, framework, language, name, detail): everything the detectors read in a call site's text."""
+    own = [d for d in DETECTORS if types is None or d.fact_type in types]
+    hits = F.array_distinct(F.concat(*(_hits(F.col(text), d) for d in own)))
+    return sites.where(F.trim(text) != "").select(*keys, F.explode(hits).alias("h")).select(*keys, "h.*")
+
+
+def auth_requirements(text: Column) -> Column:
+    """What a handler's text asks of its caller: words of annotations and guards, as a sorted array."""
+    found = F.regexp_extract_all(text, F.lit(r"@(PreAuthorize|Secured|RolesAllowed|UseGuards|login_required|requires_auth|jwt_required|Authorize)\b|\[(Authorize)\b|(?i:getHeader\(\s*\"authorization\"\))"), F.lit(0))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.lower(F.regexp_replace(x, r"[@\[]|\(.*$", "")))))
 
 
 def looks_like_cron(c: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce as fold
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,40 @@ TEST_LIKE = r"(^|/)(tests?|__tests__|testdata|fixtures?|mocks?|spec|examples?)(/
 CONFIG_LIKE = r"\.(ya?ml|json|toml|properties|env|tf|ini)$"
 
 
+#: Other names of fact types by kind; fixed values.
+TYPE_ALIASES = {
+    "exposure": {
+        "http_endpoint": "http_route", "api_route": "http_route", "rest_endpoint": "http_route", "sqs_listener": "queue_consumer", "sqs_consumer": "queue_consumer", "message_listener": "queue_consumer", "event_listener": "queue_consumer",
+        "cron_job": "scheduled_job", "scheduler": "scheduled_job", "lambda_handler": "cli_command",
+    },
+    "dependency": {
+        "outbound_http_service": "outbound_http", "external_service": "outbound_http", "http_client": "outbound_http", "api_client": "outbound_http", "sqs_publish": "queue_publish", "queue_send": "queue_publish", "topic_publish": "queue_publish",
+        "stream_consumer": "stream_consume", "database": "db_operation", "sql_query": "db_operation", "repository_operation": "db_operation", "shell_command": "command_exec", "process_exec": "command_exec",
+    },
+}
+#: Names that say that nothing was found; fixed values.
+NO_RESULT_NAMES = ("", "none", "null", "nil", "na", "placeholder", "dummy", "noresult", "noresults", "notfound")
+NO_RESULT_PARTS = ("none", "placeholder", "dummy")
+NO_RESULT_BEGINNINGS, NO_RESULT_WORDS = ("no ", "nothing "), (" found", " confirmed", " detected", " exist")
+
+
+def type_name(kind: Column, type_: Column) -> Column:
+    """The type in lower case with underscores, and by its usual name."""
+    t = F.regexp_replace(F.lower(F.trim(type_)), "[ -]", "_")
+    pairs = [F.lit(x) for k, m in TYPE_ALIASES.items() for a, b in m.items() for x in (f"{k}/{a}", b)]
+    return F.coalesce(F.create_map(*pairs)[F.concat(F.coalesce(kind, F.lit("")), F.lit("/"), t)], t)
+
+
+def says_nothing(name: Column, type_: Column, summary: Column) -> Column:
+    """Whether a fact is filler that only says that nothing was found."""
+    compact = F.regexp_replace(F.lower(F.trim(F.coalesce(name, F.lit("")))), r"[ \-_./]", "")
+    s = F.lower(F.trim(F.coalesce(summary, F.lit(""))))
+    any_ = lambda f, c, words: fold(lambda a, b: a | b, (f(c, F.lit(w)) for w in words))
+    negative = any_(F.startswith, s, NO_RESULT_BEGINNINGS) & any_(F.contains, s, NO_RESULT_WORDS)
+    of_type = compact == F.regexp_replace(F.lower(F.coalesce(type_, F.lit(""))), "_", "")
+    return compact.isin(*NO_RESULT_NAMES) | (F.startswith(compact, F.lit("no")) & F.endswith(compact, F.lit("found"))) | (negative & (of_type | compact.isin("noop", "nooperation") | any_(F.contains, compact, NO_RESULT_PARTS)))
+
+
 def gate(df: DataFrame, least: float = MIN_CONFIDENCE) -> DataFrame:
     """With `reason`: why a candidate is no entity; null if it is one."""
     return df.withColumn(
@@ -26,13 +61,16 @@ def gate(df: DataFrame, least: float = MIN_CONFIDENCE) -> DataFrame:
 
 
 def glob_regex(pattern: str) -> str:
-    """An anchored regular expression for a glob with ** (any folders), * (inside a folder) and ?."""
+    """An anchored regular expression for a glob with ** (any folders), * (inside a folder), ? and classes like [a-m]."""
     out, i = "", 0
     while i < len(pattern):
         if pattern.startswith("**/", i):
             out, i = out + "(?:.*/)?", i + 3
         elif pattern.startswith("**", i):
             out, i = out + ".*", i + 2
+        elif pattern[i] == "[" and pattern.find("]", i + 2) > 0:
+            end = pattern.find("]", i + 2)
+            out, i = out + "[" + pattern[i + 1 : end].replace("\\", "\\\\") + "]", end + 1
         else:
             out += {"*": "[^/]*", "?": "[^/]"}.get(pattern[i], re.escape(pattern[i]))
             i += 1

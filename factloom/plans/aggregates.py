@@ -52,8 +52,8 @@ def a4_resource_rollup(spark, d):
     return B.resource_ops(spark, d).groupBy("resource_name", "table_name").agg(F.array_join(F.array_sort(F.collect_set("operation")), ",").alias("operations"), F.count("*").alias("n"), F.countDistinct("service_id").alias("services"))
 
 
-@query(with_(CALLS, EDGES, SERVICES, QUEUE_ROLES) + """, touched AS (SELECT src AS n FROM edges UNION SELECT dst FROM edges UNION SELECT service_id FROM queue_roles),
-links AS (SELECT DISTINCT 'brand' || (2 * i) AS topic, 'brand' || (2 * i + 1) AS queue FROM range(0, 30) t(i)),
+@query(with_(CALLS, EDGES, SERVICES, QUEUE_ROLES, B.SUBSCRIPTIONS) + """, touched AS (SELECT src AS n FROM edges UNION SELECT dst FROM edges UNION SELECT service_id FROM queue_roles),
+links AS (SELECT topic, queue FROM subscriptions),
 chains AS (SELECT p.service_id AS a, c.service_id AS b FROM queue_roles p JOIN queue_roles c ON p.queue_key = c.queue_key AND p.role = 'publish' AND c.role = 'consume'
   UNION SELECT p.service_id, c.service_id FROM queue_roles p JOIN links l ON l.topic = p.queue_key AND p.role = 'publish' JOIN queue_roles c ON c.queue_key = l.queue AND c.role = 'consume')
 SELECT 'services' AS metric, count(*) AS value FROM services UNION ALL SELECT 'edges_' || edge_type, count(*) FROM edges GROUP BY edge_type
@@ -62,7 +62,7 @@ def a5_connectivity(spark, d):
     """Counts, edges by type, isolated services, producer-consumer pairs over one queue or one subscription hop."""
     e, s, q = edges(spark, d), B.services(spark, d), B.queue_roles(spark, d).distinct()
     touched = e.select("src").union(e.select("dst")).union(q.select("service_id")).distinct().toDF("service_id")
-    links = spark.range(0, 30).select(F.concat(F.lit("brand"), F.col("id") * 2).alias("topic"), F.concat(F.lit("brand"), F.col("id") * 2 + 1).alias("queue"))
+    links = B.subscriptions(spark, d)
     pub = q.where("role = 'publish'").select("queue_key", F.col("service_id").alias("a"))
     con = q.where("role = 'consume'").select("queue_key", F.col("service_id").alias("b"))
     # the topic reaches its own consumers and those of queues subscribed to it

@@ -128,6 +128,20 @@ QUEUE_ROLES = """queue_roles AS (
   FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey WHERE l.l_quantity = 50 AND l.l_returnflag IN ('R', 'A'))"""
 
 
+def subscriptions(spark: SparkSession, d: str) -> DataFrame:
+    """Links of topics to queues that infrastructure declares, from consecutive order lines of different brands."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    p = table(spark, d, "part").select("p_partkey", F.lower(F.translate("p_brand", "#", "")).alias("brand"))
+    a = li.where("l_quantity = 50 AND l_returnflag = 'N'").join(p, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("brand").alias("topic"))
+    b = li.join(p, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", F.col("brand").alias("queue"))
+    return a.join(b, ["l_orderkey", "l_linenumber"]).where("topic <> '' AND queue <> '' AND topic <> queue").select("topic", "queue").distinct()
+
+
+SUBSCRIPTIONS = """subscriptions AS (
+  SELECT DISTINCT lower(replace(p.p_brand, '#', '')) AS topic, lower(replace(q.p_brand, '#', '')) AS queue FROM lineitem a JOIN part p ON p.p_partkey = a.l_partkey
+  JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 JOIN part q ON q.p_partkey = b.l_partkey WHERE a.l_quantity = 50 AND a.l_returnflag = 'N' AND p.p_brand <> q.p_brand)"""
+
+
 def jobs(spark: SparkSession, d: str) -> DataFrame:
     """One row per refresh job that isn't withdrawn."""
     return table(spark, d, "refresh_jobs").where("deleted_at is null").dropDuplicates(["job_id"])

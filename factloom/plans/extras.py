@@ -14,7 +14,6 @@ from factloom.plans.base import CALLS, CLIENTS, FACTS, JOBS, LINKS, ORACLE, QUER
 from factloom.plans.graphs import _GRAPH, graph_edges
 from factloom.plans.joins import _RANGES
 from factloom.plans.records import _P5
-from factloom.sources import code
 from factloom.sources.tables import table
 
 _FX = """fx AS (SELECT CASE WHEN year(o.o_orderdate) % 2 = 0 THEN 'A' ELSE 'B' END AS run_id, c.c_mktsegment AS endpoint, n.n_name AS location, o.o_orderpriority AS field,
@@ -142,22 +141,6 @@ def g22_contract_fields(spark, d):
     return rows.select(F.col("root_id").alias("endpoint_id"), at[0].alias("location"), "name", F.coalesce("type", F.lit("")).alias("type"), flag("required"), flag("nullable"), at[1].alias("source")).distinct()
 
 
-@query(r"""SELECT DISTINCT doc_id, regexp_extract(f, '^func \(\w+ \*?(\w+)\) (\w+)\(', 1) || '.' || regexp_extract(f, '^func \(\w+ \*?(\w+)\) (\w+)\(', 2) AS symbol, regexp_extract(f, 'return ((?:\w+\.)+\w+)\(', 1) AS calls FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?m)^func \(\w+ \*?\w+\) \w+\([^\n]*\{\n[^\n]*\n\}')) AS f FROM documents WHERE text IS NOT NULL) WHERE contains(f, 'return ')""")
-def s2_source_symbols(spark, d):
-    """Functions and what they call, from the code blocks inside documents."""
-    b = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?m)^func \(\w+ \*?\w+\) \w+\([^\n]*\{\n[^\n]*\n\}"), F.lit(0))).alias("i", "text"))
-    rows = code.parsed(b.where("contains(text, 'return ')").select(F.col("doc_id").cast("string").alias("path"), F.lit("Go").alias("language"), "text"))
-    return rows.where("row_kind = 'call'").select(F.col("path").cast("bigint").alias("doc_id"), F.col("name").alias("symbol"), F.col("target").alias("calls")).distinct()
-
-
-@query(with_(FACTS) + "SELECT language, framework, count(*) AS files FROM (SELECT CASE lower(regexp_extract(file, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'go' THEN 'Go' WHEN 'java' THEN 'Java' WHEN 'py' THEN 'Python' WHEN 'ts' THEN 'TypeScript' ELSE 'other' END AS language, coalesce(nullif(trim(platform), ''), 'none') AS framework FROM facts WHERE type = 'http_route' AND file IS NOT NULL) GROUP BY ALL")
-def x12_framework_detection(spark, d):
-    ext = F.lower(F.regexp_extract("file", r"\.([A-Za-z0-9]+)$", 1))
-    lang = F.when(ext == "go", "Go").when(ext == "java", "Java").when(ext == "py", "Python").when(ext == "ts", "TypeScript").otherwise("other")
-    f = B.facts(spark, d).where("type = 'http_route' and file is not null")
-    return f.groupBy(lang.alias("language"), F.coalesce(F.nullif(F.trim("platform"), F.lit("")), F.lit("none")).alias("framework")).agg(F.count("*").alias("files"))
-
-
 @query("SELECT project_id, run_id, service, count(*) AS n FROM contract_fields GROUP BY ALL")
 def s15_snapshot_partitions(spark, d):
     """What the snapshot writer would store per project, run and service."""

@@ -26,6 +26,8 @@ _GE = rf"""te AS (
   UNION ALL SELECT 'sched:' || regexp_replace(lower(name), '[^a-z0-9_-]', '_', 'g'), 'service:' || service, 'scheduler', entity_id, confidence FROM facts WHERE type = 'scheduled_job'),
 ge AS (SELECT src, dst, edge_type, count(*) AS facts, CASE WHEN edge_type IN ('database', 'cache') THEN 0.0 ELSE round(coalesce(min(CASE WHEN confidence > 0 THEN confidence END), 0.0), 6) END AS confidence FROM te GROUP BY src, dst, edge_type),
 gn AS (SELECT DISTINCT node, split_part(node, ':', 1) AS node_kind FROM (SELECT 'service:' || service AS node FROM facts UNION ALL SELECT src FROM ge UNION ALL SELECT dst FROM ge))"""
+#: Methods that a repository reads or writes by; fixed values.
+STORE_VERBS = r"(?i)\.(find|get|read|load|list|fetch|query|search|count|exists|select|save|insert|update|delete|remove|write|create|upsert|persist|put|merge)[A-Za-z0-9]*$"
 _GRAPH = with_(FACTS, _RT, _GE)
 
 
@@ -149,19 +151,32 @@ def g11_flow_walk(spark, d, depth=6):
     return T.levels(local.union(cross), roots, depth).where("depth > 0").select("root", "node", "depth", F.col("bounded").alias("limited"))
 
 
-@query(with_(FACTS) + "SELECT entity_id, name, service FROM facts WHERE kind = 'exposure' AND (contains(lower(name), 'ticket') OR contains(service, 'ticket'))")
-def g12_entrypoint_search(spark, d, text="ticket"):
-    return B.facts(spark, d).where((F.col("kind") == "exposure") & (F.contains(F.lower("name"), F.lit(text)) | F.contains("service", F.lit(text)))).select("entity_id", "name", "service")
+_TEXTS = "tx AS (SELECT unnest(['ticket', 'order', 'wallet', 'v2/']) AS t)"
+TEXTS = ("ticket", "order", "wallet", "v2/")
 
 
-@query(with_(FACTS) + """SELECT 'service' AS hit, service AS id FROM facts WHERE contains(service, 'wallet') UNION SELECT type, entity_id FROM facts WHERE contains(lower(name), 'wallet') OR contains(lower(coalesce(details, '')), 'wallet')
-UNION SELECT 'resource', lower(trim(db_name)) FROM facts WHERE contains(lower(db_name), 'wallet') UNION SELECT 'external', lower(trim(host)) FROM facts WHERE contains(lower(host), 'wallet')""")
-def g13_full_search(spark, d, text="wallet"):
-    f = B.facts(spark, d)
-    has = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(text))
-    svc = f.where(has("service")).select(F.lit("service").alias("hit"), F.col("service").alias("id"))
-    obj = f.where(has("name") | has("details")).select("type", "entity_id")
-    return svc.union(obj).union(f.where(has("db_name")).select(F.lit("resource"), N.lower("db_name"))).union(f.where(has("host")).select(F.lit("external"), N.lower("host"))).distinct()
+@query(with_(FACTS, _TEXTS) + "SELECT t AS text, entity_id, name, service FROM (SELECT t, entity_id, name, service, row_number() OVER (PARTITION BY t ORDER BY service, name, entity_id) AS n FROM facts JOIN tx ON contains(lower(name), t) OR contains(service, t) WHERE kind = 'exposure') WHERE n <= 50")
+def g12_entrypoint_search(spark, d, texts=TEXTS, cap=50):
+    """Entry points whose name or service holds a text, the first ones of each text."""
+    f = B.facts(spark, d).where("kind = 'exposure'").select("entity_id", "name", "service")
+    fits = [F.when(F.contains(F.lower("name"), F.lit(t)) | F.contains("service", F.lit(t)), F.lit(t)) for t in texts]
+    hits = f.withColumn("text", F.explode(F.array_compact(F.array(*fits))))
+    return hits.withColumn("n", F.row_number().over(Window.partitionBy("text").orderBy("service", "name", "entity_id"))).where(F.col("n") <= cap).select("text", "entity_id", "name", "service")
+
+
+@query(with_(FACTS, _TEXTS) + """SELECT DISTINCT t AS text, hit, id FROM (SELECT t, 'service' AS hit, service AS id FROM facts JOIN tx ON contains(service, t) UNION ALL SELECT t, type, entity_id FROM facts JOIN tx ON contains(lower(name), t) OR contains(lower(coalesce(details, '')), t)
+UNION ALL SELECT t, 'resource', lower(trim(db_name)) FROM facts JOIN tx ON contains(lower(db_name), t) UNION ALL SELECT t, 'external', lower(trim(host)) FROM facts JOIN tx ON contains(lower(host), t))""")
+def g13_full_search(spark, d, texts=TEXTS):
+    """Services, objects (with their details), resources and external hosts that hold a text; one pass for all texts."""
+    f = B.facts(spark, d).select("service", "type", "entity_id", "name", "details", "db_name", "host")
+    has = lambda t, c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(t))
+    hit = lambda on, t, kind, i: F.when(on, F.struct(F.lit(t).alias("text"), kind.alias("hit"), i.alias("id")))
+    rows = [
+        x for t in texts for x in (
+            hit(has(t, "service"), t, F.lit("service"), F.col("service")), hit(has(t, "name") | has(t, "details"), t, F.col("type"), F.col("entity_id")),
+            hit(has(t, "db_name"), t, F.lit("resource"), N.lower("db_name")), hit(has(t, "host"), t, F.lit("external"), N.lower("host")))
+    ]
+    return f.select(F.explode(F.array_compact(F.array(*rows))).alias("h")).select("h.*").distinct()
 
 
 def _walk(spark, d, depth, total, per_symbol=None):
@@ -207,13 +222,15 @@ def g17_connection_derivation(spark, d):
     return j.select("connection_id", "src", "dst", F.when(inside, "containment").when(F.size(F.coalesce("paths", F.array())) > 0, "call_path").otherwise("shallow").alias("derived_by"))
 
 
-@query(with_(FACTS, LINKS, _STEPS) + r"""SELECT DISTINCT l.service, lower(regexp_replace(split_part(to_symbol, '.', 1), '([a-z0-9])([A-Z])', '\1_\2', 'g')) AS resource FROM st JOIN links l USING (connection_id) WHERE to_symbol IS NOT NULL AND regexp_matches(split_part(to_symbol, '.', 1), '(Keeper|Vault|Archive|Store|Index)$')
+_VERBS = "'(?i)\\.(find|get|read|load|list|fetch|query|search|count|exists|select|save|insert|update|delete|remove|write|create|upsert|persist|put|merge)[A-Za-z0-9]*$'"
+
+
+@query(with_(FACTS, LINKS, _STEPS) + f"""SELECT DISTINCT l.service, lower(regexp_replace(split_part(to_symbol, '.', 1), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS resource FROM st JOIN links l USING (connection_id) WHERE to_symbol IS NOT NULL AND regexp_matches(to_symbol, {_VERBS})
 EXCEPT SELECT service, lower(d_table) FROM facts WHERE type = 'db_operation' AND d_table IS NOT NULL""")
 def g18_missing_dependencies(spark, d):
-    """Store-like symbols that calls reach but no datastore fact names."""
+    """Repository calls that call paths reach and no datastore fact names: methods that read or write by their verb."""
     s = _steps(spark, d).where("to_symbol is not null").join(B.links(spark, d).select("connection_id", "service"), "connection_id")
-    owner = F.split_part("to_symbol", F.lit("."), F.lit(1))
-    found = s.where(owner.rlike("(Keeper|Vault|Archive|Store|Index)$")).select("service", N.snake(owner).alias("resource")).distinct()
+    found = s.where(F.col("to_symbol").rlike(STORE_VERBS)).select("service", N.snake(F.split_part("to_symbol", F.lit("."), F.lit(1))).alias("resource")).distinct()
     known = B.facts(spark, d).where("type = 'db_operation' and d_table is not null").select("service", F.lower("d_table").alias("resource"))
     return found.join(known, ["service", "resource"], "left_anti")
 

@@ -262,11 +262,11 @@ def j27_contract_exposures(spark, d):
     return ex.join(ep, ["method", "path"]).groupBy("entity_id").agg(F.min("endpoint_id").alias("endpoint_id"), F.count("*").alias("n"))
 
 
-@query(with_(B.QUEUE_ROLES) + "SELECT 'brand' || (2 * i) AS topic, 'brand' || (2 * i + 1) AS queue FROM range(0, 30) t(i) WHERE 'brand' || (2 * i) IN (SELECT queue_key FROM queue_roles) OR 'brand' || (2 * i + 1) IN (SELECT queue_key FROM queue_roles)")
+@query(with_(B.QUEUE_ROLES, B.SUBSCRIPTIONS) + "SELECT topic, queue FROM subscriptions WHERE topic IN (SELECT queue_key FROM queue_roles) OR queue IN (SELECT queue_key FROM queue_roles)")
 def j28_subscriptions(spark, d):
-    """Subscription links that touch a known queue at either end."""
+    """Subscription links that touch a queue which some service publishes to or consumes from, at either end."""
     q = B.queue_roles(spark, d).select("queue_key").distinct()
-    links = spark.range(0, 30).select(F.concat(F.lit("brand"), F.col("id") * 2).alias("topic"), F.concat(F.lit("brand"), F.col("id") * 2 + 1).alias("queue"))
+    links = B.subscriptions(spark, d)
     return links.join(q, links.topic == q.queue_key, "left_semi").union(links.join(q, links.queue == q.queue_key, "left_semi")).distinct()
 
 

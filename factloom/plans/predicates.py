@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import norm as N
+from factloom.operators import packs
 from factloom.operators import predicates as P
 from factloom.plans import base as B
 from factloom.plans.base import CLIENTS, FACTS, LINKS, ORACLE, QUERIES, query, with_  # noqa: F401
@@ -20,10 +21,14 @@ def pr1_entity_gate(spark, d):
     return P.gate(B.facts(spark, d)).select("entity_id", "reason")
 
 
-@query("SELECT DISTINCT type, regexp_replace(regexp_replace(lower(trim(type)), '[\\s-]+', '_', 'g'), '_(endpoint|operation)$', '') AS canonical FROM entities WHERE type IS NOT NULL")
+_ALIASES = " ".join(f"WHEN '{k}/{x}' THEN '{y}'" for k, m in P.TYPE_ALIASES.items() for x, y in m.items())
+
+
+@query(f"SELECT DISTINCT kind, type, coalesce(CASE coalesce(kind, '') || '/' || t {_ALIASES} END, t) AS type_name FROM (SELECT kind, type, regexp_replace(lower(trim(type)), '[ -]', '_', 'g') AS t FROM (SELECT kind, type FROM entities UNION ALL SELECT 'dependency', kind FROM connection_clients))")
 def pr2_type_names(spark, d):
-    t = table(spark, d, "entities").select("type").where("type is not null").distinct()
-    return t.select("type", F.regexp_replace(F.regexp_replace(N.lower("type"), r"[\s-]+", "_"), "_(endpoint|operation)$", "").alias("canonical"))
+    """Fact types, and the kinds of clients, by their usual names."""
+    t = table(spark, d, "entities").select("kind", "type").union(table(spark, d, "connection_clients").select(F.lit("dependency"), "kind")).distinct()
+    return t.select("kind", "type", P.type_name(F.col("kind"), F.col("type")).alias("type_name"))
 
 
 @query(with_(FACTS) + rf"""SELECT entity_id, {_PC} AS platform, coalesce(nullif(trim(instance), ''), nullif(trim(logical_name), ''), nullif(trim(host), ''), '') AS instance,
@@ -105,13 +110,22 @@ def pr13_detector_filter(spark, d):
     return B.facts(spark, d).where(~F.coalesce("plugin_source", F.lit("")).isin(deny)).select("entity_id", "plugin_source")
 
 
-@query(with_(FACTS) + r"""SELECT DISTINCT f.service, k.pack_id FROM facts f JOIN (VALUES ('terraform', '\.tf$', ''), ('spring', '\.java$', '^[a-m]'), ('node', '\.ts$', '')) AS k(pack_id, file_like, name_like)
+#: Packs of the tables' own conventions: where they apply, what they extract, how it resolves.
+PACKS = [packs.parse(x) for x in (
+    {"id": "terraform", "applies_to": {"has_file": ["**/*.tf"]}},
+    {"id": "spring", "priority": 5, "applies_to": {"has_file": ["**/*.java"], "name": "[a-m]*"}},
+    {"id": "node", "applies_to": {"has_file": ["**/*.ts", "**/package.json"]}},
+    {"id": "fields", "priority": 10, "extractions": [{"strategy": "field_path", "path": "query_params.*.name", "target": "query_parameter"}, {"strategy": "field_path", "path": "metadata.rev", "target": "revision"}]},
+    {"id": "tickets", "extractions": [{"strategy": "regex", "pattern": r"\b(OPS-\d+|CHG\d+)\b", "target": "ticket"}, {"strategy": "regex", "pattern": r"\b(\w+)\.corp\.example\b", "target": "host"}]},
+)]
+
+
+@query(with_(FACTS) + r"""SELECT DISTINCT f.service, k.pack_id FROM facts f JOIN (VALUES ('terraform', '\.tf$', ''), ('spring', '\.java$', '^[a-m][^/]*$'), ('node', '\.ts$|(^|/)package\.json$', '')) AS k(pack_id, file_like, name_like)
   ON regexp_matches(coalesce(f.file, ''), k.file_like) AND (k.name_like = '' OR regexp_matches(f.service, k.name_like))""")
 def pr14_pack_applicability(spark, d):
-    packs = [("terraform", r"\.tf$", ""), ("spring", r"\.java$", "^[a-m]"), ("node", r"\.ts$", "")]
-    f = B.facts(spark, d)
-    hits = [F.when(F.coalesce("file", F.lit("")).rlike(fl) & (F.lit(nl == "") | F.col("service").rlike(nl or ".")), F.lit(p)) for p, fl, nl in packs]
-    return f.select("service", F.explode(F.array_compact(F.array(*hits))).alias("pack_id")).distinct()
+    """Which packs apply to which service, by its files and its name."""
+    f = B.facts(spark, d).select("service", F.coalesce("file", F.lit("")).alias("path"))
+    return packs.applicable(f, [p for p in PACKS if p.files])
 
 
 @query(with_(FACTS) + r"SELECT DISTINCT file, regexp_matches(file, '^deploy/[^/]*/[^/]*\.yml$') AS deploy_yml, regexp_matches(file, '^(?:.*/)?[^/]*\.go$') AS any_go, regexp_matches(file, '^src/.*$') AS under_src FROM facts WHERE file IS NOT NULL")
@@ -120,17 +134,21 @@ def pr15_globs(spark, d):
     return f.select("file", *(F.col("file").rlike(P.glob_regex(g)).alias(n) for n, g in (("deploy_yml", "deploy/*/*.yml"), ("any_go", "**/*.go"), ("under_src", "src/**"))))
 
 
-@query("""SELECT DISTINCT entity_id, j->>'$.name' AS value FROM (SELECT entity_id, unnest(CASE WHEN json_type(TRY_CAST(details AS JSON), '$.query_params') = 'ARRAY' THEN (TRY_CAST(details AS JSON)->'$.query_params')::JSON[] ELSE [] END) AS j FROM entities) WHERE j->>'$.name' IS NOT NULL""")
+@query("""WITH e AS (SELECT DISTINCT entity_id, TRY_CAST(details AS JSON) AS d FROM entities WHERE details IS NOT NULL)
+SELECT DISTINCT entity_id, 'query_parameter' AS target, j->>'$.name' AS value FROM (SELECT entity_id, unnest(CASE WHEN json_type(d, '$.query_params') = 'ARRAY' THEN (d->'$.query_params')::JSON[] ELSE [] END) AS j FROM e) WHERE j->>'$.name' IS NOT NULL
+UNION SELECT entity_id, 'revision', d->>'$.metadata.rev' FROM e WHERE d->>'$.metadata.rev' IS NOT NULL""")
 def pr16_field_path(spark, d):
-    """`query_params.*.name` of the details."""
-    e = table(spark, d, "entities").where("details is not null").select("entity_id", F.try_parse_json("details").alias("v"))
-    hits = e.select("entity_id", F.expr("try_variant_get(v, '$.query_params', 'array<variant>')").alias("a")).select("entity_id", F.explode("a").alias("x"))
-    return hits.select("entity_id", F.expr("try_variant_get(x, '$.name', 'string')").alias("value")).where("value is not null").distinct()
+    """What a pack reads from the details by field paths."""
+    e = table(spark, d, "entities").where("details is not null").select(F.col("entity_id").alias("path"), F.col("details").alias("text"))
+    return packs.extract(e, [p for p in PACKS if p.id == "fields"]).select(F.col("path").alias("entity_id"), "target", "value")
 
 
-@query(r"SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\b(OPS-\d+|CHG\d+)\b', 1)) AS ticket FROM documents WHERE text IS NOT NULL")
+@query(r"""SELECT DISTINCT doc_id, 'ticket' AS target, unnest(regexp_extract_all(text, '\b(OPS-\d+|CHG\d+)\b', 1)) AS value FROM documents WHERE text IS NOT NULL
+UNION SELECT doc_id, 'host', unnest(regexp_extract_all(text, '\b(\w+)\.corp\.example\b', 1)) FROM documents WHERE text IS NOT NULL""")
 def pr17_regex_extraction(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b(OPS-\d+|CHG\d+)\b"), F.lit(1))).alias("ticket")).distinct()
+    """What a pack reads from texts by expressions."""
+    t = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), "text")
+    return packs.extract(t, [p for p in PACKS if p.id == "tickets"]).select(F.col("path").cast("bigint").alias("doc_id"), "target", "value")
 
 
 @query(with_(CLIENTS) + r"SELECT DISTINCT url_template AS target, url_template <> '' AND NOT regexp_matches(url_template, '[\s{}<>`$]') AS is_literal FROM clients WHERE url_template IS NOT NULL")
@@ -159,9 +177,14 @@ def pr21_production_paths(spark, d):
     return f.select("file", (~F.col("file").rlike(P.TEST_LIKE) & ~F.col("file").rlike(P.CONFIG_LIKE)).alias("production"))
 
 
-@query(with_(LINKS) + r"SELECT connection_id, regexp_matches(lower(coalesce(summary, '')), '\b(no|none|not)\b.*\b(found|detected|present)\b|^(none|n/a)$') AS says_nothing FROM links")
+_NEGATIVE = "(" + " OR ".join(f"prefix(s, '{x}')" for x in P.NO_RESULT_BEGINNINGS) + ") AND (" + " OR ".join(f"contains(s, '{x}')" for x in P.NO_RESULT_WORDS) + ")"
+
+
+@query(with_(FACTS) + f"""SELECT entity_id, c IN ({', '.join(f"'{x}'" for x in P.NO_RESULT_NAMES)}) OR (prefix(c, 'no') AND suffix(c, 'found')) OR ({_NEGATIVE} AND (c = t OR c IN ('noop', 'nooperation') OR {' OR '.join(f"contains(c, '{x}')" for x in P.NO_RESULT_PARTS)})) AS says_nothing
+FROM (SELECT entity_id, regexp_replace(lower(trim(coalesce(name, ''))), '[ _./-]', '', 'g') AS c, regexp_replace(lower(coalesce(type, '')), '_', '', 'g') AS t, lower(trim(coalesce(summary, ''))) AS s FROM facts)""")
 def pr22_no_result(spark, d):
-    return B.links(spark, d).select("connection_id", F.lower(F.coalesce("summary", F.lit(""))).rlike(r"\b(no|none|not)\b.*\b(found|detected|present)\b|^(none|n/a)$").alias("says_nothing"))
+    """Facts that only say that nothing was found."""
+    return B.facts(spark, d).select("entity_id", P.says_nothing(F.col("name"), F.col("type"), F.col("summary")).alias("says_nothing"))
 
 
 def sql_text(x: str) -> str:

@@ -70,21 +70,31 @@ def l3_search_cap(spark, d, cap=50):
     return B.facts(spark, d).where(F.contains(F.lower("name"), F.lit("order"))).orderBy("entity_id").limit(cap).orderBy("name", "entity_id").select("entity_id", "name")
 
 
-@query("SELECT run_id, project_id, strftime(started_at, '%Y-%m-%d %H:%M:%S') AS started_at, 50 AS next_offset FROM graph_runs ORDER BY graph_runs.started_at DESC, run_id LIMIT 10 OFFSET 5")
-def l4_run_page(spark, d, offset=5, size=10):
-    r = table(spark, d, "graph_runs").orderBy(F.desc("started_at"), "run_id").offset(offset).limit(size)
-    return r.select("run_id", "project_id", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("started_at"), F.lit(50).alias("next_offset"))
+def _page(df, order, offset, size, most):
+    """Rows of one page in order, with next_offset (null on the last page), has_more and total."""
+    size = max(1, min(size, most))
+    total = df.agg(F.count("*").alias("total"))
+    more = F.col("total") > offset + size
+    page = df.orderBy(*order).offset(offset).limit(size).crossJoin(F.broadcast(total))  # one row joins
+    return page.withColumn("has_more", more).withColumn("next_offset", F.when(more, F.lit(offset + size))).orderBy(*order)
 
 
-@query(with_(CALLS, EDGES) + "SELECT src, dst, edge_type, true AS has_more FROM edges ORDER BY src, dst, edge_type LIMIT 50 OFFSET 100")
+@query("SELECT run_id, project_id, strftime(started_at, '%Y-%m-%d %H:%M:%S') AS started_at, CASE WHEN (SELECT count(*) FROM graph_runs) > 505 THEN 505 END AS next_offset, (SELECT count(*) FROM graph_runs) AS total FROM graph_runs ORDER BY graph_runs.started_at DESC, run_id LIMIT 500 OFFSET 5")
+def l4_run_page(spark, d, offset=5, size=1_000):
+    """A page of runs, newest first; a page has at most 500."""
+    p = _page(table(spark, d, "graph_runs").select("run_id", "project_id", "started_at"), (F.desc("started_at"), "run_id"), offset, size, 500)
+    return p.select("run_id", "project_id", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("started_at"), "next_offset", "total")
+
+
+@query(with_(CALLS, EDGES) + "SELECT src, dst, edge_type, (SELECT count(*) FROM edges) > 150 AS has_more FROM edges ORDER BY src, dst, edge_type LIMIT 50 OFFSET 100")
 def l5_dependency_page(spark, d, offset=100, size=50):
-    return edges(spark, d).orderBy("src", "dst", "edge_type").offset(offset).limit(size).select("src", "dst", "edge_type", F.lit(True).alias("has_more"))
+    """A page of dependencies; at most 200."""
+    return _page(edges(spark, d), ("src", "dst", "edge_type"), offset, size, 200).select("src", "dst", "edge_type", "has_more")
 
 
-@query(with_(JOBS) + "SELECT job_id, project_id, status, (SELECT count(*) FROM jobs) AS total FROM jobs ORDER BY created_at DESC, job_id LIMIT 100")
-def l6_job_page(spark, d, size=100):
-    j = B.jobs(spark, d)
-    return j.join(F.broadcast(j.agg(F.count("*").alias("total")))).orderBy(F.desc("created_at"), "job_id").limit(size).select("job_id", "project_id", "status", "total")  # one row joins
+@query(with_(JOBS) + "SELECT job_id, project_id, status, (SELECT count(*) FROM jobs) AS total, CASE WHEN (SELECT count(*) FROM jobs) > 100 THEN 100 END AS next_offset FROM jobs ORDER BY created_at DESC, job_id LIMIT 100")
+def l6_job_page(spark, d, offset=0, size=100):
+    return _page(B.jobs(spark, d), (F.desc("created_at"), "job_id"), offset, size, 500).select("job_id", "project_id", "status", "total", "next_offset")
 
 
 @query(with_(FACTS) + "SELECT service, area, CAST(n AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY service ORDER BY n DESC, area) AS r FROM (SELECT service, split_part(file, '/', 1) AS area, count(*) AS n FROM facts WHERE file IS NOT NULL GROUP BY ALL)) WHERE r <= 8")

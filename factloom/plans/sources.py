@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions import norm as N
@@ -23,13 +24,6 @@ def s1_file_classes(spark, d):
     return f.select("file", S.language("file").alias("language"), F.col("file").rlike(S.TEST_LIKE).alias("test_like"))
 
 
-@query()
-def s3_config_entries(spark, d):
-    """Entries of the configuration blocks inside documents, parsed as YAML."""
-    b = table(spark, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s)```yaml\n(.*?)```"), F.lit(1))).alias("block", "text"))
-    return S.config_entries(b.withColumn("format", F.lit("yaml")), ("doc_id", "block"))
-
-
 @query(r"SELECT doc_id, CAST(i - 1 AS INT) AS part, length(p) AS chars FROM (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS p FROM (SELECT doc_id, string_split(text, chr(10) || '---' || chr(10)) AS l FROM documents WHERE text IS NOT NULL))")
 def s4_document_parts(spark, d):
     """Multi-document texts split at their separators."""
@@ -60,10 +54,43 @@ def s10_marker_files(spark, d):
     return f.select("service", "file", F.regexp_extract("file", r"([^/]+)$", 1).alias("base"), F.regexp_extract("file", r"^([^/]+)/", 1).alias("area"))
 
 
-@query(with_(FACTS) + f"SELECT language, count(DISTINCT file) AS files, CAST(sum(lines) AS BIGINT) AS loc, round(sum(lines * w), 3) AS weighted FROM (SELECT file, {_LANG} AS language, {_WEIGHT} AS w, greatest(coalesce(end_line, 0) - coalesce(start_line, 0), 0) AS lines FROM facts WHERE file IS NOT NULL) WHERE language IS NOT NULL GROUP BY language")
+#: Languages of fenced blocks and the endings of files they would be; fixed values.
+FENCES = {"go": "go", "java": "java", "kotlin": "kt", "python": "py", "py": "py", "ts": "ts", "typescript": "ts", "js": "js", "javascript": "js", "ruby": "rb", "rust": "rs", "csharp": "cs", "php": "php", "sql": "sql", "yaml": "yaml", "yml": "yaml", "json": "json", "toml": "toml", "hcl": "tf", "terraform": "tf", "sh": "sh", "bash": "sh"}
+
+
+def code_files(spark, d):
+    """(doc_id, path, language, format, bytes, text) of the code blocks inside documents, as files of their languages."""
+    pattern = F.lit(r"(?s)```(\w+)\n(.*?)```")
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.arrays_zip(F.regexp_extract_all("text", pattern, F.lit(1)).alias("fence"), F.regexp_extract_all("text", pattern, F.lit(2)).alias("text"))).alias("block", "x"))
+    ext = F.create_map(*[F.lit(x) for kv in FENCES.items() for x in kv])[F.lower("x.fence")]
+    f = t.select("doc_id", F.concat(F.lit("docs/"), "doc_id", F.lit("/"), "block", F.lit("."), ext).alias("path"), F.col("x.text").alias("text")).where("path is not null").distinct()
+    return f.select("doc_id", "path", S.language("path").alias("language"), S._map(S.CONFIG_FORMATS)[S.extension("path")].alias("format"), F.octet_length("text").cast("long").alias("bytes"), "text")
+
+
+_FENCED = "bl AS (SELECT DISTINCT doc_id, i, f, b FROM (SELECT doc_id, generate_subscripts(fs, 1) AS i, unnest(fs) AS f, unnest(bs) AS b FROM (SELECT doc_id, regexp_extract_all(text, '(?s)```(\\w+)\\n(.*?)```', 1) AS fs, regexp_extract_all(text, '(?s)```(\\w+)\\n(.*?)```', 2) AS bs FROM documents WHERE text IS NOT NULL)))"
+_FLANG = "CASE lower(f) " + " ".join(f"WHEN '{k}' THEN '{S.LANGUAGES[v][0]}'" for k, v in FENCES.items()) + " END"
+_FWEIGHT = "CASE lower(f) " + " ".join(f"WHEN '{k}' THEN {S.LANGUAGES[v][1]}" for k, v in FENCES.items()) + " END"
+
+
+@query(with_(_FENCED) + f"SELECT language, count(*) AS files, CAST(sum(n) AS BIGINT) AS loc, CAST(round(sum(n * w), 3) AS DOUBLE) AS weighted FROM (SELECT {_FLANG} AS language, {_FWEIGHT} AS w, len(list_filter(string_split(b, chr(10)), lambda x: trim(x) <> '')) AS n FROM bl) WHERE language IS NOT NULL GROUP BY language")
 def s11_language_metrics(spark, d):
-    f = B.facts(spark, d).where("file is not null").select("file", S.language("file").alias("language"), S.weight("file").alias("w"), F.greatest(F.coalesce("end_line", F.lit(0)) - F.coalesce("start_line", F.lit(0)), F.lit(0)).alias("lines"))
-    return f.where("language is not null").groupBy("language").agg(F.countDistinct("file").alias("files"), F.sum("lines").alias("loc"), F.round(F.sum(F.col("lines") * F.col("w")), 3).alias("weighted"))
+    """Files, lines that aren't blank and weighted lines of the code inside documents, by language."""
+    return S.metrics(code_files(spark, d))
+
+
+@query()
+def s3_config_entries(spark, d):
+    """Entries of the configuration blocks inside documents, in the format of each."""
+    return S.config_entries(code_files(spark, d).where("format is not null").select("doc_id", F.regexp_extract("path", r"/(\d+)\.\w+$", 1).cast("int").alias("block"), "format", "text"), ("doc_id", "block"))
+
+
+@query(with_(_FENCED) + r"""SELECT DISTINCT doc_id, regexp_extract(f, '^func \(\w+ \*?(\w+)\) (\w+)\(', 1) || '.' || regexp_extract(f, '^func \(\w+ \*?(\w+)\) (\w+)\(', 2) AS symbol, c AS calls FROM (SELECT doc_id, f, unnest(regexp_extract_all(regexp_extract(f, '\{([^{}]*)\}', 1), '\b((?:\w+\.)+\w+)\s*\(', 1)) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(b, '(?m)^func \(\w+ \*?\w+\) \w+\([^\n]*\{[^{}]*\}')) AS f FROM bl WHERE lower(f) = 'go'))""")
+def s2_source_symbols(spark, d):
+    """Functions and what they call, from the whole code blocks inside documents, in every language the parser reads."""
+    from factloom.sources import code
+
+    rows = code.parsed(code_files(spark, d))
+    return rows.where("row_kind = 'call' and name <> ''").select(F.regexp_extract("path", r"^docs/(-?\d+)/", 1).cast("bigint").alias("doc_id"), F.col("name").alias("symbol"), F.col("target").alias("calls")).distinct()
 
 
 @query(with_(FACTS) + "SELECT file, start_line AS line, min(entity_id) AS definition, count(*) AS n FROM facts WHERE file IS NOT NULL GROUP BY ALL")
@@ -83,13 +110,18 @@ def s17_event_log(spark, d):
     return table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
 
 
-@query("SELECT project_id, CAST(count(*) AS BIGINT) AS stored, CAST(count(DISTINCT job_id) AS BIGINT) AS jobs, 0::BIGINT AS lost FROM refresh_jobs GROUP BY project_id")
+_JOB = ["job_id", "project_id", "trigger_name", "status", "payload_digest", "not_before", "cancel_requested", "max_attempts"]
+_JOBS_SQL = ", ".join(_JOB)
+
+
+@query(f"""WITH o AS (SELECT {_JOBS_SQL} FROM refresh_jobs QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ingested_at) = 1), n AS (SELECT {_JOBS_SQL} FROM refresh_jobs QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ingested_at DESC) = 1),
+l AS (SELECT project_id, count(*) AS lost FROM (SELECT * FROM o EXCEPT ALL SELECT * FROM n) GROUP BY project_id), x AS (SELECT project_id, count(*) AS unknown FROM (SELECT * FROM n EXCEPT ALL SELECT * FROM o) GROUP BY project_id), c AS (SELECT project_id, count(*) AS stored, count(DISTINCT job_id) AS jobs FROM refresh_jobs GROUP BY project_id)
+SELECT project_id, stored, jobs, CAST(coalesce(lost, 0) AS BIGINT) AS lost, CAST(coalesce(unknown, 0) AS BIGINT) AS unknown FROM c LEFT JOIN l USING (project_id) LEFT JOIN x USING (project_id)""")
 def s18_queue_verify(spark, d):
-    """Rows and jobs per project, and how many jobs one copy has that the other hasn't."""
+    """The queue as first delivered against the queue as last delivered: rows that either copy has alone, per project."""
     j = table(spark, d, "refresh_jobs")
-    copies = j.groupBy("project_id").agg(F.count("*").alias("stored"), F.countDistinct("job_id").alias("jobs"))
-    lost = j.select("project_id", "job_id").distinct().exceptAll(j.select("project_id", "job_id").dropDuplicates()).groupBy("project_id").agg(F.count("*").alias("lost"))
-    return copies.join(lost, "project_id", "left").select("project_id", "stored", "jobs", F.coalesce("lost", F.lit(0)).cast("bigint").alias("lost"))
+    copy = lambda order: j.withColumn("n", F.row_number().over(Window.partitionBy("job_id").orderBy(order))).where("n = 1").select(_JOB)
+    return store.verify_copy(j, copy(F.col("ingested_at")), copy(F.desc("ingested_at")))
 
 
 @query(with_(FACTS) + """, c AS (SELECT service || '|' || type AS key, CASE WHEN bool_or(lower(trim(ref_source)) = 'manual') THEN 'manual' ELSE 'automation' END AS owner, min(nullif(trim(platform), '')) AS platform, min(nullif(trim(summary), '')) AS summary FROM facts WHERE observed_at < TIMESTAMP '2025-06-01' GROUP BY ALL),
@@ -119,38 +151,59 @@ def s24_service_metadata(spark, d):
     return o.join(i, "service", "left").select("service", F.coalesce("tag", "team_i", F.lit("default")).alias("team"), F.when(F.col("tag").isNotNull(), "document").when(F.col("team_i").isNotNull(), "inventory").otherwise("none").alias("source"))
 
 
-_SN = "sn AS (SELECT DISTINCT entity_id, e.snippet AS t FROM (SELECT entity_id, unnest(evidence) AS e FROM entities) WHERE e.snippet IS NOT NULL)"
+_SN = "sn AS (SELECT DISTINCT entity_id, e.snippet AS t FROM (SELECT entity_id, unnest(evidence) AS e FROM entities) WHERE trim(e.snippet) <> '')"
 
 
 def _sites(spark, d):
-    return table(spark, d, "entities").select("entity_id", F.explode("evidence.snippet").alias("snippet")).where("snippet is not null").distinct()
+    return table(spark, d, "entities").select("entity_id", F.explode("evidence.snippet").alias("snippet")).where("trim(snippet) <> ''").distinct()
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
 
 
-def _one(fact: str, sql: str, detail: str = "''"):
-    return with_(_SN) + f"SELECT entity_id, name, detail FROM (SELECT entity_id, {sql} AS name, {detail} AS detail FROM sn) WHERE name <> ''"
+def _hits_sql(types: tuple[str, ...]) -> str:
+    """All hits of the detectors of some fact types over sn, as SQL."""
+    part = lambda x, g: f"regexp_extract_all(t, {_quoted(x.pattern)}, {g})"
+    rows = [
+        f"SELECT entity_id, '{x.fact_type}' AS fact_type, '{x.framework}' AS framework, '{x.language}' AS language, unnest({part(x, x.name)}) AS name, " + (f"unnest({part(x, x.detail)})" if x.detail else "''") + " AS detail FROM sn"
+        for x in X.DETECTORS if x.fact_type in types
+    ]
+    return f"{_SN}, hits AS (SELECT DISTINCT entity_id, fact_type, framework, language, coalesce(name, '') AS name, lower(coalesce(detail, '')) AS detail FROM ({' UNION ALL '.join(rows)}))"
 
 
-def _derived(fact: str):
+def _derived(name: str, doc: str, *types: str) -> None:
     def run(spark, d):
-        return X.call_facts(_sites(spark, d), ["entity_id"]).where(F.col("fact_type") == fact).select("entity_id", "name", "detail")
+        return X.call_facts(_sites(spark, d), ["entity_id"], types=types).drop("language").distinct()
 
-    return run
+    run.__name__, run.__doc__ = name, doc
+    query(with_(_hits_sql(types)) + "SELECT DISTINCT entity_id, fact_type, framework, name, detail FROM hits")(run)
 
 
-def _register(name: str, fact: str, sql: str, detail: str = "''") -> None:
-    f = _derived(fact)
-    f.__name__ = name
-    query(_one(fact, sql, detail))(f)
+_derived("x1_http_routes", "Routes that framework bindings declare.", "http_route", "cli_command", "scheduled_job")
+_derived("x2_sql_operations", "Operations on stores: statements, repositories, mappers.", "db_operation")
+_derived("x3_queue_publish", "What is sent to and taken from queues and streams.", "queue_publish", "queue_consumer")
+_derived("x4_outbound_http", "Calls to others over HTTP.", "outbound_http")
+_derived("x5_outbound_rpc", "Calls to others by procedure.", "outbound_rpc")
+_derived("x6_cache_operations", "Operations on caches and object stores.", "cache_operation", "object_storage")
+_derived("x7_command_exec", "Commands and workflows that are run.", "command_exec", "workflow_call")
 
+_CLIENT_TYPES = ("outbound_http", "outbound_rpc", "queue_publish", "cache_operation", "object_storage")
+_ALL_TYPES = tuple(dict.fromkeys(x.fact_type for x in X.DETECTORS))
 
-_rx = lambda p, g=1: f"regexp_extract(t, '{p}', {g})"
-_register("x1_http_routes", "http_route", f"coalesce(nullif({_rx('@(?:Get|Post|Put|Patch|Delete|Request)Mapping\\(\"([^\"]+)\"\\)')}, ''), {_rx('router\\.HandleFunc\\(\"([^\"]+)\"')})", f"lower(coalesce(nullif({_rx('\\.Methods\\(\"([A-Z]+)\"\\)')}, ''), {_rx('@(Get|Post|Put|Patch|Delete)Mapping')}))")
-_register("x2_sql_operations", "db_operation", _rx(r"(?i)^\s*(?:select\b.*?\bfrom|insert\s+into|update|delete\s+from)\s+([A-Za-z_][\w.]*)"), f"lower({_rx(r'(?i)^\s*(select|insert|update|delete)')})")
-_register("x3_queue_publish", "queue_publish", _rx(r'publisher\.send\("([^"]+)"'))
-_register("x4_outbound_http", "outbound_http", _rx('"(https?://[^"/?${]+)'))
-_register("x5_outbound_rpc", "outbound_rpc", _rx(r'grpc\.Dial\("([^"]+)"\)'))
-_register("x6_cache_operations", "cache_operation", _rx(r'cache\.(?:get|set|put|evict)\("([^":]+)'), f"lower({_rx(r'cache\.(get|set|put|evict)')})")
-_register("x7_command_exec", "command_exec", _rx(r'exec\.Command\("([^"]+)"'))
+
+@query(with_(_hits_sql(_CLIENT_TYPES), FACTS) + "SELECT f.service, h.fact_type AS kind, h.framework, h.name AS target, count(DISTINCT h.entity_id) AS sites FROM hits h JOIN facts f USING (entity_id) WHERE h.name <> '' GROUP BY ALL")
+def x11_client_detection(spark, d):
+    """The clients in each service's source: what they are built with and what they point to."""
+    hits = X.call_facts(_sites(spark, d), ["entity_id"], types=_CLIENT_TYPES).where("name <> ''")
+    return hits.join(B.facts(spark, d).select("entity_id", "service"), "entity_id").groupBy("service", F.col("fact_type").alias("kind"), "framework", F.col("name").alias("target")).agg(F.countDistinct("entity_id").alias("sites"))
+
+
+@query(with_(_hits_sql(_ALL_TYPES)) + "SELECT language, framework, fact_type, count(DISTINCT entity_id) AS sites, count(*) AS hits FROM hits GROUP BY ALL")
+def x12_framework_detection(spark, d):
+    """Which frameworks the source shows, by language and kind of fact."""
+    h = X.call_facts(_sites(spark, d), ["entity_id"]).distinct()
+    return h.groupBy("language", "framework", "fact_type").agg(F.countDistinct("entity_id").alias("sites"), F.count("*").alias("hits"))
 
 
 @query(with_(FACTS, CLIENTS) + "SELECT f.entity_id, coalesce(nullif(trim(f.host), ''), c.host) AS host FROM facts f JOIN (SELECT project_id, service, max(host) AS host FROM clients WHERE host <> '' GROUP BY ALL HAVING count(DISTINCT host) = 1) c ON c.project_id = f.project_id AND c.service = f.service WHERE f.kind = 'dependency'")
@@ -171,11 +224,6 @@ def x10_route_parameters(spark, d):
     return f.select("entity_id", F.explode(F.regexp_extract_all(F.coalesce("d_path", "name"), F.lit(r"\{([^{}/]*)\}"), F.lit(1))).alias("parameter")).distinct()
 
 
-@query(with_(CLIENTS) + "SELECT kind, coalesce(nullif(framework, ''), 'none') AS framework, count(*) AS clients, count(DISTINCT service) AS services FROM clients GROUP BY ALL")
-def x11_client_detection(spark, d):
-    return B.clients(spark, d).groupBy("kind", F.coalesce(F.nullif("framework", F.lit("")), F.lit("none")).alias("framework")).agg(F.count("*").alias("clients"), F.countDistinct("service").alias("services"))
-
-
 @query(with_(FACTS) + "SELECT entity_id, CASE WHEN s IN ('deterministic', 'ast', 'config', 'runtime') THEN 'deterministic' WHEN s = 'manual' THEN 'manual' WHEN s = '' THEN 'unknown' ELSE 'heuristic' END AS provenance FROM (SELECT entity_id, lower(trim(coalesce(ref_source, ''))) AS s FROM facts)")
 def x13_provenance(spark, d):
     s = N.lower("ref_source")

@@ -76,3 +76,11 @@ def replay_events(spark: SparkSession, path: str, schema: str, run_id: str | Non
     """Stored events in order of their sequence."""
     e = spark.read.schema(schema).json(path)
     return (e.where(F.col("run_id") == run_id) if run_id else e).orderBy("run_id", "sequence")
+
+
+def verify_copy(rows: DataFrame, before: DataFrame, after: DataFrame, scope: str = "project_id") -> DataFrame:
+    """Per scope: rows stored, keys, and how many rows one copy has that the other hasn't, both ways, repeated rows counted."""
+    alone = lambda a, b, n: a.exceptAll(b).groupBy(scope).agg(F.count("*").alias(n))
+    g = rows.groupBy(scope).agg(F.count("*").alias("stored"), F.countDistinct("job_id").alias("jobs"))
+    j = g.join(alone(before, after, "lost"), scope, "left").join(alone(after, before, "unknown"), scope, "left")
+    return j.select(scope, "stored", "jobs", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("lost", "unknown")))

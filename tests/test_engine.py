@@ -56,6 +56,7 @@ def test_globs():
 
     assert re.match(glob_regex("**/*.go"), "a/b/c.go") and re.match(glob_regex("**/*.go"), "c.go") and not re.match(glob_regex("*.go"), "a/c.go")
     assert re.match(glob_regex("a/**"), "a/b/c") and re.match(glob_regex("a?c"), "abc") and not re.match(glob_regex("a?c"), "a/c")
+    assert re.match(glob_regex("[a-m]*"), "cart") and not re.match(glob_regex("[a-m]*"), "zoo") and re.match(glob_regex("a[b"), "a[b")
 
 
 FACT = "entity_id string, project_id string, kind string, type string, name string, service string, platform string, instance string, operation string, operation_kind string, summary string, host string, db_name string, file string, start_line int, end_line int, confidence double, d_method string, d_path string, d_table string, logical_name string, url_template string"
@@ -337,6 +338,87 @@ def test_derived_facts(spark):
     assert one(spark, lambda c: derive.looks_like_cron(F.col(c)), "0 3 * * *", "hello") == [True, False]
 
 
+SOURCE = [
+    ('@PostMapping(value = "/a/{b}")\npublic X f() {}\n@GetMapping("/c")', {("http_route", "spring", "/a/{b}", "post"), ("http_route", "spring", "/c", "get")}),
+    ('@Path("/r")', {("http_route", "jax-rs", "/r", "")}),
+    ("app.get('/u/:id', h); router.delete(`/u/:id`, h)", {("http_route", "express", "/u/:id", "get"), ("http_route", "express", "/u/:id", "delete")}),
+    ("@Patch('x')", {("http_route", "nestjs", "x", "patch")}),
+    ('@app.get("/i/{n}")\nasync def f(): ...', {("http_route", "fastapi", "/i/{n}", "get")}),
+    ('@bp.route("/j", methods=["POST"])\n@bp.route("/k")', {("http_route", "flask", "/j", "post"), ("http_route", "flask", "/k", "")}),
+    ("path('users/<int:pk>/', v.as_view()),", {("http_route", "django", "users/<int:pk>/", "")}),
+    ('http.HandleFunc("GET /p", h); http.Handle("/q", h)', {("http_route", "net/http", "/p", "get"), ("http_route", "net/http", "/q", "")}),
+    ('router.HandleFunc("/v", h.x).Methods("PUT")\nrouter.Handle("/w", h)', {("http_route", "gorilla", "/v", "put"), ("http_route", "gorilla", "/w", "")}),
+    ('r.GET("/g", h)\napi.Post("/h", h)', {("http_route", "gin", "/g", "get"), ("http_route", "chi", "/h", "post")}),
+    ("get '/rails', to: 'x#y'", {("http_route", "rails", "/rails", "get")}),
+    ('[HttpPut("z/{id}")] app.MapGet("/m", () => 1);', {("http_route", "asp.net", "z/{id}", "put"), ("http_route", "asp.net", "/m", "get")}),
+    ('q := "SELECT a FROM t1 JOIN u"; db.Exec("update t2 set x = 1"); db.Exec(`delete from s.t3 where 1`)', {("db_operation", "sql", "t1", "select"), ("db_operation", "sql", "t2", "update"), ("db_operation", "sql", "s.t3", "delete")}),
+    ("orderRepository.findByName(n)", {("db_operation", "jpa", "order", "findbyname")}),
+    ("session.query(User).filter(1); Order.objects.filter(x=1)", {("db_operation", "sqlalchemy", "User", "query"), ("db_operation", "django-orm", "Order", "filter")}),
+    ("await prisma.invoice.create({}); Cart.findAll()", {("db_operation", "prisma", "invoice", "create"), ("db_operation", "sequelize", "Cart", "findall")}),
+    ("db.WithContext(ctx).Model(&Parcel{}).Find(&x)", {("db_operation", "gorm", "Parcel", "")}),
+    ('producer.send({ topic: "t" }); kafkaTemplate.send("u", v)', {("queue_publish", "kafka", "t", "send"), ("queue_publish", "kafka", "u", "send")}),
+    ("sqs.send_message(QueueUrl='q1', MessageBody=b)", {("queue_publish", "sqs", "q1", "")}),
+    ('@KafkaListener(groupId = "g", topics = "in")\n@RabbitListener(queues = "rq")', {("queue_consumer", "kafka", "in", ""), ("queue_consumer", "rabbitmq", "rq", "")}),
+    ("axios.post('/x', b); fetch(`/y`); requests.get('http://h/z')", {("outbound_http", "axios", "/x", "post"), ("outbound_http", "fetch", "/y", ""), ("outbound_http", "requests", "http://h/z", "get"), ("outbound_http", "url-literal", "http://h", "")}),
+    ('http.NewRequestWithContext(ctx, "PUT", "/n", nil)', {("outbound_http", "net/http", "/n", "put")}),
+    ("grpc.insecure_channel('h:1'); grpc.Dial(\"k:2\")", {("outbound_rpc", "grpc", "h:1", ""), ("outbound_rpc", "grpc", "k:2", "")}),
+    ("redis.hget('user:1')", {("cache_operation", "redis", "user", "hget")}),
+    ("s3.put_object(Bucket='b', Key=k)", {("object_storage", "s3", "b", "put_object")}),
+    ("subprocess.run(['ls'])", {("command_exec", "exec", "ls", "")}),
+    ('@Scheduled(fixedRate = 1, cron = "0 * * * *")', {("scheduled_job", "cron", "0 * * * *", "")}),
+    ('&cobra.Command{Use: "sync", Short: "x"}', {("cli_command", "cli", "sync", "")}),
+    ("x = compute(y)  # nothing to see; select the best from all", set()),
+]
+
+
+def test_detectors_read_every_hit_of_each_framework(spark):
+    sites = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SOURCE)], "k int, snippet string")
+    got = {}
+    for r in derive.call_facts(sites, ["k"]).collect():
+        got.setdefault(r.k, set()).add((r.fact_type, r.framework, r.name, r.detail))
+    for i, (text, want) in enumerate(SOURCE):
+        assert got.get(i, set()) == want, text
+    assert derive.call_facts(sites.limit(0), ["k"]).count() == 0
+
+
+def test_values_of_changes_routes_and_targets(spark):
+    """Each category, signal and rung with the values it must have."""
+    from factloom.operators import predicates as P
+
+    paths = {
+        "src/tests/a.go": "tests", "a/b_test.go": "tests", "x/y.spec.ts": "tests", "readme.MD": "documentation", "a/docs/x.txt": "documentation", "db/migrations/1.sql": "data", "prisma/schema.prisma": "data", "api/openapi.yaml": "api", "p/x.proto": "api",
+        "src/api/h.go": "api", "src/auth/login.go": "security", "lib/tls.rs": "security", "infra/main.tf": "infrastructure", "Dockerfile": "infrastructure", ".github/workflows/ci.yml": "infrastructure", "go.mod": "dependencies", "x/package.json": "dependencies",
+        "config/app.yml": "configuration", ".env.prod": "configuration", "src/main.go": "code", "xgo.mod": "code",
+    }
+    got = one(spark, lambda c: P.changed_file_kind(F.col(c)), *paths)
+    assert dict(zip(paths, got)) == paths
+    patches = spark.createDataFrame([("a.go", "-func X()"), ("a.go", "ALTER TABLE t"), ("src/auth/x", None), ("x/openapi.json", "-export const")], "f string, t string")
+    assert [r.s for r in patches.select(P.file_signals(F.col("f"), F.col("t")).alias("s")).collect()] == [["public_surface_removal"], ["destructive_schema"], ["security_boundary"], ["contract_change", "public_surface_removal"]]
+    assert one(spark, lambda c: P.type_name(F.lit("dependency"), F.col(c)), "SQL Query", "http-client", "other") == ["db_operation", "outbound_http", "other"]
+    dep = "instance string, details string, tags array<string>, evidence array<struct<snippet: string>>, name string"
+    rows = [
+        (" h1 ", '{"url": "u"}', None, None, "n"), ("HTTP", '{"host": "h", "base_url": "b"}', None, None, "n"), (None, '{"url": 7, "topic": "t", "table": "x"}', [], None, "n"), ("redis", '{"url": "kafka"}', ["x", "cart-service"], None, "n"),
+        ("", "no json", ["a"], [(None,), ('get("https://q.internal/x");',)], "n"), (None, None, None, None, " n "),
+    ]
+    t = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, {dep}")
+    assert [r.t for r in t.select("i", P.target(t).alias("t")).orderBy("i").collect()] == ["h1", "b", "t", "cart-service", "get(\"https://q.internal/x", "n"]
+    fact = lambda i, kind, service, path: (i, "p", "outbound_http" if kind == "d" else "http_route", service, "GET", path, f"GET {path}")
+    generic = [*resolve.GENERIC_ROUTES, "/actuator/info", "/swagger-ui", "/health/live", "/.well-known/x"]
+    rows = [x for i, path in enumerate([*generic, "/orders/{id}"]) for x in (fact(f"d{i}", "d", "a", path), fact(f"e{i}", "e", "b", path))]
+    f = spark.createDataFrame(rows, "entity_id string, project_id string, type string, service string, d_method string, d_path string, name string")
+    assert [r.entity_id for r in resolve.route_matches(f).collect()] == [f"d{len(generic)}"]
+
+
+def test_a_route_of_many_owners_stays_ambiguous(spark):
+    row = lambda i, t, s, m, p: (i, "p", t, s, m, p, "")
+    rows = [row(f"e{i}", "http_route", f"s{i % 7}", "GET", "/hot") for i in range(700)] + [row("x1", "http_route", "s1", "POST", "/one"), row("x2", "webhook", "s2", "POST", "/one"), row("x0", "http_route", "s1", "", "/one")]
+    rows += [row("d1", "outbound_http", "q", "GET", "/hot"), row("d2", "outbound_http", "s2", "POST", "/one"), row("d3", "outbound_http", "s1", "POST", "/one"), row("d4", "outbound_http", "s3", "", "/one"), row("d5", "outbound_http", "s0", "GET", "/one")]
+    f = spark.createDataFrame(rows, "entity_id string, project_id string, type string, service string, d_method string, d_path string, name string")
+    assert {(r.entity_id, r.to_service, r.to_entity) for r in resolve.route_matches(f).collect()} == {("d2", "s1", "x0"), ("d3", "s2", "x2"), ("d5", "s1", "x0")}
+    q = spark.createDataFrame([(f"c{i}", "p", "queue_consumer", f"s{i % 3}", None, None, "consume Order.Placed") for i in range(90)] + [("p0", "p", "queue_publish", "s0", None, None, "publish order-placed"), ("p1", "p", "queue_publish", "s1", None, None, "publish order_placed")], f.schema)
+    assert {(r.entity_id, r.to_service) for r in resolve.queue_matches(q).collect()} == {("p0", "s1"), ("p1", "s0")}
+
+
 def test_claims_and_retries(spark):
     rows = [("j1", "p", "queued", T0, T0, False, 5), ("j2", "p", "queued", T0 - timedelta(1), T0, True, 5), ("j3", "q", "running", T0, T0, False, 5), ("j4", "q", "queued", T0, T0, False, 5), ("j5", "r", "failed", T0, T0, False, 2)]
     jobs = spark.createDataFrame(rows, "job_id string, project_id string, status string, not_before timestamp, created_at timestamp, cancel_requested boolean, max_attempts int")
