@@ -6,11 +6,14 @@ an equi join on a normalized key; containment is turned into one by exploding th
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import norm as N
 from factloom.operators.predicates import ADDRESS_TYPES
+from factloom.session import cut
 
 #: Well-known paths that many services expose, and beginnings of such; they identify none. Fixed values.
 GENERIC_ROUTES = (
@@ -19,14 +22,15 @@ GENERIC_ROUTES = (
 GENERIC_BEGINNINGS = ("/actuator", "/swagger", "/health/", "/.well-known")
 
 
+NO_OWNER = "^(?:/?|" + "|".join(map(re.escape, GENERIC_ROUTES)) + ")$|^(?:" + "|".join(map(re.escape, GENERIC_BEGINNINGS)) + ")"
+
+
 def routes(facts: DataFrame, types: tuple[str, ...]) -> DataFrame:
-    """(entity_id, project_id, service, method, path) of facts with a route that can identify a service."""
+    """(entity_id, project_id, service, type, method, path) of facts with a route that can identify a service."""
     method = F.upper(F.coalesce(F.nullif(F.trim("d_method"), F.lit("")), N.http_method("name")))
     path = N.route_normal(F.coalesce(F.nullif(F.trim("d_path"), F.lit("")), N.http_path("name")))
-    df = facts.where(F.col("type").isin(*types)).select("entity_id", "project_id", "service", method.alias("method"), path.alias("path")).where(~F.col("path").isin("", "/", *GENERIC_ROUTES))
-    for x in GENERIC_BEGINNINGS:
-        df = df.where(~F.startswith("path", F.lit(x)))
-    return df
+    df = facts.where(F.col("type").isin(*types)).select("entity_id", "project_id", "service", "type", method.alias("method"), path.alias("path"))
+    return df.where(~F.col("path").rlike(NO_OWNER))  # one look at the path: the condition is evaluated where the facts are read
 
 
 def _few_owners(exposures: DataFrame, key: str) -> DataFrame:
@@ -51,8 +55,9 @@ def unique_owner(deps: DataFrame, exposures: DataFrame, key: str) -> DataFrame:
 
 def route_matches(facts: DataFrame) -> DataFrame:
     """Exact route owners (.92), then, for what is left, owners by the route without leading version or audience segments (.84)."""
-    deps, exps = routes(facts, ("outbound_http",)), routes(facts, ("http_route", "webhook"))
-    any_exact = owners(deps, exps, "path")
+    ends = cut(routes(facts, ("outbound_http", "http_route", "webhook")))  # paths are normalized once
+    deps, exps = ends.where("type = 'outbound_http'"), ends.where("type <> 'outbound_http'")
+    any_exact = cut(owners(deps, exps, "path"))
     exact = any_exact.where(F.col("to_service") == F.col("last")).drop("last").withColumn("confidence", F.lit(0.92)).withColumn("tier", F.lit("exact"))
     strip = lambda df: df.withColumn("stripped", N.route_stripped(F.col("path")))
     rest = strip(deps.join(any_exact.select("entity_id"), "entity_id", "left_anti"))  # an ambiguous exact match is not retried

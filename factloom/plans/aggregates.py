@@ -65,13 +65,15 @@ def a5_connectivity(spark, d):
     links = B.subscriptions(spark, d)
     pub = q.where("role = 'publish'").select("queue_key", F.col("service_id").alias("a"))
     con = q.where("role = 'consume'").select("queue_key", F.col("service_id").alias("b"))
-    # the topic reaches its own consumers and those of queues subscribed to it
-    reach = pub.union(pub.join(links, pub.queue_key == links.topic).select("queue", "a"))
-    chains = reach.join(con, "queue_key").select("a", "b").distinct()
+    # the topic reaches its own consumers and those of queues subscribed to it; services that reach the same queues count together
+    reach = pub.union(pub.join(links, pub.queue_key == links.topic).select("queue", "a")).groupBy("a").agg(F.array_sort(F.collect_set("queue_key")).alias("queues"))
+    alike = reach.groupBy("queues").agg(F.count("*").alias("n"))
+    ends = alike.select("queues", "n", F.explode("queues").alias("queue_key")).join(con, "queue_key").groupBy("queues", "n").agg(F.countDistinct("b").alias("b"))
+    chains = ends.agg(F.coalesce(F.sum(F.col("n") * F.col("b")), F.lit(0)).alias("value")).select(F.lit("async_chains").alias("metric"), "value")
     one = lambda name, df: df.agg(F.count("*").alias("value")).select(F.lit(name).alias("metric"), "value")
     by_type = e.groupBy("edge_type").count().select(F.concat(F.lit("edges_"), "edge_type").alias("metric"), F.col("count").alias("value"))
     out = one("services", s).union(by_type).union(one("service_to_service", e))
-    return out.union(one("isolated", s.join(touched, "service_id", "left_anti"))).union(one("async_chains", chains))
+    return out.union(one("isolated", s.join(touched, "service_id", "left_anti"))).union(chains)
 
 
 @query(with_(CALLS, EDGES, SERVICES) + "SELECT (SELECT count(*) FROM services) AS services, (SELECT count(*) FROM edges) AS edges, (SELECT string_agg(DISTINCT team, ',' ORDER BY team) FROM services) AS teams, (SELECT count(DISTINCT domain) FROM services) AS domains")
