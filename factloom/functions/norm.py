@@ -8,25 +8,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Word lists that decide results.
-GENERIC_QUEUES = (
-    "sqs sns kafka queue queues topic topics queueurl queuename queueurls requesturl responseurl sqsevent sqsmessage sqsmessagebody "
-    "message messages event events stream input output source destination"
-).split()
+GENERIC_QUEUES = ("sqs", "sns", "kafka", "queue", "queues", "topic", "topics", "queueurl", "queuename", "queueurls", "requesturl", "responseurl", "sqsevent", "sqsmessage", "sqsmessagebody", "message", "messages", "event", "events", "stream", "input", "output", "source", "destination")
 HTTP_METHODS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
-UNCOUNTABLE = "series species news data media metadata schema status alias analysis diagnosis basis index".split()
+UNCOUNTABLE = ("series", "species", "news", "data", "media", "metadata", "schema", "status", "alias", "analysis", "diagnosis", "basis", "index")
 GENERIC_PLATFORMS = ("database", "db", "sql", "rdbms", "jdbc", "relational", "unknown")
 PLATFORM_CLASSES = (
     ("postgres", "postgres"), ("mysql", "mysql"), ("mariadb", "mysql"), ("dynamo", "dynamodb"), ("mongo", "mongodb"), ("elastic", "elasticsearch"),
     ("opensearch", "elasticsearch"), ("redis", "redis"), ("memcache", "memcached"), ("cassandra", "cassandra"), ("athena", "athena"),
     ("snowflake", "snowflake"), ("bigquery", "bigquery"),
 )
-READ_VERBS = "read select find get list query search exists count scan load fetch".split()
-DELETE_VERBS = "delete remove".split()
-WRITE_VERBS = "write insert update save upsert put merge persist store".split()
+READ_VERBS = ("read", "select", "find", "get", "list", "query", "search", "exists", "count", "scan", "load", "fetch")
+DELETE_VERBS = ("delete", "remove")
+WRITE_VERBS = ("write", "insert", "update", "save", "upsert", "put", "merge", "persist", "store")
 QUEUE_SUFFIXES = r"[-_.](consumer|listener)$"
 CLUSTER_SUFFIXES = r"(\.svc\.cluster\.local|\.cluster\.local|\.corp\.example)$"
-WRITE_WORDS = "insert create write put store update delete upsert evict publish".split()
-READ_WORDS = "read select query scan get find load".split()
+WRITE_WORDS = ("insert", "create", "write", "put", "store", "update", "delete", "upsert", "evict", "publish")
+READ_WORDS = ("read", "select", "query", "scan", "get", "find", "load")
 
 
 def col(c: Column | str) -> Column:
@@ -126,7 +123,7 @@ def queue_route(c: Column | str) -> Column:
 
 def scoped_queue(key: Column, service: Column, source: Column) -> Column:
     """Generic and fallback names are only unique inside their service."""
-    generic = key.isin(GENERIC_QUEUES) | (F.length(key) < 5) | F.coalesce(source.isin("config_key", "raw"), F.lit(False))
+    generic = key.isin(*GENERIC_QUEUES) | (F.length(key) < 5) | F.coalesce(source.isin("config_key", "raw"), F.lit(False))
     return F.when(generic, F.concat_ws(":", identifier(queue_key(service)), key)).otherwise(key)
 
 
@@ -224,7 +221,7 @@ def direction(c: Column | str) -> Column:
 def singular(c: Column | str) -> Column:
     """Conservative singular of a resource name."""
     s = lower(c)
-    keep = (F.length(s) < 4) | ~F.endswith(s, F.lit("s")) | s.isin(UNCOUNTABLE) | s.rlike("(ss|us|is|ous)$")
+    keep = (F.length(s) < 4) | ~F.endswith(s, F.lit("s")) | s.isin(*UNCOUNTABLE) | s.rlike("(ss|us|is|ous)$")
     return (
         F.when(keep, s).when(s.rlike("ies$") & (F.length(s) > 4), F.regexp_replace(s, "ies$", "y"))
         .when(s.rlike("ses$") & (F.length(s) > 4), F.regexp_replace(s, "es$", "")).otherwise(F.regexp_replace(s, "s$", ""))

@@ -137,14 +137,19 @@ def j12_orphan_filter(spark, d):
     return kept.select("connection_id", F.lit("kept").alias("outcome")).union(dropped.select("connection_id", "reason"))
 
 
-@query("""WITH f AS (SELECT DISTINCT project_id, service, endpoint_id, lower(replace(replace(name, '_', ''), '-', '')) AS k, location FROM contract_fields)
-SELECT DISTINCT a.project_id, a.endpoint_id AS from_endpoint, b.endpoint_id AS to_endpoint, a.k AS field FROM f a JOIN f b ON a.project_id = b.project_id AND a.service = b.service AND a.k = b.k AND a.location = 'path' AND b.location = 'body' AND a.endpoint_id <> b.endpoint_id""")
+@query("""WITH f AS (SELECT DISTINCT project_id, service, endpoint_id, lower(replace(replace(name, '_', ''), '-', '')) AS field, CASE location WHEN 'path' THEN 'from' ELSE 'to' END AS side FROM contract_fields WHERE location IN ('path', 'body')),
+g AS (SELECT project_id, service, field FROM f GROUP BY ALL HAVING bool_or(side = 'from') AND bool_or(side = 'to') AND count(DISTINCT endpoint_id) > 1)
+SELECT project_id, service, field, endpoint_id, side FROM f JOIN g USING (project_id, service, field)""")
 def j13_field_lineage(spark, d):
-    """Fields of one service's endpoints that carry the same canonical name from a path into a body."""
-    f = table(spark, d, "contract_fields").select("project_id", "service", "endpoint_id", F.lower(F.translate("name", "_-", "")).alias("field"), "location").distinct()
-    a = f.where("location = 'path'").select("project_id", "service", "field", F.col("endpoint_id").alias("from_endpoint"))
-    b = f.where("location = 'body'").select("project_id", "service", "field", F.col("endpoint_id").alias("to_endpoint"))
-    return a.join(b, ["project_id", "service", "field"]).where("from_endpoint <> to_endpoint").select("project_id", "from_endpoint", "to_endpoint", "field").distinct()
+    """Fields that carry one canonical name from a path into a body of another endpoint of their service.
+
+    One row per endpoint and side: every `from` of a (project, service, field) leads to every `to` of another endpoint. A
+    field that thousands of endpoints share is so many rows, not their pairs.
+    """
+    k = ["project_id", "service", "field"]
+    f = table(spark, d, "contract_fields").where("location in ('path', 'body')").select("project_id", "service", F.lower(F.translate("name", "_-", "")).alias("field"), "endpoint_id", F.when(F.col("location") == "path", "from").otherwise("to").alias("side")).distinct()
+    g = f.groupBy(k).agg(F.bool_or(F.col("side") == "from").alias("a"), F.bool_or(F.col("side") == "to").alias("b"), F.min("endpoint_id").alias("lo"), F.max("endpoint_id").alias("hi"))
+    return f.join(g.where("a and b and lo < hi").select(k), k, "left_semi").select(*k, "endpoint_id", "side")
 
 
 @query(with_(FACTS, CLIENTS) + """, u AS (SELECT project_id, service, kind, min(client_id) AS client_id, count(*) AS n FROM clients GROUP BY ALL)
@@ -213,19 +218,23 @@ def j19_callee_resolution(spark, d):
     return j.select("call", F.coalesce("sym", "only_sym").alias("target"), F.when(F.col("sym").isNotNull(), "exact").when(F.col("only_sym").isNotNull(), "unique_method").otherwise("unknown").alias("tier"))
 
 
-@query(with_(LINKS, _STEPS) + ", t AS (SELECT DISTINCT split_part(to_symbol, '.', 1) AS class, split_part(to_symbol, '.', 2) AS method FROM st WHERE to_symbol IS NOT NULL) SELECT a.class AS interface, b.class AS implementation FROM t a JOIN t b USING (method) WHERE a.class < b.class GROUP BY ALL HAVING count(*) >= 2")
+@query(with_(LINKS, _STEPS) + """, t AS (SELECT split_part(to_symbol, '.', 1) AS class, string_agg(DISTINCT split_part(to_symbol, '.', 2), ',' ORDER BY split_part(to_symbol, '.', 2)) AS methods, count(DISTINCT split_part(to_symbol, '.', 2)) AS n FROM st WHERE to_symbol IS NOT NULL GROUP BY 1),
+g AS (SELECT methods, min(class) AS interface, count(*) AS classes FROM t WHERE n >= 2 GROUP BY methods) SELECT g.interface, t.class AS implementation, g.classes FROM t JOIN g USING (methods) WHERE g.classes > 1""")
 def j20_implementations(spark, d):
-    """Classes that share at least two methods."""
-    t = _steps(spark, d).where("to_symbol is not null").select(F.split_part("to_symbol", F.lit("."), F.lit(1)).alias("class"), F.split_part("to_symbol", F.lit("."), F.lit(2)).alias("method")).distinct()
-    j = t.withColumnRenamed("class", "interface").join(t.withColumnRenamed("class", "implementation"), "method").where("interface < implementation")
-    return j.groupBy("interface", "implementation").agg(F.count("*").alias("n")).where("n >= 2").drop("n")
+    """Classes that are called by the same methods, two at least: one row per class, with the first of them and how many there are."""
+    t = _steps(spark, d).where("to_symbol is not null").select(F.split_part("to_symbol", F.lit("."), F.lit(1)).alias("implementation"), F.split_part("to_symbol", F.lit("."), F.lit(2)).alias("method")).distinct()
+    c = t.groupBy("implementation").agg(F.array_sort(F.collect_set("method")).alias("methods")).where(F.size("methods") >= 2)
+    g = c.groupBy("methods").agg(F.min("implementation").alias("interface"), F.count("*").alias("classes")).where("classes > 1")
+    return c.join(g, "methods").select("interface", "implementation", "classes")
 
 
-@query(with_(FACTS) + "SELECT e.entity_id AS exposure, d.entity_id AS dependency FROM facts e JOIN facts d ON e.service = d.service AND e.project_id = d.project_id AND e.kind = 'exposure' AND d.kind = 'dependency' AND lower(e.operation) = lower(d.operation) AND e.operation <> ''")
+@query(with_(FACTS) + """, f AS (SELECT project_id, service, lower(operation) AS operation, entity_id, kind FROM facts WHERE operation <> '' AND kind IN ('exposure', 'dependency')), g AS (SELECT project_id, service, operation FROM f GROUP BY ALL HAVING count(DISTINCT kind) = 2) SELECT f.* FROM f JOIN g USING (project_id, service, operation)""")
 def j21_shallow_connections(spark, d):
-    f = B.facts(spark, d).where("operation <> ''").withColumn("o", F.lower("operation"))
-    e = f.where("kind = 'exposure'").select(F.col("entity_id").alias("exposure"), "service", "project_id", "o")
-    return e.join(f.where("kind = 'dependency'").select(F.col("entity_id").alias("dependency"), "service", "project_id", "o"), ["service", "project_id", "o"]).select("exposure", "dependency")
+    """Entry points and dependencies of one service and operation, which are taken to be connected; one row per fact, not their pairs."""
+    k = ["project_id", "service", "operation"]
+    f = B.facts(spark, d).where("operation <> '' and kind in ('exposure', 'dependency')").select("project_id", "service", F.lower("operation").alias("operation"), "entity_id", "kind")
+    g = f.groupBy(k).agg(F.min("kind").alias("lo"), F.max("kind").alias("hi")).where("lo < hi").select(k)
+    return f.join(g, k, "left_semi")
 
 
 @query(with_(FACTS, _RT) + "SELECT f.entity_id, coalesce(x.to_service, f.instance, '') AS target FROM facts f LEFT JOIN exact x USING (entity_id) WHERE f.type IN ('outbound_http', 'outbound_rpc')")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -166,13 +167,17 @@ def terraform_subscriptions(files: DataFrame) -> DataFrame:
 
 
 def openapi_fields(files: DataFrame, depth: int = 8, most: int = 1000) -> DataFrame:
-    """(path, method, route, location, name, type, required) of OpenAPI documents; local references only.
+    """(path, method, route, location, name, type, required, truncated) of OpenAPI documents; local references only.
 
-    depth bounds recursion through references, most the fields of one document, which is a visible limit of the reader.
+    depth bounds the nesting, most the fields of one document, because references can multiply them without end; truncated
+    marks all rows of a document of which either left something out.
     """
 
     def schema_fields(doc, s, location, prefix, level, seen):
-        if not isinstance(s, dict) or level > depth:
+        if not isinstance(s, dict):
+            return
+        if level > depth:
+            yield None
             return
         if "$ref" in s:
             r = s["$ref"]
@@ -201,26 +206,28 @@ def openapi_fields(files: DataFrame, depth: int = 8, most: int = 1000) -> DataFr
             return
         if not isinstance(doc, dict) or not str(doc.get("openapi", "")).startswith("3"):
             return
-        n = 0
+        out, cut_off = [], False
         for route, ops in (doc.get("paths") or {}).items():
             for method, op in (ops or {}).items():
                 if method not in ("get", "post", "put", "patch", "delete", "head", "options") or not isinstance(op, dict):
                     continue
                 found = [(str(p.get("in")), str(p.get("name")), str((p.get("schema") or {}).get("type", "")), bool(p.get("required"))) for p in op.get("parameters") or () if isinstance(p, dict) and "name" in p]
-                for media in ((op.get("requestBody") or {}).get("content") or {}).values():
-                    found += schema_fields(doc, (media or {}).get("schema"), "body", "", 0, frozenset())
-                for f in found:
-                    n += 1
-                    if n > most:
-                        return
-                    yield (path, method.upper(), route, *f)
-
-    schema = "path string, method string, route string, location string, name string, type string, required boolean"
+                bodies = (schema_fields(doc, (media or {}).get("schema"), "body", "", 0, frozenset()) for media in ((op.get("requestBody") or {}).get("content") or {}).values())
+                for f in chain(found, *bodies):
+                    if f is None or len(out) >= most:
+                        cut_off = True
+                        if len(out) >= most:
+                            break
+                        continue
+                    out.append((path, method.upper(), route, *f))
+        yield from ((*r, cut_off) for r in out)
+
+    schema = "path string, method string, route string, location string, name string, type string, required boolean, truncated boolean"
 
     def run(batches):
         import pandas as pd
 
         for b in batches:
-            yield pd.DataFrame([r for p, t in zip(b["path"], b["text"]) for r in rows(p, t or "")], columns=["path", "method", "route", "location", "name", "type", "required"])
+            yield pd.DataFrame([r for p, t in zip(b["path"], b["text"]) for r in rows(p, t or "")], columns=["path", "method", "route", "location", "name", "type", "required", "truncated"])
 
     return files.where("format in ('yaml', 'json')").select("path", "text").mapInPandas(run, schema).distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,14 +38,19 @@ def load_snapshot(rows: DataFrame, runs: DataFrame, run_id: str | None = None, p
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
-    """An immutable snapshot per project and run: writing the same run again is an error."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    for r in df.select("project_id", "run_id").distinct().toLocalIterator():
-        p = jvm.org.apache.hadoop.fs.Path(f"{path}/project_id={r.project_id}/run_id={r.run_id}")
-        if p.getFileSystem(conf).exists(p):
-            raise FileExistsError(f"run {r.run_id} of {r.project_id} is already stored")
-    df.write.mode("append").partitionBy("project_id", "run_id").parquet(path)
+    """An immutable snapshot per project and run, each written to a path of its own; a run that is there already is an error.
+
+    A snapshot is one run, or the few that are ready together.
+    """
+    cols = [c for c in df.columns if c not in ("project_id", "run_id")]
+    for r in df.select("project_id", "run_id").distinct().orderBy("project_id", "run_id").collect():
+        own = df.where(F.col("project_id").eqNullSafe(r.project_id) & F.col("run_id").eqNullSafe(r.run_id)).select(cols)
+        try:
+            own.write.mode("errorifexists").parquet(f"{path}/project_id={r.project_id}/run_id={r.run_id}")
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_ALREADY_EXISTS":
+                raise FileExistsError(f"run {r.run_id} of {r.project_id} is already stored") from e
+            raise
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
