@@ -7,16 +7,19 @@ and resolution rules. Packs are stated by people; there are few, and none holds
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators.predicates import glob_regex
 
 BUILT_IN_PRIORITY = -1000
+#: Bytes of a file that packs read, and values of one pack; fixed values.
+MAX_FILE, MAX_VALUES = 2 * 1024 * 1024, 10_000
 
 
 @dataclass(frozen=True)
@@ -28,6 +31,7 @@ class Pack:
     extractions: tuple[dict, ...] = ()
     rules: tuple[dict, ...] = ()
     problems: tuple[str, ...] = field(default=())
+    tests: tuple[dict, ...] = ()
 
 
 def parse(doc: dict) -> Pack:
@@ -49,7 +53,7 @@ def parse(doc: dict) -> Pack:
         if not r.get("target_pattern") or not r.get("service"):
             bad.append(f"resolution[{i}]")
     a = doc.get("applies_to") or {}
-    return Pack(str(doc.get("id", "")), int(doc.get("priority", 0)), str(a.get("name", "")), tuple(a.get("has_file") or ()), tuple(doc.get("extractions") or ()), tuple(doc.get("resolution") or ()), tuple(bad))
+    return Pack(str(doc.get("id", "")), int(doc.get("priority", 0)), str(a.get("name", "")), tuple(a.get("has_file") or ()), tuple(doc.get("extractions") or ()), tuple(doc.get("resolution") or ()), tuple(bad), tuple(doc.get("tests") or ()))
 
 
 def load(*folders: str) -> list[Pack]:
@@ -68,7 +72,7 @@ def load(*folders: str) -> list[Pack]:
 def with_built_in(packs: list[Pack], built_in: list[Pack]) -> list[Pack]:
     """The packs and those built-in ones whose id nobody took."""
     known = {p.id for p in packs}
-    extra = [Pack(p.id, BUILT_IN_PRIORITY, p.name, p.files, p.extractions, p.rules) for p in built_in if p.id not in known]
+    extra = [Pack(p.id, BUILT_IN_PRIORITY, p.name, p.files, p.extractions, p.rules, (), p.tests) for p in built_in if p.id not in known]
     return sorted([*packs, *extra], key=lambda x: (-x.priority, x.id))
 
 
@@ -124,6 +128,58 @@ def identity(values: DataFrame, packs: list[Pack]) -> DataFrame:
     return best.select("path", "target", F.when(F.col("b.lo") == F.col("b.hi"), F.col("b.lo")).alias("value"), (F.col("b.lo") != F.col("b.hi")).alias("conflict"))
 
 
+def limits(files: DataFrame, values: DataFrame) -> DataFrame:
+    """(subject, name, amount): files over MAX_FILE bytes and packs with more than MAX_VALUES values, which a run must not take silently."""
+    size = F.octet_length("text").cast("long")
+    large = files.where(size > MAX_FILE).select(F.lit("file").alias("subject"), F.col("path").alias("name"), size.alias("amount"))
+    many = values.groupBy("pack_id").agg(F.count("*").alias("amount")).where(F.col("amount") > MAX_VALUES)
+    return large.unionByName(many.select(F.lit("pack").alias("subject"), F.col("pack_id").alias("name"), "amount"))
+
+
+def set_problems(packs: list[Pack]) -> list[str]:
+    """What keeps packs from being used together: an id twice, or rules of one priority and pattern that name different services."""
+    out = [f"id {i} {n} times" for i, n in sorted(Counter(p.id for p in packs).items()) if n > 1]
+    named: dict[tuple, set] = {}
+    for p in packs:
+        for r in p.rules:
+            named.setdefault((p.priority, r.get("type", ""), r["target_pattern"]), set()).add(r["service"])
+    return out + [f"rules of priority {k[0]} for {k[2]} name {', '.join(sorted(v))}" for k, v in sorted(named.items()) if len(v) > 1]
+
+
+def check(spark: SparkSession, pack: Pack) -> DataFrame:
+    """(test, side, path, target, value): what a pack's own tests miss or find besides; no rows where all hold.
+
+    A test has files (path -> text) and expect, a list of path, target and value; it is exact, so an empty list is a negative one.
+    """
+    files = [(f"{i}/{path}", text) for i, t in enumerate(pack.tests) for path, text in (t.get("files") or {}).items()]
+    want = [(f"{i}/{e['path']}", e["target"], str(e["value"])) for i, t in enumerate(pack.tests) for e in t.get("expect") or ()]
+    own = Pack(pack.id, pack.priority, pack.name, pack.files, tuple({**e, "glob": f"*/{e['glob']}"} if e.get("glob") else e for e in pack.extractions))
+    got = extract(spark.createDataFrame(files, "path string, text string"), [own]).select("path", "target", "value")
+    expected = spark.createDataFrame(want, "path string, target string, value string").distinct()
+    both = expected.exceptAll(got).withColumn("side", F.lit("missing")).unionByName(got.exceptAll(expected).withColumn("side", F.lit("unexpected")))
+    names = F.create_map(*[F.lit(x) for i, t in enumerate(pack.tests) for x in (str(i), t.get("name", str(i)))]) if pack.tests else F.lit(None)
+    at = F.split_part("path", F.lit("/"), F.lit(1))
+    return both.select((names[at] if pack.tests else at).alias("test"), "side", F.regexp_replace("path", r"^\d+/", "").alias("path"), "target", "value")
+
+
+def edge_check(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """(side, src, dst, edge_type): edges of a graph test that are missing or unexpected; the expected set is complete."""
+    k = ["src", "dst", "edge_type"]
+    a, b = found.select(k).distinct(), expected.select(k).distinct()
+    return b.exceptAll(a).withColumn("side", F.lit("missing")).unionByName(a.exceptAll(b).withColumn("side", F.lit("unexpected"))).select("side", *k)
+
+
+def lock(packs: list[Pack]) -> dict[str, str]:
+    """The digest of each active pack by its id."""
+    return {p.id: digest([p]) for p in packs}
+
+
+def lock_changes(packs: list[Pack], locked: dict[str, str]) -> dict[str, str]:
+    """id -> added, removed or changed against what was locked."""
+    now = lock(packs)
+    return {i: "added" if i not in locked else "removed" if i not in now else "changed" for i in sorted(now.keys() | locked.keys()) if now.get(i) != locked.get(i)}
+
+
 def digest(packs: list[Pack]) -> str:
     """Digest of the active set, whatever order it was loaded in."""
     import hashlib

@@ -74,10 +74,9 @@ def queue_matches(facts: DataFrame) -> DataFrame:
     return j.groupBy("entity_id").agg(F.min(F.struct("to_service", "to_entity")).alias("m")).select("entity_id", "m.to_service", "m.to_entity", F.lit(0.90).alias("confidence"))
 
 
-def identity_matches(deps: DataFrame, identities: DataFrame) -> DataFrame:
+def identity_candidates(deps: DataFrame, identities: DataFrame) -> DataFrame:
     """deps(entity_id, service, type, target) against identities(value, owner) in tiers: equal .95, same host .90, contained .75.
 
-    The best (confidence, length) wins; ties between services are conflicts, marked so. RPC needs at least .9.
     Containment is an equi join: runs of tokens of the target, as long as the longest identity, against whole identities
     of five letters and more, then verified on token boundaries.
     """
@@ -93,8 +92,22 @@ def identity_matches(deps: DataFrame, identities: DataFrame) -> DataFrame:
     contained = exploded.drop("w").join(ids.where(F.length(F.lower("value")) >= 5).select("k", "owner", "value"), "k").withColumn("confidence", F.lit(0.75))
     contained = contained.where(F.expr(r"concat(' ', lower(target), ' ') rlike concat('[^a-z0-9]', regexp_replace(lower(value), '([^a-z0-9])', '\\\\$1'), '[^a-z0-9]')"))
     cols = ["entity_id", "service", "type", "owner", "value", "confidence"]
-    every = equal.select(cols).union(host.select(cols)).union(contained.select(cols))
-    ok = every.where((F.col("owner") != F.col("service")) & ~(F.col("type").contains("rpc") & (F.col("confidence") < 0.9)))
+    return equal.select(cols).union(host.select(cols)).union(contained.select(cols))
+
+
+#: The least confidence of a procedure call's target.
+RPC_LEAST = 0.9
+
+
+def rpc_guard(candidates: DataFrame) -> Column:
+    """Whether a candidate may stand: procedure calls need more than containment."""
+    return ~(F.contains(F.col("type"), F.lit("rpc")) & (F.col("confidence") < RPC_LEAST))
+
+
+def identity_matches(deps: DataFrame, identities: DataFrame) -> DataFrame:
+    """The best (confidence, length) identity of each dependency; ties between services are conflicts, marked so."""
+    every = identity_candidates(deps, identities)
+    ok = every.where((F.col("owner") != F.col("service")) & rpc_guard(every))
     best = ok.groupBy("entity_id", "owner").agg(F.max(F.struct("confidence", F.length("value").alias("len"))).alias("s"))
     top = best.groupBy("entity_id").agg(F.max("s").alias("s"))
     at_top = best.join(top, ["entity_id", "s"])

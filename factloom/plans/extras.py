@@ -94,10 +94,23 @@ def l11_canonical_json(spark, d):
     return edges(spark, d).select("src", "dst", "edge_type", doc.alias("canonical"))
 
 
-@query(with_(FACTS, CLIENTS) + "SELECT service, 'fact' AS origin, count(*) AS n FROM facts GROUP BY service UNION ALL SELECT service, 'supplement', count(*) FROM clients GROUP BY service")
+_KIND = {"outbound_http": "http", "outbound_rpc": "rpc", "db_operation": "db", "cache_operation": "cache", "queue_publish": "queue", "stream_consume": "stream"}
+_KIND_SQL = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _KIND.items()) + " END"
+
+
+@query(with_(FACTS, CLIENTS) + f""", s AS (SELECT project_id, service, kind, min(host) AS host FROM clients WHERE host <> '' GROUP BY ALL HAVING count(DISTINCT host) = 1), f AS (SELECT *, {_KIND_SQL} AS ck FROM facts WHERE kind = 'dependency')
+SELECT f.entity_id, coalesce(s.host, f.host) AS host, CASE WHEN s.host IS NULL THEN 'base' WHEN coalesce(f.host, '') = '' THEN 'filled' WHEN f.host = s.host THEN 'same' ELSE 'overlaid' END AS origin FROM f LEFT JOIN s ON s.project_id = f.project_id AND s.service = f.service AND s.kind = f.ck
+UNION ALL SELECT 'client-' || client_id, host, 'supplement' FROM clients c WHERE host <> '' AND NOT EXISTS (SELECT 1 FROM f WHERE f.project_id = c.project_id AND f.service = c.service AND f.ck = c.kind)""")
 def u2_supplement_union(spark, d):
-    f = B.facts(spark, d).groupBy("service").agg(F.lit("fact").alias("origin"), F.count("*").alias("n"))
-    return f.unionByName(B.clients(spark, d).groupBy("service").agg(F.lit("supplement").alias("origin"), F.count("*").alias("n")))
+    """Base facts overlaid with what the clients of their kind and service agree on, united with the clients that no fact stands for."""
+    k = ["project_id", "service", "ck"]
+    c = B.clients(spark, d).where("host <> ''").withColumnRenamed("kind", "ck")
+    s = c.groupBy(k).agg(F.min("host").alias("s_host"), F.max("host").alias("last")).where("s_host = last").drop("last")
+    f = B.facts(spark, d).where("kind = 'dependency'").withColumn("ck", F.create_map(*[F.lit(x) for kv in _KIND.items() for x in kv])[F.col("type")]).select("entity_id", *k, "host")
+    origin = F.when(F.col("s_host").isNull(), "base").when(F.coalesce("host", F.lit("")) == "", "filled").when(F.col("host") == F.col("s_host"), "same").otherwise("overlaid")
+    base = f.join(s, k, "left").select("entity_id", F.coalesce("s_host", "host").alias("host"), origin.alias("origin"))
+    rest = c.join(f.select(k).distinct(), k, "left_anti")
+    return base.unionByName(rest.select(F.concat(F.lit("client-"), "client_id").alias("entity_id"), "host", F.lit("supplement").alias("origin")))
 
 
 @query(with_(_FX) + "SELECT endpoint, location, field, concat_ws(',', CASE WHEN a.n <> b.n THEN 'n' END, CASE WHEN a.nullable <> b.nullable THEN 'nullable' END, CASE WHEN a.required <> b.required THEN 'required' END) AS fields FROM (SELECT * FROM fx WHERE run_id = 'A') a JOIN (SELECT * FROM fx WHERE run_id = 'B') b USING (endpoint, location, field)")

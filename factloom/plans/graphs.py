@@ -57,13 +57,12 @@ def g3_neighbourhood(spark, d, node="service:edge-gateway"):
     return e.select(F.lit(node).alias("node"), F.when(out, "outbound").otherwise("inbound").alias("direction"), "edge_type", F.when(out, F.col("dst")).otherwise(F.col("src")).alias("other"), "facts")
 
 
-@query(_GRAPH + "SELECT service, count(*) FILTER (WHERE edge_type = 'database') AS stores, count(*) FILTER (WHERE edge_type LIKE 'queue%') AS queues, count(*) FILTER (WHERE edge_type = 'external') AS externals, count(*) FILTER (WHERE edge_type = 'http') AS neighbours FROM (SELECT replace(src, 'service:', '') AS service, edge_type FROM ge WHERE prefix(src, 'service:') UNION ALL SELECT replace(dst, 'service:', ''), edge_type FROM ge WHERE prefix(dst, 'service:')) GROUP BY service")
+@query(_GRAPH + "SELECT replace(src, 'service:', '') AS service, 'outbound' AS direction, edge_type, dst AS other, split_part(dst, ':', 1) AS other_kind, facts, confidence FROM ge WHERE prefix(src, 'service:') UNION ALL SELECT replace(dst, 'service:', ''), 'inbound', edge_type, src, split_part(src, ':', 1), facts, confidence FROM ge WHERE prefix(dst, 'service:')")
 def g4_service_views(spark, d):
-    e = graph_edges(spark, d)
-    ends = e.select(F.col("src").alias("n"), "edge_type").union(e.select("dst", "edge_type")).where(F.startswith("n", F.lit("service:")))
-    c = lambda cond: F.count_if(cond)
-    t = F.col("edge_type")
-    return ends.groupBy(F.regexp_replace("n", "^service:", "").alias("service")).agg(c(t == "database").alias("stores"), c(F.startswith(t, F.lit("queue"))).alias("queues"), c(t == "external").alias("externals"), c(t == "http").alias("neighbours"))
+    """The view of every service: its edges out and in, what is at the other end, and their weight; one pass over the edges."""
+    side = lambda own, other, way: F.when(F.startswith(own, F.lit("service:")), F.struct(F.regexp_replace(own, "^service:", "").alias("service"), F.lit(way).alias("direction"), F.col(other).alias("other")))
+    e = graph_edges(spark, d).select("edge_type", "facts", "confidence", F.explode(F.array_compact(F.array(side("src", "dst", "outbound"), side("dst", "src", "inbound")))).alias("v"))
+    return e.select("v.service", "v.direction", "edge_type", "v.other", F.split_part("v.other", F.lit(":"), F.lit(1)).alias("other_kind"), "facts", "confidence")
 
 
 @query(with_(CALLS, EDGES, SERVICES) + """, t AS (SELECT service_id FROM services WHERE lower(team) = 'nation_3'), vis AS (SELECT service_id FROM t UNION SELECT dst FROM edges WHERE src IN (SELECT service_id FROM t) UNION SELECT src FROM edges WHERE dst IN (SELECT service_id FROM t))
@@ -78,17 +77,25 @@ def g5_team_view(spark, d, team="nation_3"):
     return vis.join(a, "src", "left").join(b, "dst", "left").select("src", "dst", "edge_type", (F.col("ia").isNotNull() & F.col("ib").isNotNull()).alias("inside"))
 
 
-@query(with_(RESOURCE_OPS) + "SELECT resource_name, category, count(DISTINCT service_id) AS services, count(DISTINCT table_name) AS tables, count(*) AS operations FROM resource_ops GROUP BY ALL")
+@query(with_(RESOURCE_OPS) + "SELECT resource_name, category, service_id, count(DISTINCT table_name) AS tables, count(*) FILTER (WHERE operation = 'read') AS reads, count(*) FILTER (WHERE operation = 'write') AS writes, count(*) OVER (PARTITION BY resource_name, category) > 1 AS shared FROM resource_ops GROUP BY resource_name, category, service_id")
 def g6_resource_views(spark, d):
-    return B.resource_ops(spark, d).groupBy("resource_name", "category").agg(F.countDistinct("service_id").alias("services"), F.countDistinct("table_name").alias("tables"), F.count("*").alias("operations"))
+    """The view of every resource: which services use it, how, and whether it is shared."""
+    k = ["resource_name", "category"]
+    v = B.resource_ops(spark, d).groupBy(*k, "service_id").agg(F.countDistinct("table_name").alias("tables"), F.count_if(F.col("operation") == "read").alias("reads"), F.count_if(F.col("operation") == "write").alias("writes"))
+    n = v.groupBy(k).agg((F.count("*") > 1).alias("shared"))
+    return v.join(n, k)
 
 
-@query(with_(FACTS, LINKS) + r"""SELECT f.entity_id, l.connection_id, l.dst, l.status FROM facts f JOIN links l ON l.src = f.entity_id WHERE f.kind = 'exposure' AND trim(regexp_replace(regexp_replace(replace(lower(f.name), '_', '-'), '[^a-z0-9/{}.:-]+', ' ', 'g'), '\s+', ' ', 'g')) LIKE '%order%'""")
+_LOOKUP = r"trim(regexp_replace(regexp_replace(replace(lower(f.name), '_', '-'), '[^a-z0-9/{}.:-]+', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(with_(FACTS, LINKS) + f", hit AS (SELECT entity_id FROM facts f WHERE contains({_LOOKUP}, 'order')) SELECT h.entity_id, l.connection_id, 'outbound' AS direction, l.dst AS other, l.status FROM hit h JOIN links l ON l.src = h.entity_id UNION ALL SELECT h.entity_id, l.connection_id, 'inbound', l.src, l.status FROM hit h JOIN links l ON l.dst = h.entity_id")
 def g7_trace_view(spark, d, text="order"):
-    """Connections of entry points whose normalized name holds a text."""
-    f = B.facts(spark, d).where((F.col("kind") == "exposure") & F.contains(N.lookup("name"), F.lit(text))).select("entity_id")
-    l = B.links(spark, d)  # noqa: E741
-    return f.join(l, f.entity_id == l.src).select("entity_id", "connection_id", "dst", "status")
+    """Connections of all objects whose normalized name holds a text: what they lead to, and what leads to them."""
+    hit = B.facts(spark, d).where(F.contains(N.lookup("name"), F.lit(text))).select("entity_id")
+    l = B.links(spark, d).select("connection_id", "src", "dst", "status")  # noqa: E741
+    ends = l.select("connection_id", "status", F.explode(F.array(F.struct(F.col("src").alias("entity_id"), F.lit("outbound").alias("direction"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("entity_id"), F.lit("inbound").alias("direction"), F.col("src").alias("other")))).alias("e"))
+    return ends.select("connection_id", "status", "e.*").join(hit, "entity_id").select("entity_id", "connection_id", "direction", "other", "status")
 
 
 @query(with_(FACTS, LINKS) + "SELECT entity_id, count(*) AS connections, count(*) FILTER (WHERE n <= 5) AS shown, string_agg(connection_id, ',' ORDER BY connection_id) FILTER (WHERE n <= 5) AS first_ids FROM (SELECT f.entity_id, l.connection_id, row_number() OVER (PARTITION BY f.entity_id ORDER BY l.connection_id) AS n FROM facts f JOIN links l ON l.src = f.entity_id) GROUP BY entity_id")
@@ -301,12 +308,23 @@ def g23_company_impact(spark, d, target="service:1", depth=8):
     return b.join(s, "node").groupBy("team").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("indirect"), F.max("bounded").alias("bounded"))
 
 
-@query(with_(FACTS, LINKS) + "SELECT src AS entry, 'connected' AS trace, count(*) AS steps FROM links WHERE src IN (SELECT entity_id FROM facts WHERE kind = 'exposure') GROUP BY src UNION ALL SELECT entity_id, 'entry_only', 0 FROM facts WHERE kind = 'exposure' AND entity_id NOT IN (SELECT src FROM links WHERE src IS NOT NULL)")
+@query(with_(FACTS, LINKS, _STEPS) + """, e AS (SELECT entity_id AS entry FROM facts WHERE kind = 'exposure'), s AS (SELECT l.src AS entry, l.dst, l.connection_id, st.from_symbol, st.to_symbol, st.step_no FROM links l JOIN e ON e.entry = l.src LEFT JOIN st USING (connection_id))
+SELECT entry, 'call' AS edge_kind, from_symbol AS from_node, to_symbol AS to_node, min(step_no) AS first_step, count(DISTINCT connection_id) AS connections FROM s WHERE from_symbol IS NOT NULL AND to_symbol IS NOT NULL GROUP BY entry, from_symbol, to_symbol
+UNION ALL SELECT entry, 'reaches', entry, dst, NULL, count(DISTINCT connection_id) FROM s GROUP BY entry, dst UNION ALL SELECT entry, 'entry_only', entry, NULL, NULL, 0 FROM e WHERE entry NOT IN (SELECT src FROM links WHERE src IS NOT NULL)""")
 def g24_flow_assembly(spark, d):
-    """A flow per connected entry point, and a single-node one for each other entry point."""
+    """The flow of every entry point: its calls in order of the first step, what it reaches, or that it stands alone."""
     e = B.facts(spark, d).where("kind = 'exposure'").select(F.col("entity_id").alias("entry"))
-    l = B.links(spark, d).select(F.col("src").alias("entry")).groupBy("entry").agg(F.count("*").alias("steps"))  # noqa: E741
-    return e.join(l, "entry", "left").select("entry", F.when(F.col("steps").isNull(), "entry_only").otherwise("connected").alias("trace"), F.coalesce("steps", F.lit(0)).alias("steps"))
+    l = B.links(spark, d).select(F.col("src").alias("entry"), "dst", "connection_id").join(e, "entry")  # noqa: E741
+    calls = l.join(_steps(spark, d), "connection_id").where("from_symbol is not null and to_symbol is not null").groupBy("entry", F.col("from_symbol").alias("from_node"), F.col("to_symbol").alias("to_node")).agg(F.min("step_no").alias("first_step"), F.countDistinct("connection_id").alias("connections"))
+    none = F.lit(None).cast("int").alias("first_step")
+    reach = l.groupBy("entry", F.col("dst").alias("to_node")).agg(F.countDistinct("connection_id").alias("connections"))
+    alone = e.join(l.select("entry"), "entry", "left_anti")
+    cols = ["entry", "edge_kind", "from_node", "to_node", "first_step", "connections"]
+    return (
+        calls.withColumn("edge_kind", F.lit("call")).select(cols)
+        .unionByName(reach.select("entry", F.lit("reaches").alias("edge_kind"), F.col("entry").alias("from_node"), "to_node", none, "connections"))
+        .unionByName(alone.select("entry", F.lit("entry_only").alias("edge_kind"), F.col("entry").alias("from_node"), F.lit(None).cast("string").alias("to_node"), none, F.lit(0).cast("bigint").alias("connections")))
+    )
 
 
 def _ends(n):

@@ -66,10 +66,13 @@ _SX0 = r"replace(regexp_replace(regexp_replace(trim(lower({c})), '^service\.', '
 _HOST = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim({c})), '^(jdbc:)?[a-z][a-z0-9+.-]*://', ''), '[/?#].*$', ''), '^[^@]*@', ''), ':\d+$', ''), '(\.svc\.cluster\.local|\.cluster\.local|\.corp\.example)$', '')"
 
 
-@query(with_(FACTS, _DEPS) + rf""", i0 AS (SELECT DISTINCT service AS value, service AS owner FROM facts), i AS (SELECT value, owner, regexp_replace({_SVX}, '[^a-z0-9]+', '-', 'g') AS k, {_HOST.format(c='value')} AS h FROM (SELECT *, {_SX0.format(c='value')} AS x0 FROM i0)),
+_TIERS = rf""", i0 AS (SELECT DISTINCT service AS value, service AS owner FROM facts), i AS (SELECT value, owner, regexp_replace({_SVX}, '[^a-z0-9]+', '-', 'g') AS k, {_HOST.format(c='value')} AS h FROM (SELECT *, {_SX0.format(c='value')} AS x0 FROM i0)),
 t AS (SELECT entity_id, service, type, target, regexp_replace({_SVX}, '[^a-z0-9]+', '-', 'g') AS k, {_HOST.format(c='target')} AS h FROM (SELECT *, {_SX0.format(c='target')} AS x0 FROM deps)),
 m AS (SELECT t.*, i.owner, i.value, 0.95 AS c FROM t JOIN i ON t.k = i.k UNION ALL SELECT t.*, i.owner, i.value, 0.9 FROM t JOIN i ON t.h = i.h AND t.h <> ''
-  UNION ALL SELECT t.*, i.owner, i.value, 0.75 FROM t JOIN i ON length(i.value) >= 5 AND regexp_matches(lower(t.target), '(^|[^a-z0-9])' || regexp_escape(lower(i.value)) || '([^a-z0-9]|$)')),
+  UNION ALL SELECT t.*, i.owner, i.value, 0.75 FROM t JOIN i ON length(i.value) >= 5 AND regexp_matches(lower(t.target), '(^|[^a-z0-9])' || regexp_escape(lower(i.value)) || '([^a-z0-9]|$)'))"""
+
+
+@query(with_(FACTS, _DEPS) + _TIERS + r""",
 ok AS (SELECT * FROM m WHERE owner <> service AND NOT (contains(type, 'rpc') AND c < 0.9)), best AS (SELECT entity_id, owner, max(c * 1000 + length(value)) AS s, max(c) AS c FROM ok GROUP BY ALL), top AS (SELECT entity_id, max(s) AS s FROM best GROUP BY ALL)
 SELECT entity_id, min(owner) AS to_service, CAST(max(c) AS DOUBLE) AS confidence, count(*) > 1 AS conflict FROM best JOIN top USING (entity_id, s) GROUP BY entity_id""")
 def j5_tiered_identity(spark, d):
@@ -77,9 +80,12 @@ def j5_tiered_identity(spark, d):
     return S.identity_matches(_deps(spark, d), ids)
 
 
-@query(with_(FACTS, _DEPS) + "SELECT entity_id, type, CASE WHEN type = 'outbound_rpc' THEN 0.9 ELSE 0.75 END::DOUBLE AS least FROM deps")
+@query(with_(FACTS, _DEPS) + _TIERS + " SELECT entity_id, type, owner, CAST(max(c) AS DOUBLE) AS confidence, NOT (contains(type, 'rpc') AND max(c) < 0.9) AS stands FROM m WHERE owner <> service GROUP BY entity_id, type, owner")
 def j6_rpc_guard(spark, d):
-    return _deps(spark, d).select("entity_id", "type", F.when(F.col("type") == "outbound_rpc", 0.9).otherwise(0.75).alias("least"))
+    """Every candidate owner of a target with its best tier, and whether the guard lets it stand."""
+    ids = B.facts(spark, d).select(F.col("service").alias("value"), F.col("service").alias("owner")).distinct()
+    c = S.identity_candidates(_deps(spark, d), ids).where("owner <> service").groupBy("entity_id", "type", "owner").agg(F.max("confidence").alias("confidence"))
+    return c.select("entity_id", "type", "owner", "confidence", S.rpc_guard(c).alias("stands"))
 
 
 @query(with_(FACTS) + r"SELECT entity_id, coalesce(nullif(trim(host), ''), nullif(trim(logical_name), ''), '') <> '' OR regexp_matches(coalesce(url_template, ''), '^[a-z]+://[^/$]') AS has_destination FROM facts WHERE type = 'outbound_http'")
@@ -256,12 +262,23 @@ def j25_run_pairs(spark, d):
     return p.withColumn("changed", ~F.col("before").eqNullSafe(F.col("after")))
 
 
-@query("""WITH i AS (SELECT DISTINCT lower(replace(split_part(dns_name, '.', 1), '_', '-')) AS k, min(item_id) AS item_id FROM infra_inventory WHERE dns_name IS NOT NULL GROUP BY k), s AS (SELECT DISTINCT service, lower(replace(replace(trim(service), ' ', '-'), '_', '-')) AS k FROM connection_clients WHERE service IS NOT NULL)
-SELECT service, item_id, CASE WHEN item_id IS NULL THEN 'none' ELSE 'name' END AS matched_by FROM s LEFT JOIN i USING (k)""")
+_J26_NAME = "regexp_replace(lower(trim({c})), '[ _-]+', '', 'g')"
+
+
+@query(f"""WITH inv AS (SELECT item_id, {_J26_NAME.format(c="split_part(dns_name, '.', 1)")} AS by_dns, {_J26_NAME.format(c="regexp_extract(path, '^/([^/]+)', 1)")} AS by_path, {_J26_NAME.format(c="regexp_extract(display_name, '^([A-Za-z_ -]+)', 1)")} AS by_name FROM infra_inventory),
+s AS (SELECT DISTINCT service, {_J26_NAME.format(c="service")} AS k FROM connection_clients WHERE service IS NOT NULL), hits AS (
+  SELECT service, item_id, 1 AS tier FROM s JOIN inv ON k = by_dns AND k <> '' UNION ALL SELECT service, item_id, 2 FROM s JOIN inv ON k = by_path AND k <> '' UNION ALL SELECT service, item_id, 3 FROM s JOIN inv ON k = by_name AND k <> ''),
+best AS (SELECT service, min(tier) AS tier FROM hits GROUP BY service), pick AS (SELECT service, tier, min(item_id) AS item_id FROM hits JOIN best USING (service, tier) GROUP BY ALL)
+SELECT service, item_id, CASE tier WHEN 1 THEN 'dns' WHEN 2 THEN 'path' WHEN 3 THEN 'name' ELSE 'none' END AS matched_by FROM s LEFT JOIN pick USING (service)""")
 def j26_repository_services(spark, d):
-    i = table(spark, d, "infra_inventory").where("dns_name is not null").groupBy(F.lower(F.translate(F.split_part("dns_name", F.lit("."), F.lit(1)), "_", "-")).alias("k")).agg(F.min("item_id").alias("item_id"))
-    s = table(spark, d, "connection_clients").where("service is not null").select("service", F.lower(F.translate(F.trim("service"), " _", "--")).alias("k")).distinct()
-    return s.join(i, "k", "left").select("service", "item_id", F.when(F.col("item_id").isNull(), "none").otherwise("name").alias("matched_by"))
+    """The deployed item of each service: by its host name first, then by its base route, then by its display name; the smallest of a tier."""
+    key = lambda c: F.regexp_replace(F.lower(F.trim(c)), "[ _-]+", "")
+    names = {1: F.split_part("dns_name", F.lit("."), F.lit(1)), 2: F.regexp_extract("path", "^/([^/]+)", 1), 3: F.regexp_extract("display_name", "^([A-Za-z_ -]+)", 1)}
+    ways = F.array(*(F.struct(F.lit(t).alias("tier"), key(c).alias("k")) for t, c in names.items()))
+    inv = table(spark, d, "infra_inventory").select("item_id", F.explode(ways).alias("w")).select("item_id", "w.*").where("k <> ''").groupBy("k").agg(F.min(F.struct("tier", "item_id")).alias("best"))
+    s = table(spark, d, "connection_clients").where("service is not null").select("service").distinct().withColumn("k", key(F.col("service")))
+    tier = F.col("best.tier")
+    return s.join(inv, "k", "left").select("service", F.col("best.item_id").alias("item_id"), F.when(tier == 1, "dns").when(tier == 2, "path").when(tier == 3, "name").otherwise("none").alias("matched_by"))
 
 
 @query(with_(FACTS, """ep AS (SELECT DISTINCT method, lower(path) AS path, endpoint_id FROM contract_fields), ex AS (SELECT entity_id, upper(d_method) AS method, lower(trim(d_path)) AS path FROM facts WHERE type = 'http_route' AND d_method IS NOT NULL)""") + "SELECT ex.entity_id, min(ep.endpoint_id) AS endpoint_id, count(*) AS n FROM ex JOIN ep USING (method, path) GROUP BY ex.entity_id")

@@ -123,10 +123,19 @@ def u3_key_union(spark, d):
     return c.where("source = 'static'").select(k).union(c.where("source = 'route'").select(k)).distinct()
 
 
-@query("SELECT run_id, type, count(*) AS surplus FROM (SELECT run_id, type FROM contract_fields WHERE required EXCEPT ALL SELECT run_id, type FROM contract_fields WHERE nullable) GROUP BY ALL")
+_OCC = """r AS (SELECT project_id, run_id, row_number() OVER (PARTITION BY project_id ORDER BY started_at DESC, run_id) AS n FROM graph_runs WHERE status <> 'failed'),
+o AS (SELECT project_id, n, endpoint_id, location || '/' || lower(trim(coalesce(type, ''))) AS occurrence FROM contract_fields JOIN r USING (project_id, run_id) WHERE n <= 2)"""
+
+
+@query(f"WITH {_OCC} SELECT project_id, endpoint_id, occurrence, side, count(*) AS surplus FROM (SELECT *, 'before' AS side FROM (SELECT project_id, endpoint_id, occurrence FROM o WHERE n = 2 EXCEPT ALL SELECT project_id, endpoint_id, occurrence FROM o WHERE n = 1) UNION ALL SELECT *, 'after' FROM (SELECT project_id, endpoint_id, occurrence FROM o WHERE n = 1 EXCEPT ALL SELECT project_id, endpoint_id, occurrence FROM o WHERE n = 2)) GROUP BY ALL")
 def u4_multiset_difference(spark, d):
-    c = table(spark, d, "contract_fields")
-    return c.where("required").select("run_id", "type").exceptAll(c.where("nullable").select("run_id", "type")).groupBy("run_id", "type").agg(F.count("*").alias("surplus"))
+    """Occurrences of each endpoint that the last two snapshots don't have equally often: equal multisets give no rows."""
+    r = table(spark, d, "graph_runs").where("status <> 'failed'").withColumn("n", F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("started_at"), "run_id"))).where("n <= 2").select("project_id", "run_id", "n")
+    k = ["project_id", "endpoint_id", "occurrence"]
+    o = table(spark, d, "contract_fields").join(r, ["project_id", "run_id"]).select("n", "project_id", "endpoint_id", F.concat("location", F.lit("/"), F.lower(F.trim(F.coalesce("type", F.lit(""))))).alias("occurrence"))
+    # one count per occurrence and side instead of two sorts of all rows
+    c = o.groupBy(k).agg(F.count_if(F.col("n") == 1).alias("a"), F.count_if(F.col("n") == 2).alias("b"))
+    return c.where("a <> b").select(*k, F.when(F.col("a") > F.col("b"), "after").otherwise("before").alias("side"), F.abs(F.col("a") - F.col("b")).alias("surplus"))
 
 
 @query(with_(FACTS) + "SELECT service, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM facts GROUP BY service")

@@ -272,6 +272,57 @@ def test_packs(spark, tmp_path):
     assert packs.digest(loaded) == packs.digest(list(reversed(loaded)))
 
 
+def test_pack_tests_limits_sets_and_locks(spark):
+    doc = {
+        "id": "tickets", "extractions": [{"strategy": "regex", "pattern": r"OPS-\d+", "target": "ticket", "glob": "**/*.md"}, {"strategy": "field_path", "path": "a.*.n", "target": "name", "glob": "*.json"}],
+        "tests": [
+            {"name": "one", "files": {"x/a.md": "see OPS-1 and OPS-2", "b.json": '{"a": [{"n": "q"}]}', "c.txt": "OPS-3"}, "expect": [{"path": "x/a.md", "target": "ticket", "value": "OPS-1"}, {"path": "b.json", "target": "name", "value": "q"}, {"path": "b.json", "target": "name", "value": "z"}]},
+            {"name": "none", "files": {"a.md": "nothing"}, "expect": []},
+        ],
+    }
+    pack = packs.parse(doc)
+    assert {tuple(r) for r in packs.check(spark, pack).collect()} == {("one", "unexpected", "x/a.md", "ticket", "OPS-2"), ("one", "missing", "b.json", "name", "z")}
+    assert packs.check(spark, packs.parse({"id": "x"})).count() == 0
+    files = spark.createDataFrame([("big", "x" * (packs.MAX_FILE + 1)), ("ok", "x" * packs.MAX_FILE)], "path string, text string")
+    values = spark.range(packs.MAX_VALUES + 1).select(F.lit("p").alias("pack_id")).union(spark.range(packs.MAX_VALUES).select(F.lit("q")))
+    assert {tuple(r) for r in packs.limits(files, values).collect()} == {("file", "big", packs.MAX_FILE + 1), ("pack", "p", packs.MAX_VALUES + 1)}
+    rule = lambda i, service: packs.parse({"id": i, "resolution": [{"target_pattern": "^a", "service": service}]})
+    assert packs.set_problems([rule("a", "x"), rule("b", "x")]) == [] and len(packs.set_problems([rule("a", "x"), rule("a", "y")])) == 2
+    locked = packs.lock([rule("a", "x"), rule("b", "x")])
+    assert packs.lock_changes([rule("a", "x"), rule("b", "y"), rule("c", "x")], locked) == {"b": "changed", "c": "added"} and packs.lock_changes([], locked) == {"a": "removed", "b": "removed"}
+    e = spark.createDataFrame([("a", "b", "http"), ("a", "c", "http")], "src string, dst string, edge_type string")
+    assert packs.edge_check(e, e).count() == 0 and [r.side for r in packs.edge_check(e.limit(1), e).collect()] == ["missing"]
+
+
+def test_symbol_indexes_are_read_from_their_wire_form(spark, tmp_path):
+    from factloom.sources import scip
+
+    def varint(n):
+        out = b""
+        while n > 0x7F:
+            out, n = out + bytes([n & 0x7F | 0x80]), n >> 7
+        return out + bytes([n])
+
+    def part(number, v):
+        return varint(number << 3) + varint(v) if isinstance(v, int) else varint(number << 3 | 2) + varint(len(v)) + v
+
+    occurrence = lambda at, symbol, role: part(2, part(1, b"".join(map(varint, at))) + part(2, symbol.encode()) + part(3, role) + part(9, 7))
+    info = part(3, part(1, b"go Impl#") + part(4, part(1, b"go Iface#") + part(3, 1)) + part(4, part(1, b"go Other#") + part(2, 1)) + part(6, "\u00e9".encode()))
+    doc = part(1, b"a/b.go") + part(4, b"Go") + occurrence([3, 5, 9], "go Impl#", 1) + occurrence([300, 1, 301, 2], "go Impl#", 8) + occurrence([1, 2, 3], "local 4", 0) + info
+    index = part(1, b"meta") + part(2, doc)
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "i.scip").write_bytes(index + part(2, doc)[:-9])  # the second document breaks off
+    (tmp_path / "empty.scip").write_bytes(b"")
+    (tmp_path / "no.txt").write_bytes(index)
+    rows = scip.read_index(spark, str(tmp_path))
+    got = {(r.symbol, r.start_line, r.start_char, r.end_line, r.end_char, r.is_definition) for r in rows.where("row_kind = 'occurrence'").collect()}
+    assert got == {("go Impl#", 3, 5, 3, 9, True), ("go Impl#", 300, 1, 301, 2, False), ("a/b.go#local 4", 1, 2, 1, 3, False)}
+    assert [tuple(r) for r in scip.definitions(rows).collect()] == [("go Impl#", "a/b.go", 3, 5)] and [tuple(r) for r in scip.implementations(rows).collect()] == [("go Iface#", "go Impl#")]
+    at = spark.createDataFrame([(1, "a/b.go", 300), (2, "a/b.go", 4)], "position_id int, document string, line int")
+    assert [tuple(r) for r in scip.symbol_at(rows, at).collect()] == [(1, "go Impl#", False)]
+    assert list(scip.rows("p", b"\xff\xff\xff")) == [] and list(scip.rows("p", None)) == []
+
+
 def test_repository_scan_and_parsers(spark, tmp_path):
     tree = {
         "src/main.go": "package main\n\nfunc main() {}\n", "node_modules/x.js": "x", "src/main_test.go": "t", "go.mod": "module x\n\ngo 1.22\n",
