@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from factloom.functions import norm as N
 from factloom.operators import graph as G
+from factloom.operators import predicates as P
+from factloom.operators import resolve as S
 from factloom.operators import traverse as T
 from factloom.operators.shredding import flow_nodes
 from factloom.plans import base as B
@@ -141,7 +143,13 @@ def g10_blast_radius(spark, d, target="service:0", depth=6):
     return T.blast_radius(impact(spark, d), target, depth, nodes=None).select("node", "depth", "crosses_service", "bounded")
 
 
-@query()
+_TOPICS = r"""qt AS (SELECT *, regexp_replace(lower(trim(regexp_extract(name, '^\S+\s+(.*)$', 1))), '[-_.]+', '', 'g') AS topic FROM facts WHERE type IN ('queue_publish', 'queue_consumer', 'stream_consume')),
+qm AS (SELECT entity_id, split_part(m, '|', 2) AS to_entity FROM (SELECT a.entity_id, min(b.service || '|' || b.entity_id) AS m FROM qt a JOIN qt b ON a.topic = b.topic AND a.topic <> '' AND a.type = 'queue_publish' AND b.type <> 'queue_publish' AND a.service <> b.service GROUP BY ALL)),
+tr AS (SELECT src AS a, dst AS b FROM links WHERE src <> '' AND dst <> '' AND src <> dst UNION SELECT entity_id, to_entity FROM exact UNION SELECT entity_id, to_entity FROM stripped UNION SELECT entity_id, to_entity FROM qm)"""
+
+
+@query(with_(FACTS, LINKS, _RT, _TOPICS) + """, w AS (SELECT entity_id AS root, entity_id AS node, 0 AS depth FROM facts WHERE kind = 'exposure' UNION SELECT w.root, tr.b, w.depth + 1 FROM w JOIN tr ON tr.a = w.node WHERE w.depth < 7),
+m AS (SELECT root, node, min(depth) AS depth FROM w GROUP BY ALL) SELECT root, node, CAST(depth AS INT) AS depth, root IN (SELECT root FROM m WHERE depth = 7) AS limited FROM m WHERE depth BETWEEN 1 AND 6""")
 def g11_flow_walk(spark, d, depth=6):
     """What each entry point sets off: its own connections, then the matched routes and queues of other services, up to a depth.
 
@@ -193,7 +201,10 @@ def _walk(spark, d, depth, total, per_symbol=None):
     return T.call_walk(e, entries, depth, total, per_symbol).select("entry", F.array_join("path", ">").alias("path"), "hops", "truncated")
 
 
-@query()
+@query(with_(LINKS, _STEPS) + """, ed AS (SELECT DISTINCT from_symbol AS src, to_symbol AS dst FROM st WHERE from_symbol IS NOT NULL AND to_symbol IS NOT NULL), p AS (SELECT from_symbol AS entry, from_symbol AS node, [from_symbol] AS path, 0 AS hops FROM (SELECT DISTINCT from_symbol FROM st WHERE step_no = 1 AND from_symbol IS NOT NULL)
+  UNION ALL SELECT p.entry, ed.dst, list_append(p.path, ed.dst), p.hops + 1 FROM p JOIN ed ON ed.src = p.node WHERE p.hops < 16 AND NOT list_contains(p.path, ed.dst)),
+r AS (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY hops, path) AS n, count(*) OVER (PARTITION BY entry) AS total, max(hops) OVER (PARTITION BY entry) AS most FROM p WHERE hops > 0)
+SELECT entry, array_to_string(path, '>') AS path, CAST(hops AS INT) AS hops, total > 2000 OR most > 15 AS truncated FROM r WHERE hops <= 15 AND n <= 2000""")
 def g14_call_paths(spark, d, depth=15, total=2000):
     """Call paths with the reference walker's depth and paths in total; truncated marks entries that have more."""
     return _walk(spark, d, depth, total)
@@ -217,16 +228,30 @@ def g16_conditions(spark, d):
                     F.when(x.rlike(r"(?i)\b(for|while|each)\b"), "loop").when(F.size(F.coalesce("paths", F.array())) > 1, "fanout").otherwise("once").alias("repetition"))
 
 
-@query(with_(FACTS, LINKS) + """SELECT l.connection_id, l.src, l.dst, CASE WHEN e.file = f.file AND f.start_line BETWEEN e.start_line AND e.end_line THEN 'containment' WHEN coalesce(len(l.paths), 0) > 0 THEN 'call_path' ELSE 'shallow' END AS derived_by
-FROM links l JOIN facts e ON e.entity_id = l.src AND e.kind = 'exposure' JOIN facts f ON f.entity_id = l.dst AND f.kind = 'dependency'""")
-def g17_connection_derivation(spark, d):
-    cols = ["entity_id", "kind", "file", "start_line", "end_line"]
-    f = B.facts(spark, d).select(cols)
-    e = f.where("kind = 'exposure'").toDF("src", "k1", "e_file", "e_lo", "e_hi")
-    x = f.where("kind = 'dependency'").toDF("dst", "k2", "f_file", "f_lo", "f_hi")
-    j = B.links(spark, d).join(e, "src").join(x, "dst")
-    inside = (F.col("e_file") == F.col("f_file")) & F.col("f_lo").between(F.col("e_lo"), F.col("e_hi"))
-    return j.select("connection_id", "src", "dst", F.when(inside, "containment").when(F.size(F.coalesce("paths", F.array())) > 0, "call_path").otherwise("shallow").alias("derived_by"))
+@query()
+def g17_connection_derivation(spark, d, depth=15, total=2000):
+    """Connections that call paths and containment derive: each entry point with every symbol it reaches and what stands there.
+
+    An entry point's symbol is where its recorded paths begin, a dependency's where they end. A symbol that many dependencies
+    share gives its first one and their number. Calls inside one class, and sources of tests and configuration, are left out.
+    """
+    steps = _steps(spark, d)
+    l = B.links(spark, d).select("connection_id", "src", "dst")  # noqa: E741
+    f = B.facts(spark, d).select("entity_id", "kind", "file", "start_line", "end_line", "confidence")
+    production = f.where(~F.coalesce(F.col("file").rlike(P.TEST_LIKE) | F.col("file").rlike(P.CONFIG_LIKE), F.lit(False)))
+    begins = steps.where("step_no = 1 and from_symbol is not null").select("connection_id", F.col("from_symbol").alias("entry"))
+    last = steps.where("to_symbol is not null").groupBy("connection_id").agg(F.max_by("to_symbol", "step_no").alias("symbol"))
+    exposures = l.join(begins, "connection_id").select(F.col("src").alias("entity_id"), "entry").join(production.where("kind = 'exposure'").select("entity_id"), "entity_id").distinct()
+    ends = l.join(last, "connection_id").select(F.col("dst").alias("entity_id"), "symbol").join(production.where("kind = 'dependency'").select("entity_id"), "entity_id").groupBy("symbol").agg(F.min("entity_id").alias("dependency"), F.countDistinct("entity_id").alias("dependencies"))
+    reach = _walk(spark, d, depth, total).select("entry", F.element_at(F.split("path", ">"), -1).alias("symbol"), "hops").groupBy("entry", "symbol").agg(F.min("hops").alias("hops"))
+    owner = lambda c: F.split_part(c, F.lit("."), F.lit(1))
+    paths = reach.where(owner("entry") != owner("symbol")).join(ends, "symbol").join(exposures, "entry")
+    score = F.round(F.greatest(F.least(F.lit(0.98) - F.lit(0.04) * (F.col("hops") - 1), F.lit(0.99)), F.lit(0.5)), 6)
+    called = paths.select(F.col("entity_id").alias("exposure"), "symbol", "dependency", "dependencies", F.lit("call_path").alias("derived_by"), "hops", score.alias("confidence"))
+    points = production.where("kind = 'dependency' and file is not null").select(F.col("entity_id").alias("point_id"), "file", F.col("start_line").alias("line"))
+    ranges = production.where("kind = 'exposure' and file is not null").select(F.col("entity_id").alias("range_id"), "file", F.col("start_line").alias("lo"), F.col("end_line").alias("hi"))
+    inside = S.containing(points, ranges, 0).select(F.col("range_id").alias("exposure"), F.lit(None).cast("string").alias("symbol"), F.col("point_id").alias("dependency"), F.lit(1).cast("bigint").alias("dependencies"), F.lit("containment").alias("derived_by"), F.lit(0).alias("hops"), F.lit(0.98).alias("confidence"))
+    return called.unionByName(inside)
 
 
 _VERBS = "'(?i)\\.(find|get|read|load|list|fetch|query|search|count|exists|select|save|insert|update|delete|remove|write|create|upsert|persist|put|merge)[A-Za-z0-9]*$'"

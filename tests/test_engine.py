@@ -209,6 +209,22 @@ def test_layout_keeps_all_edges_that_close_no_cycle(spark):
     assert T.layout(e.limit(0), nodes.limit(0), ["src"]).count() == 0
 
 
+def test_connections_are_derived_from_calls_and_places(spark, monkeypatch):
+    from factloom.plans import graphs
+
+    step = "connection_id string, step_no int, from_symbol string, to_symbol string"
+    steps = [("c1", 1, "A.a", "B.b"), ("c1", 2, "B.b", "C.c"), ("c2", 1, "B.b", "D.d"), ("c3", 1, "T.t", "C.c"), ("c4", 1, "A.a", "A.x"), ("c5", 1, "B.b", "D.d"), ("c6", None, None, None)]
+    links = [("c1", "e1", "d1"), ("c2", "e2", "d2"), ("c3", "e3", "d1"), ("c4", "e1", "d4"), ("c5", "e2", "d5"), ("c6", None, "d1")]
+    facts = [("e1", "exposure", "a.go", 1, 9, 0.9), ("e2", "exposure", None, None, None, None), ("e3", "exposure", "a_test.go", 1, 9, 0.9), ("d1", "dependency", "b.go", 5, 5, 0.9), ("d2", "dependency", None, None, None, 0.9), ("d3", "dependency", "a.go", 4, 4, 0.9), ("d4", "dependency", "c.yml", 1, 1, 0.9), ("d5", "dependency", "z.go", 1, 1, 0.9)]
+    monkeypatch.setattr(graphs, "_steps", lambda spark, d: spark.createDataFrame(steps, step))
+    monkeypatch.setattr(graphs.B, "links", lambda spark, d: spark.createDataFrame(links, "connection_id string, src string, dst string"))
+    monkeypatch.setattr(graphs.B, "facts", lambda spark, d: spark.createDataFrame(facts, "entity_id string, kind string, file string, start_line int, end_line int, confidence double"))
+    got = {tuple(r) for r in graphs.g17_connection_derivation(spark, "").collect()}
+    assert got == {
+        ("e1", "C.c", "d1", 1, "call_path", 2, 0.94), ("e1", "D.d", "d2", 2, "call_path", 2, 0.94), ("e2", "C.c", "d1", 1, "call_path", 1, 0.98), ("e2", "D.d", "d2", 2, "call_path", 1, 0.98), ("e1", None, "d3", 1, "containment", 0, 0.98),
+    }
+
+
 def test_flows_in_every_shape_are_projected(spark, monkeypatch):
     from factloom.plans import graphs
 
