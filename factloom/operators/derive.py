@@ -103,10 +103,20 @@ def call_facts(sites: DataFrame, keys: list[str], text: str = "snippet", types:
     return sites.where(F.trim(text) != "").select(*keys, F.explode(hits).alias("h")).select(*keys, "h.*")
 
 
-def auth_requirements(text: Column) -> Column:
-    """What a handler's text asks of its caller: words of annotations and guards, as a sorted array."""
-    found = F.regexp_extract_all(text, F.lit(r"@(PreAuthorize|Secured|RolesAllowed|UseGuards|login_required|requires_auth|jwt_required|Authorize)\b|\[(Authorize)\b|(?i:getHeader\(\s*\"authorization\"\))"), F.lit(0))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.lower(F.regexp_replace(x, r"[@\[]|\(.*$", "")))))
+#: What asks a caller for rights: annotations, guards, and looks at its header.
+AUTH = r"""@(?:PreAuthorize|Secured|RolesAllowed|UseGuards|login_required|requires_auth|jwt_required|Authorize)\b|\[Authorize\b|(?i:getHeader\(\s*["']authorization["'])|(?i:headers\[\s*["']authorization["']\])"""
+#: Parameters of a handler and where they come from.
+PARAMETERS = r"""@(RequestParam|PathVariable|RequestHeader|QueryParam|PathParam|HeaderParam|Query|Param|Headers|Body|RequestBody)\s*\(\s*(?:(?:value|name)\s*=\s*)?["']([^"']+)"""
+PLACES = {"requestparam": "query", "queryparam": "query", "query": "query", "pathvariable": "path", "pathparam": "path", "param": "path", "requestheader": "header", "headerparam": "header", "headers": "header", "body": "body", "requestbody": "body"}
+
+
+def enrichments(sites: DataFrame, keys: list[str], text: str = "snippet") -> DataFrame:
+    """(keys..., what, place, name): what a handler's text asks of its caller, and the parameters that it binds."""
+    t = F.col(text)
+    auth = F.transform(F.regexp_extract_all(t, F.lit(AUTH), F.lit(0)), lambda x: F.struct(F.lit("auth").alias("what"), F.lit("").alias("place"), F.lower(F.regexp_replace(x, r"[@\[]|\(.*$", "")).alias("name")))
+    place = F.create_map(*[F.lit(x) for kv in PLACES.items() for x in kv])
+    bound = F.zip_with(F.regexp_extract_all(t, F.lit(PARAMETERS), F.lit(1)), F.regexp_extract_all(t, F.lit(PARAMETERS), F.lit(2)), lambda p, n: F.struct(F.lit("parameter").alias("what"), place[F.lower(p)].alias("place"), n.alias("name")))
+    return sites.where(F.trim(text) != "").select(*keys, F.explode(F.array_distinct(F.concat(auth, bound))).alias("h")).select(*keys, "h.*")
 
 
 def looks_like_cron(c: Column) -> Column:

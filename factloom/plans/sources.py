@@ -224,6 +224,23 @@ def x10_route_parameters(spark, d):
     return f.select("entity_id", F.explode(F.regexp_extract_all(F.coalesce("d_path", "name"), F.lit(r"\{([^{}/]*)\}"), F.lit(1))).alias("parameter")).distinct()
 
 
+_PLACE = "CASE lower(p) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.PLACES.items()) + " END"
+
+
+@query(with_(_SN) + f"""SELECT DISTINCT entity_id, 'auth' AS what, '' AS place, lower(regexp_replace(x, '[@\\[]|\\(.*$', '', 'g')) AS name FROM (SELECT entity_id, unnest(regexp_extract_all(t, {_quoted(X.AUTH)}, 0)) AS x FROM sn)
+UNION SELECT entity_id, 'parameter', {_PLACE}, n FROM (SELECT entity_id, unnest(regexp_extract_all(t, {_quoted(X.PARAMETERS)}, 1)) AS p, unnest(regexp_extract_all(t, {_quoted(X.PARAMETERS)}, 2)) AS n FROM sn)""")
+def x10_enrichments(spark, d):
+    """What handlers ask of their callers: rights, and the parameters they bind."""
+    return X.enrichments(_sites(spark, d), ["entity_id"]).distinct()
+
+
+@query(with_(_hits_sql(("scheduled_job",))) + r"SELECT DISTINCT entity_id, name AS expression, regexp_matches(name, '^\s*(?:[\d*/,\-?LW#]+\s+){4,5}[\d*/,\-?LW#A-Z]+\s*$') AS is_cron, len(regexp_split_to_array(trim(name), '\s+')) AS fields FROM hits")
+def fd_cron_expressions(spark, d):
+    """Schedules found in source, and whether they are cron expressions."""
+    h = X.call_facts(_sites(spark, d), ["entity_id"], types=("scheduled_job",))
+    return h.select("entity_id", F.col("name").alias("expression"), X.looks_like_cron(F.col("name")).alias("is_cron"), F.size(F.split(F.trim("name"), r"\s+")).cast("bigint").alias("fields")).distinct()
+
+
 @query(with_(FACTS) + "SELECT entity_id, CASE WHEN s IN ('deterministic', 'ast', 'config', 'runtime') THEN 'deterministic' WHEN s = 'manual' THEN 'manual' WHEN s = '' THEN 'unknown' ELSE 'heuristic' END AS provenance FROM (SELECT entity_id, lower(trim(coalesce(ref_source, ''))) AS s FROM facts)")
 def x13_provenance(spark, d):
     s = N.lower("ref_source")

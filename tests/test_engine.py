@@ -448,6 +448,12 @@ def test_detectors_read_every_hit_of_each_framework(spark):
     assert derive.call_facts(sites.limit(0), ["k"]).count() == 0
 
 
+def test_enrichments_of_handlers(spark):
+    sites = spark.createDataFrame([(1, '@PreAuthorize("x")\nf(@PathVariable("id") Long id, @RequestParam(name = "q") String q, @RequestHeader("X-T") String t)'), (2, 'req.getHeader("Authorization")'), (3, "@UseGuards(A) f(@Query('page') p, @Body('name') n)"), (4, None)], "k int, snippet string")
+    got = {tuple(r) for r in derive.enrichments(sites, ["k"]).collect()}
+    assert got == {(1, "auth", "", "preauthorize"), (1, "parameter", "path", "id"), (1, "parameter", "query", "q"), (1, "parameter", "header", "X-T"), (2, "auth", "", "getheader"), (3, "auth", "", "useguards"), (3, "parameter", "query", "page"), (3, "parameter", "body", "name")}
+
+
 def test_values_of_changes_routes_and_targets(spark):
     """Each category, signal and rung with the values it must have."""
     from factloom.operators import predicates as P
