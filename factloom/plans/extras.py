@@ -143,15 +143,19 @@ def fj_flattened_lists(spark, d):
 
 @query()
 def g22_contract_fields(spark, d):
-    """Request fields of entry points from the six places that declare them, in any shape, one row each."""
-    place = {"request_fields": ("body", "declared_or_static"), "body_fields": ("body", "static"), "query_params": ("query", "static"), "path_params": ("path", "route"), "headers": ("header", "static")}
-    texts = shredding.project_texts(table(spark, d, "service_docs").limit(0), table(spark, d, "entities").where("kind = 'exposure'"))
-    nodes = shredding.adjacency(texts, shredding.SPECS, ("name", "type", "required", "nullable"), wrap={"entities": "details"})
-    rows = shredding.records(nodes, {"name": "name", "type": "type", "required": "required", "nullable": "nullable"})
+    """Request fields of entry points from every place that declares them, in documents and in details, in any shape, one row each.
+
+    A property of a body has its dotted name.
+    """
+    place = {"request_fields": ("body", "declared_or_static"), "body_fields": ("body", "static"), "query_params": ("query", "static"), "path_params": ("path", "route"), "headers": ("header", "static"), "properties": ("body", "schema")}
+    texts = shredding.project_texts(table(spark, d, "service_docs"), table(spark, d, "entities").where("kind = 'exposure'"))
+    nodes = shredding.adjacency(texts, shredding.SPECS, ("id", "name", "type", "required", "nullable"), wrap={"entities": "details"})
     k = F.regexp_extract("record_path", r"([a-z_]+)$", 1)
-    at = [F.create_map(*[F.lit(x) for n, v in place.items() for x in (n, v[i])])[k] for i in (0, 1)]
+    rows = shredding.records(nodes, {"name": "name", "type": "type", "required": "required", "nullable": "nullable"}).withColumn("k", k).where(F.col("k").isin(*place))
+    at = [F.create_map(*[F.lit(x) for n, v in place.items() for x in (n, v[i])])[F.col("k")] for i in (0, 1)]
     flag = lambda c: F.coalesce(F.col(c) == "true", F.lit(False)).alias(c)
-    return rows.select(F.col("root_id").alias("endpoint_id"), at[0].alias("location"), "name", F.coalesce("type", F.lit("")).alias("type"), flag("required"), flag("nullable"), at[1].alias("source")).distinct()
+    name = F.when(F.col("k") == "properties", F.regexp_extract("record_id", r"([^/]*)$", 1)).otherwise(F.col("name"))
+    return rows.select(F.regexp_extract("record_id", r"^(.*)/[^/]*$", 1).alias("endpoint_id"), at[0].alias("location"), name.alias("name"), F.coalesce("type", F.lit("")).alias("type"), flag("required"), flag("nullable"), at[1].alias("source")).distinct()
 
 
 @query("SELECT project_id, run_id, service, count(*) AS n FROM contract_fields GROUP BY ALL")

@@ -448,6 +448,18 @@ def test_detectors_read_every_hit_of_each_framework(spark):
     assert derive.call_facts(sites.limit(0), ["k"]).count() == 0
 
 
+def test_contract_fields_from_documents_and_details(spark, monkeypatch):
+    from factloom.plans import extras
+
+    endpoint = {"id": "ep", "inputs": {"path_params": ["p"], "headers": {"h": "string"}, "body": {"schema": {"properties": {"a": {"type": "object", "properties": {"b": {"type": "int", "required": True}}}}}}}, "responses": [{"status": 200}]}
+    docs = spark.createDataFrame([(1, json.dumps({"objects": {"http_endpoints": [endpoint]}})), (2, None)], "service_doc_id long, body string")
+    ents = spark.createDataFrame([("x", "exposure", '{"query_params": [{"name": "q", "nullable": true}]}'), ("y", "dependency", '{"headers": ["no"]}'), ("z", "exposure", None)], "entity_id string, kind string, details string")
+    monkeypatch.setattr(extras, "table", lambda spark, d, name: {"service_docs": docs, "entities": ents}[name])
+    assert {tuple(r) for r in extras.g22_contract_fields(spark, "").collect()} == {
+        ("ep", "path", "p", "", False, False, "route"), ("ep", "header", "h", "string", False, False, "static"), ("ep", "body", "a", "object", False, False, "schema"), ("ep", "body", "a.b", "int", True, False, "schema"), ("x", "query", "q", "", False, True, "static"),
+    }
+
+
 def test_enrichments_of_handlers(spark):
     sites = spark.createDataFrame([(1, '@PreAuthorize("x")\nf(@PathVariable("id") Long id, @RequestParam(name = "q") String q, @RequestHeader("X-T") String t)'), (2, 'req.getHeader("Authorization")'), (3, "@UseGuards(A) f(@Query('page') p, @Body('name') n)"), (4, None)], "k int, snippet string")
     got = {tuple(r) for r in derive.enrichments(sites, ["k"]).collect()}
