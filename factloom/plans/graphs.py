@@ -229,7 +229,7 @@ def g16_conditions(spark, d):
 
 
 @query()
-def g17_connection_derivation(spark, d, depth=15, total=2000):
+def g17_connection_derivation(spark, d, depth=15):
     """Connections that call paths and containment derive: each entry point with every symbol it reaches and what stands there.
 
     An entry point's symbol is where its recorded paths begin, a dependency's where they end. A symbol that many dependencies
@@ -243,7 +243,9 @@ def g17_connection_derivation(spark, d, depth=15, total=2000):
     last = steps.where("to_symbol is not null").groupBy("connection_id").agg(F.max_by("to_symbol", "step_no").alias("symbol"))
     exposures = l.join(begins, "connection_id").select(F.col("src").alias("entity_id"), "entry").join(production.where("kind = 'exposure'").select("entity_id"), "entity_id").distinct()
     ends = l.join(last, "connection_id").select(F.col("dst").alias("entity_id"), "symbol").join(production.where("kind = 'dependency'").select("entity_id"), "entity_id").groupBy("symbol").agg(F.min("entity_id").alias("dependency"), F.countDistinct("entity_id").alias("dependencies"))
-    reach = _walk(spark, d, depth, total).select("entry", F.element_at(F.split("path", ">"), -1).alias("symbol"), "hops").groupBy("entry", "symbol").agg(F.min("hops").alias("hops"))
+    # the fewest calls to a symbol are all that is needed of its paths
+    calls = steps.where("from_symbol is not null and to_symbol is not null").select(F.col("from_symbol").alias("src"), F.col("to_symbol").alias("dst"))
+    reach = T.levels(calls, begins.select(F.col("entry").alias("root")), depth).where("depth > 0").select(F.col("root").alias("entry"), F.col("node").alias("symbol"), F.col("depth").alias("hops"))
     owner = lambda c: F.split_part(c, F.lit("."), F.lit(1))
     paths = reach.where(owner("entry") != owner("symbol")).join(ends, "symbol").join(exposures, "entry")
     score = F.round(F.greatest(F.least(F.lit(0.98) - F.lit(0.04) * (F.col("hops") - 1), F.lit(0.99)), F.lit(0.5)), 6)
