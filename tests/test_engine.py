@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -209,6 +210,30 @@ def test_layout_keeps_all_edges_that_close_no_cycle(spark):
     assert T.layout(e.limit(0), nodes.limit(0), ["src"]).count() == 0
 
 
+def test_cycles_are_found_in_a_large_graph_in_time():
+    rng = random.Random(8)
+    for nodes, many, in_order in ((70, 400, False), (200, 900, True)):  # several blocks, against a search for each edge
+        pairs = list({(str(rng.randrange(nodes)), str(rng.randrange(nodes))) for _ in range(many)})
+        pairs.sort(key=None if in_order else lambda _: rng.random())
+        after, kept = {}, []
+        for a, b in pairs:
+            seen, stack = {b}, [b]
+            while stack:
+                new = after.get(stack.pop(), set()) - seen
+                seen |= new
+                stack += new
+            if a not in seen:
+                after.setdefault(a, set()).add(b)
+                kept.append((a, b))
+        got, up = T.acyclic(pairs)
+        place = {x: i for i, x in enumerate(up)}
+        assert got == kept and all(place[a] < place[b] for a, b in kept) and len(place) == len({x for p in pairs for x in p})
+    pairs = sorted({(str(rng.randrange(4000)), str(rng.randrange(4000))) for _ in range(24_000)})
+    began = time.process_time()
+    got, up = T.acyclic(pairs)
+    assert time.process_time() - began < 10 and len(up) == 4000 and 12_000 < len(got) < len(pairs)
+
+
 def test_connections_are_derived_from_calls_and_places(spark, monkeypatch):
     from factloom.plans import graphs
 
