@@ -250,6 +250,36 @@ def test_connections_are_derived_from_calls_and_places(spark, monkeypatch):
     }
 
 
+def test_hops_are_the_same_by_copies_and_by_joins(spark):
+    rng = random.Random(12)
+    pairs = [(f"n{rng.randrange(25)}", f"n{rng.randrange(25)}") for _ in range(50)] + [("n1", "n1"), ("n2", None)]
+    e = edges_of(spark, *pairs)
+    starts = [("w1", "n1", "a"), ("w2", "n1", "a"), ("w3", "n7", "b"), ("w4", "none", "a"), ("w5", None, "a"), ("w3", "n9", "c")]
+    ends = [(f"n{i}", "abc"[i % 3], i, None) for i in range(20)] + [("elsewhere", "b", 99, "x")]
+    s, t = spark.createDataFrame(starts, "who string, root string, owner string"), spark.createDataFrame(ends, "node string, owner string, number int, note string")
+    for depth in (1, 2, 15):
+        want = []
+        for who, root, owner in starts:
+            level, front = {root: 0}, {root}
+            for n in range(1, depth + 1):
+                front = {b for a, b in pairs if a in front and b is not None and b not in level}
+                level |= dict.fromkeys(front, n)
+            want += [(who, level[x], x, number, note) for x, o, number, note in ends if level.get(x) and o != owner]
+        one, two = (sorted(tuple(map(str, r)) for r in T.hops(e, s, t, depth, most_edges=m).collect()) for m in (1_000, 0))
+        assert want and one == two == sorted(tuple(map(str, r)) for r in want), depth
+    assert T.hops(e.limit(0), s, t, 3).count() == T.hops(e, s.limit(0), t, 3).count() == T.hops(e, s, t.limit(0), 3).count() == 0
+
+
+def test_what_is_reached_is_neither_joined_nor_sent(spark):
+    from factloom.plans import graphs
+
+    plan = graphs.g17_connection_derivation(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in plan]
+    walk = next(i for i, x in enumerate(plan) if "MapInArrow" in x)
+    above = [x for i, x in enumerate(plan[:walk]) if depth[i] < min(depth[i + 1 : walk + 1])]
+    assert above and not any("Join" in x or "Aggregate" in x or "Repartition" in x for x in above)
+
+
 def test_flows_in_every_shape_are_projected(spark, monkeypatch):
     from factloom.plans import graphs
 
